@@ -27,7 +27,7 @@ SHARE, MOST = 1.5, 2.0
 #: For each of the weights: knots (time, relative weight); the first fades, the second is even, the last comes late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.25), (0.5, 0.75), (1.0, 2.25)))
 #: Rows of a bucket inside which a window sorts.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
