@@ -24,6 +24,7 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -83,7 +84,8 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
     bits, hashes = bloom.size_for(hits.count())
     bits = min(bits, bloom.MOST_BITS)
     words = bloom.build(hits, "digest", bits, hashes).scalar()
-    again = docs.select(doc_id, normalised(docs).alias("norm")).withColumn("digest", digest(F.col("norm")))
+    # inline() keeps the filter's many uses of the digest from each computing it anew
+    again = docs.select(doc_id, normalised(docs).alias("norm")).select(F.inline(F.array(F.struct("doc_id", "norm", digest(F.col("norm")).alias("digest")))))
     texts = again.where(bloom.might_contain(words, F.col("digest"), bits, hashes)).groupBy("digest", "norm").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep"))
     texts = written(texts.select("digest", F.unhex(sha256(F.col("norm"))).alias("sha"), "n", "keep"), "dedup-texts")
     several = texts.groupBy("digest").agg(F.count("*").alias("texts"), F.count_distinct("sha").alias("shas")).where("texts > 1")
