@@ -3,14 +3,15 @@
 A tokenizer of the kind read here never joins characters across white space, so a text's ids are its words' ids in
 order. Three steps:
 
-1. Texts are split into words where they lie. Each chunk of a task's rows numbers its distinct words; a text becomes
+1. Texts are split into words where they lie. Each chunk (a batch of rows) numbers its distinct words; a text becomes
    the numbers of its words. The chunk's words are dealt out by hash into buckets, sorted and compressed.
 2. A bucket sees a word once for each chunk that has it, never once for each occurrence, and encodes each distinct
    word once.
 3. The ids return to the chunks and are joined to the texts by word number.
 
-So neither words nor ids of the corpus are ever gathered: a task holds one chunk's or one bucket's words. The
-vocabulary file is the only thing broadcast; its size doesn't depend on the corpus.
+Steps 2 and 3 read one and the same exchange, in which chunks and buckets have places of their own. Neither words nor
+ids of the corpus are ever gathered: a task holds one chunk's or one bucket's words. The vocabulary file is the only
+thing broadcast; its size doesn't depend on the corpus.
 """
 
 from __future__ import annotations
@@ -19,22 +20,20 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import written
-
-#: A chunk ends at so many distinct words.
-CHUNK_WORDS = 400_000
 #: Bytes of input for each bucket of words.
 BUCKET_BYTES = 8 << 20
-#: Words encoded in one call.
-CALL = 4096
+#: Words encoded in one call, texts of a chunk, and ids of texts that are decoded at once.
+CALL, TEXTS, IDS = 4096, 10_000, 1 << 20
 
 
 def tokenizer(spec: bytes):
@@ -49,11 +48,10 @@ def tokenizer(spec: bytes):
 
 
 def read_spec(path: str) -> bytes:
-    """The content of a vocabulary file on the driver; it must be one whose texts can be encoded word by word."""
+    """The content of a vocabulary file on the driver; it must be one whose pieces are joined by spaces."""
     with open(path, "rb") as f:
         spec = f.read()
-    parts = json.loads(spec)
-    if parts.get("decoder") is not None:
+    if json.loads(spec).get("decoder") is not None:
         raise ValueError("only vocabularies without a decoder are read: their pieces are joined by spaces")
     return spec
 
@@ -65,78 +63,102 @@ def _plain(values: np.ndarray) -> bytes:
 
 def _numbers(blob: bytes) -> np.ndarray:
     planes = np.frombuffer(zlib.decompress(blob), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view("<u4") if len(planes) else np.zeros(0, np.uint32)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view("<u4")
+
+
+#: place: chunk of a text, or less than zero for a bucket of words. words and numbers of words, or numbers of a text.
+ROWS = pa.schema([("place", pa.int64()), ("chunk", pa.int64()), ("doc_id", pa.int64()), ("words", pa.binary()), ("numbers", pa.binary())])
+ROWS_DDL = "place long, chunk long, doc_id long, words binary, numbers binary"
 
 
-CHUNKS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("words", pa.binary()), ("numbers", pa.binary())])
-CHUNKS_DDL = "chunk long, bucket int, row long, doc_id long, words binary, numbers binary"
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in ROWS]
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, ROWS, strict=True)], schema=ROWS)
 
 
-def _split(buckets: int, chunk_words: int):
-    """doc_id, text to rows of chunks: texts as word numbers (bucket null) and words by bucket (doc_id null)."""
+def _split(buckets: int, texts: int):
+    """doc_id and text to rows of texts and of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        chunk, number, row = first, {}, 0
-        out: list[tuple] = []
-
-        def dictionary() -> list[tuple]:
-            words = sorted(number)
-            hashes = np.array([zlib.crc32(w) for w in words], np.uint32) % buckets
-            numbers = np.array([number[w] for w in words], np.uint32)
-            order = np.argsort(hashes, kind="stable")
-            cuts = np.searchsorted(hashes[order], np.arange(buckets + 1))
-            return [(chunk, b, -1, None, zlib.compress(b"\n".join([words[i] for i in order[x:y]]), 1), _plain(numbers[order[x:y]])) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
-
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), CHUNKS, strict=True)], schema=CHUNKS)
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = (text or "").encode("utf-8").split()
-                found = list(map(number.get, words))
-                if None in found:
-                    for i, n in enumerate(found):
-                        if n is None:
-                            found[i] = number.setdefault(words[i], len(number))
-                out.append((chunk, None, row, doc_id, None, _plain(np.array(found, np.uint32))))
-                row += 1
-                if len(number) >= chunk_words:
-                    yield flush(out + dictionary())
-                    chunk, number, out = chunk + 1, {}, []
-            if out:
-                yield flush(out)
-                out = []
-        if number:
-            yield flush(dictionary())
+        chunk = TaskContext.get().partitionId() << 32
+        for whole in batches:
+            for at in range(0, whole.num_rows, texts):
+                batch = whole.slice(at, texts)
+                lists = pc.ascii_split_whitespace(pc.fill_null(batch.column(1), "").cast(pa.large_string()))
+                coded = lists.flatten().dictionary_encode()
+                numbers = coded.indices.to_numpy().astype(np.uint32)
+                cuts = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())].tolist()
+                yield _rows([(chunk, chunk, d, None, _plain(numbers[a:b])) for d, a, b in zip(batch.column(0).to_pylist(), cuts, cuts[1:], strict=False)])
+                order = pc.sort_indices(coded.dictionary).to_numpy().astype(np.int64)
+                words = coded.dictionary.cast(pa.large_binary()).take(pa.array(order)).to_pylist()
+                bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
+                by = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[by], np.arange(buckets + 1)).tolist()
+                out = [(-1 - b, chunk, None, zlib.compress(b"\n".join([words[i] for i in by[x:y]]), 1), _plain(order[by[x:y]])) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+                yield _rows(out)
+                chunk += 1
 
     return run
 
 
+def _coder(spec: bytes):
+    """A function from words to the number of ids of each, and all ids.
+
+    Words are encoded many at a time with a special token between them, which cuts a text before anything else is
+    done to it; one by one where the vocabulary has no such token, or the word holds one.
+    """
+    coder, parts = tokenizer(spec), json.loads(spec)
+    cuts = [t for t in parts.get("added_tokens", []) if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
+    cut, cut_id = (cuts[0]["content"], cuts[0]["id"]) if cuts else (None, None)
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        counts, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), CALL):
+            part = words[at : at + CALL]
+            text = cut.join(part) if cut else ""
+            if cut and text.count(cut) == len(part) - 1:
+                ids = np.array(coder.encode(text, add_special_tokens=False).ids, np.int64)
+                stops = np.r_[-1, np.flatnonzero(ids == cut_id), len(ids)]
+                counts.append(np.diff(stops) - 1)
+                flat.append(ids[ids != cut_id])
+            else:
+                each = [coder.encode(w, add_special_tokens=False).ids for w in part]
+                counts.append(np.array(list(map(len, each)), np.int64))
+                flat.append(np.array([i for x in each for i in x], np.int64))
+        return np.concatenate(counts), np.concatenate(flat)
+
+    return encode
+
+
+def _gather(starts: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """flat[start : start + count] of each pair, joined."""
+    ends = np.cumsum(counts)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + counts, counts)]
+
+
 def _encode(spec):
-    """Rows of words, sorted by bucket, to the same rows with the words' ids: counts, then ids, compressed."""
+    """Rows sorted by place to rows of the chunks' word ids: words has counts and ids. Rows of texts are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, bucket, known = None, None, {}
-        for batch in batches:
-            coder = coder or tokenizer(spec.value)
-            encode = getattr(coder, "encode_batch_fast", coder.encode_batch)
-            out = []
-            for chunk, b, blob, numbers in zip(*[batch.column(i).to_pylist() for i in (0, 1, 4, 5)], strict=True):
+        encode, bucket = None, None
+        number: dict[bytes, int] = {}  # of the bucket's words, whose ids are flat[starts : starts + counts]
+        counts = starts = flat = np.zeros(0, np.int64)
+        for whole in batches:
+            batch = whole.filter(pc.less(whole.column(0), 0))
+            encode = encode or _coder(spec.value)
+            for b, chunk, blob, numbers in zip(*[batch.column(i).to_pylist() for i in (0, 1, 3, 4)], strict=True):
                 if b != bucket:
-                    bucket, known = b, {}
+                    bucket, number = b, {}
+                    counts = starts = flat = np.zeros(0, np.int64)
                 words = zlib.decompress(blob).split(b"\n")
-                fresh = [w for w in words if w not in known]
-                for at in range(0, len(fresh), CALL):
-                    part = fresh[at : at + CALL]
-                    for w, e in zip(part, encode([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                        known[w] = e.ids
-                ids = [known[w] for w in words]
-                counts = np.fromiter(map(len, ids), np.uint32, len(ids))
-                flat = np.array([i for x in ids for i in x], np.uint32)
-                out.append((chunk, b, -1, None, _plain(np.concatenate([counts, flat])), numbers))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), CHUNKS, strict=True)], schema=CHUNKS)
+                at = [number.setdefault(w, len(number)) for w in words]
+                if fresh := [w.decode("utf-8") for w, i in zip(words, at, strict=True) if i >= len(counts)]:
+                    more, ids = encode(fresh)
+                    starts = np.r_[starts, len(flat) + np.cumsum(more) - more]
+                    counts, flat = np.r_[counts, more], np.r_[flat, ids]
+                own = np.array(at, np.int64)
+                found = np.r_[counts[own], _gather(starts[own], counts[own], flat)]
+                yield _rows([(chunk, chunk, None, _plain(found), numbers)])
 
     return run
 
@@ -144,34 +166,34 @@ def _encode(spec):
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by chunk, words before texts, to doc_id and ids of the texts."""
     chunk, parts, starts, counts, flat = None, [], None, None, None
-    for batch in batches:
-        doc_ids, lists = [], []
-        for c, bucket, doc_id, ids, numbers in zip(*[batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5)], strict=True):
-            if c != chunk:
-                chunk, parts, flat = c, [], None
-            at = _numbers(numbers)
-            if bucket is not None:
-                values = _numbers(ids)
-                parts.append((at, values[: len(at)], values[len(at) :]))
-                continue
-            if flat is None:  # the chunk's words are all here
-                n = sum(len(a) for a, _, _ in parts)
-                counts, flat = np.zeros(n, np.int64), np.concatenate([v for _, _, v in parts] or [np.zeros(0, np.uint32)]).astype(np.int32)
-                starts, ahead = np.zeros(n, np.int64), 0
-                for a, k, v in parts:
-                    counts[a] = k
-                    starts[a] = ahead + np.cumsum(k, dtype=np.int64) - k
-                    ahead += len(v)
-                parts = []
-            k = counts[at]
-            ends = np.cumsum(k)
-            total = int(ends[-1]) if len(ends) else 0
-            doc_ids.append(doc_id)
-            lists.append(flat[np.arange(total) + np.repeat(starts[at] - ends + k, k)])
-        if doc_ids:
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(lists), pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), ids], ["doc_id", "ids"])
+    for whole in batches:
+        kept = whole.filter(pc.greater_equal(whole.column(0), 0))
+        for at in range(0, kept.num_rows, 256):
+            batch = kept.slice(at, 256)
+            doc_ids, lists = [], []
+            for c, doc_id, ids, numbers in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3, 4)], strict=True):
+                if c != chunk:
+                    chunk, parts, flat = c, [], None
+                mine = _numbers(numbers)
+                if ids is not None:
+                    values = _numbers(ids)
+                    parts.append((mine, values[: len(mine)], values[len(mine) :]))
+                    continue
+                if flat is None:  # the chunk's words are all here
+                    n = sum(len(a) for a, _, _ in parts)
+                    counts, starts, ahead = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+                    for a, k, v in parts:
+                        counts[a] = k
+                        starts[a] = ahead + np.cumsum(k, dtype=np.int64) - k
+                        ahead += len(v)
+                    flat = np.concatenate([np.zeros(0, np.uint32), *[v for _, _, v in parts]]).astype(np.int32)
+                    parts = []
+                doc_ids.append(doc_id)
+                lists.append(_gather(starts[mine], counts[mine], flat))
+            if doc_ids:
+                offsets = np.r_[0, np.cumsum([len(x) for x in lists])]
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(lists), pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), ids], ["doc_id", "ids"])
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -179,7 +201,7 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def encode(docs: DataFrame, path: str, chunk_words: int = CHUNK_WORDS, buckets: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, chunk_texts: int = TEXTS, buckets: int | None = None) -> DataFrame:
     """doc_id, ids of every row of docs (doc_id, text), equal to the library's encoding without special tokens.
 
     Null and empty texts have no ids; repeated rows, and rows with equal or null doc_id, are each encoded and
@@ -187,41 +209,75 @@ def encode(docs: DataFrame, path: str, chunk_words: int = CHUNK_WORDS, buckets:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    buckets = buckets or int(min(8192, max(16, input_bytes(rows) // BUCKET_BYTES)))
+    buckets = buckets or int(min(8192, max(16, input_bytes(docs) // BUCKET_BYTES)))
     spec = spark.sparkContext.broadcast(read_spec(path))
-    chunks = written(rows.mapInArrow(_split(buckets, chunk_words), CHUNKS_DDL), "bpe-chunks")
-    words = chunks.where("bucket IS NOT NULL").repartition("bucket").sortWithinPartitions("bucket")
-    coded = words.mapInArrow(_encode(spec), CHUNKS_DDL)
-    both = chunks.where("bucket IS NULL").unionByName(coded).repartition("chunk").sortWithinPartitions("chunk", "row")
+    # a stated number keeps the two exchanges' partitions alike, so that the texts need not move again
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
+    dealt = rows.mapInArrow(_split(buckets, chunk_texts), ROWS_DDL).repartition(n, "place")
+    coded = dealt.sortWithinPartitions("place").mapInArrow(_encode(spec), ROWS_DDL).repartition(n, "place")
+    both = dealt.unionByName(coded).repartition(n, "place").sortWithinPartitions("place", F.col("words").isNull())
     return both.mapInArrow(_join, "doc_id long, ids array<int>")
 
 
+def _pieces(spec: bytes) -> list[str | None]:
+    coder = tokenizer(spec)
+    return [coder.id_to_token(i) for i in range(coder.get_vocab_size(with_added_tokens=True))]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that their lists hold about IDS numbers."""
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+            continue
+        sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
+        run = np.cumsum(sizes, dtype=np.int64) // IDS
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(a, b - a)
+
+
+def joined(ids: pa.ListArray, pieces: pa.Array) -> pa.Array:
+    """The pieces of each list of ids, joined by spaces; nulls and ids without a piece are left out."""
+    flat = ids.flatten()
+    good = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(pieces))), False)
+    if not pc.all(good).as_py() and len(flat) or pieces.null_count or ids.null_count:
+        table = pieces.to_pylist()
+        return pa.array([" ".join([table[i] for i in x or () if i is not None and 0 <= i < len(table) and table[i] is not None]) for x in ids.to_pylist()], pa.string())
+    offsets = np.r_[0, np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pieces.take(flat)), " ")
+
+
 def decode(rows: DataFrame, path: str) -> DataFrame:
-    """rows with a text column: the pieces of the ids of each row joined by spaces; ids without a piece are left out.
+    """rows (with a column ids) and a text column: the pieces of the ids joined by spaces, unknown ids left out.
 
-    The id-to-piece table is the vocabulary, joined by position on the map side.
+    The id-to-piece table is the vocabulary, joined on the map side. A text column that was there is replaced.
     """
+    rows = rows.drop("text")
     spec = rows.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = None
-        for batch in batches:
-            if pieces is None:
-                coder = tokenizer(spec.value)
-                pieces = [coder.id_to_token(i) for i in range(coder.get_vocab_size(with_added_tokens=True))]
-            out = []
-            for ids in batch.column("ids").to_pylist():
-                try:
-                    out.append(" ".join([pieces[i] for i in ids or ()]))
-                except (IndexError, TypeError):
-                    out.append(" ".join([pieces[i] for i in ids if i is not None and 0 <= i < len(pieces) and pieces[i] is not None]))
-            yield batch.append_column("text", pa.array(out, pa.string()))
+        for batch in _runs(batches):
+            pieces = pa.array(_pieces(spec.value), pa.string()) if pieces is None else pieces
+            yield batch.append_column("text", joined(batch.column("ids"), pieces))
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("text", StringType())]))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs."""
-    coded = decode(encode(docs, path), path)
-    line = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(line, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs, encoded and then decoded."""
+    coded = encode(docs, path)
+    spec = coded.sparkSession.sparkContext.broadcast(read_spec(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = digits = None
+        for batch in _runs(batches):
+            if pieces is None:
+                pieces = pa.array(_pieces(spec.value), pa.string())
+                digits = pa.array(list(map(str, range(len(pieces)))), pa.string())
+            ids = batch.column("ids")
+            hashes = [pa.array([sha256(x).hexdigest() for x in joined(ids, table).cast(pa.binary()).to_pylist()], pa.string()) for table in (digits, pieces)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.list_value_length(ids).cast(pa.int64()), *hashes], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return coded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
