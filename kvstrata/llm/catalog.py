@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, curriculum, exact_dedup, html_text, line_dedup, simhash, topk, toxicity, url_reputation
+from . import bpe, curriculum, exact_dedup, html_text, line_dedup, simhash, suffix_dedup, topk, toxicity, url_reputation
 from .common import table
 
 
@@ -50,12 +50,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_url_filters, op2_topk, op3_exact_dedup, op4_toxicity, op5_html_extraction, op6_bpe, op7_line_dedup, op8_mixing, op10_simhash)
+    ops = (op1_url_filters, op2_topk, op3_exact_dedup, op4_toxicity, op5_html_extraction, op6_bpe, op7_line_dedup, op8_mixing, op9_suffix_dedup, op10_simhash)
     return {f.__name__: f for f in ops}
 
 

@@ -167,11 +167,11 @@ def score(docs: DataFrame, chain: Sequence[Model], categories: Sequence[str]) ->
     """docs with a column p_<category> for each category; columns of these names are replaced."""
     new = [f"p_{c}" for c in categories]
     docs = docs.drop(*new)
-    shared = docs.sparkSession.sparkContext.broadcast(list(chain))
+    shared = docs.sparkSession.sparkContext.broadcast([tuple(m) for m in chain])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
+        models = [Model(*m) for m in shared.value]
         known: dict[str, tuple[float, ...]] = {}
         for batch in batches:
             out = []
