@@ -23,6 +23,18 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def text_tag(docs: DataFrame) -> Column:
+    """A hash of the text, null as empty: with doc_id it names a row even where rows repeat a doc_id."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("tag")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs that gone (doc_id, tag) doesn't name, with the columns of docs."""
+    names = gone.select(F.col("doc_id").cast("long").alias("__gone_id"), F.col("tag").alias("__gone_tag"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__gone_id")) & (F.col("__tag") == F.col("__gone_tag"))
+    return docs.withColumn("__tag", text_tag(docs)).join(names, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):

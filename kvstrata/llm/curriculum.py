@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import SPACE, text_tag, written
 
 #: Weights of the sources in code-point order, repeating (fixed values of the contract).
 WEIGHTS = (5, 2, 1)
@@ -31,10 +31,10 @@ BUCKET_ROWS = 4_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) and key, the order inside the source."""
+    """doc_id, tag (a hash of the text), source, size (words) and key, the order inside the source."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))).alias("key"))
+    return docs.select(doc_id.alias("doc_id"), text_tag(docs), F.col("source").cast("string").alias("source"), size.alias("size"), F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))).alias("key"))
 
 
 def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -76,7 +76,7 @@ def inverse_demand(fraction: Column, knots: Sequence[tuple[float, float]]) -> Co
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, position of every row, range-sorted by position.
+    """doc_id, tag, source, size, source_size, target, taken, position of every row, range-sorted by position.
 
     Passes over a source follow one another: the first takes documents until the target or the source ends, the next
     starts over. taken is what all passes take of a document, at most most * size; only the document where the target
@@ -93,11 +93,25 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     goal = targets(sized, weights, share, most)
     per = per.join(goal, F.col("s").eqNullSafe(F.col("source"))).drop("source")
     rows = sized.join(per, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "tag").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     words = F.floor(F.col("target") + 0.5)
     taken = sum((F.greatest(F.lit(0), F.least("size", words - i * F.col("source_size") - F.col("ahead"))) for i in range(-int(-most // 1))), F.lit(0))
     fraction = F.least(F.lit(1.0), F.coalesce(F.col("ahead") / F.nullif(F.col("target"), F.lit(0.0)), F.lit(1.0)))
     position = F.coalesce(*[F.when(F.col("kind") == i, inverse_demand(fraction, schedules[i % len(schedules)])) for i in range(len(weights))])
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), position.alias("position"))
+    rows = rows.select("doc_id", "tag", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), position.alias("position"))
     return rows.orderBy("position", "doc_id")
+
+
+def drawn(docs: DataFrame, **settings) -> DataFrame:
+    """The mix itself: the columns of docs, a row for each pass that takes of a document, range-sorted by position.
+
+    A document of which a pass takes only a part, at most one of each source, is whole here: texts are never cut.
+    Documents of which nothing is taken are not in the mix.
+    """
+    plan = mix(docs, **settings).where("taken > 0")
+    passes = F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)).alias("__pass")
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__plan_tag"), "position", F.col("size").alias("__size"), passes).dropDuplicates(["__id", "__plan_tag", "__pass"])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__tag") == F.col("__plan_tag"))
+    rows = docs.withColumn("__tag", text_tag(docs)).join(plan.withColumnRenamed("position", "__position"), same)
+    return rows.repartitionByRange("__pass", "__position").sortWithinPartitions("__pass", "__position").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -97,3 +97,19 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
         rows = rows.join(split, (F.col("digest") == F.col("d")) & (F.col("sha") == F.col("s")), "left")
         rows = rows.withColumn("keep_id", F.when(F.col("n").isNull(), F.col("keep_id")).otherwise(F.col("keep"))).withColumn("group_size", F.coalesce("n", "group_size"))
     return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with their columns; of rows that repeat a doc_id and text one stays."""
+    doc_id, sha = F.col("doc_id").cast("long"), sha256(normalised(docs))
+    verdicts = written(deduplicate(docs), "dedup-verdicts")
+    gone = verdicts.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__gone"))
+    rows = docs.withColumn("__sha", sha)
+    rows = rows.join(gone, doc_id.eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__gone")), "left_anti")
+    again = written(verdicts.where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__again")).count().where("count > 1").drop("count"), "dedup-again")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if again.isEmpty():
+        return rows.select(*columns)
+    same = doc_id.eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__again"))
+    twice = rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "__sha"])
+    return rows.join(again, same, "left_anti").unionByName(twice).select(*columns)

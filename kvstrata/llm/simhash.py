@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, text_tag, written
 
 SEED = 42
 #: Shingles whose bits are counted at once.
@@ -50,14 +50,14 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row; other columns are ignored."""
+    """doc_id, tag (a hash of the text, which tells rows of one doc_id apart) and fp (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "tag", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_tag(docs), F.col("text").cast("string")).mapInArrow(run, "doc_id long, tag long, fp long")
 
 
 class Tree:
@@ -204,17 +204,25 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tree_size: int = 20_000) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row.
+def classes(docs: DataFrame, words: int = 4, radius: int = 4, tree_size: int = 20_000) -> DataFrame:
+    """doc_id, tag, fp, root of every row: rows with equal root are near-duplicates of one another.
 
-    Equal fingerprints are one node, so copies never become pairs. Empty and null texts have fingerprint zero. Rows
-    with a null doc_id link others through their fingerprint but name no component, so the id of a component of
-    such rows only is null. Repeated rows are returned as often as they occur; other columns are ignored.
+    Equal fingerprints are one node, so copies never become pairs.
     """
     prints = written(fingerprints(docs, words), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = components(links(nodes.select("fp"), radius, tree_size))
-    rooted = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = written(prints.select("fp").distinct(), "nodes")
+    found = components(links(nodes, radius, tree_size))
+    rooted = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root"))
+    return prints.join(rooted, "fp").select("doc_id", "tag", "fp", "root")
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tree_size: int = 20_000) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) of every row.
+
+    Empty and null texts have fingerprint zero. Rows with a null doc_id link others through their fingerprint but name
+    no component, so the id of a component of such rows only is null. Repeated rows are returned as often as they
+    occur; other columns are ignored.
+    """
+    rows = written(classes(docs, words, radius, tree_size), "classes")
+    ids = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(ids, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
