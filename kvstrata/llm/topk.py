@@ -187,7 +187,9 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE,
     longest = vectors.orderBy(F.desc("norm"), "vec_id", "vec").limit(LONGEST).collect()
     seeds = {(r.vec_id, tuple(r.vec)): r for r in [*sample, *longest]}
     seed_ids, seed_vectors = np.array([r.vec_id for r in seeds.values()], np.int64), _matrix([r.vec for r in seeds.values()], dim)
-    _, _, turned = np.linalg.svd(_matrix([r.vec for r in sample], dim), full_matrices=True)
+    some = _matrix([r.vec for r in sample], dim)
+    turned = np.linalg.svd(some.T @ some)[2]  # the right singular vectors of the sample, largest first
+    del some
     head = max(1, round(dim * head_share))
     n_blocks = max(1, shape.n // block_rows)
     cuts = sorted(set(vectors.approxQuantile("norm", [i / n_blocks for i in range(1, n_blocks)], 0.001)), reverse=True) if n_blocks > 1 else []
