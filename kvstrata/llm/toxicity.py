@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Labelled rows that a chain is fitted on, folds, hashed features and those that a model keeps.
-SAMPLE, FOLDS, BITS, KEPT = 12_000, 3, 20, 6000
+SAMPLE, FOLDS, BITS, KEPT = 8000, 3, 20, 6000
 #: Lengths of the word beginnings that are features.
 STEMS = (4, 5, 6)
 RIDGE, STEPS = 1e-4, 300
@@ -54,10 +54,10 @@ def words(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def text_features(text: str | None) -> tuple[list[int], int]:
+def text_features(text: str | None) -> tuple[np.ndarray, int]:
     """Distinct hashed features of a text, and its number of distinct words."""
     found = words(text)
-    return sorted({f for w in found for f in features(w)}), len(found)
+    return np.unique(np.array([f for w in found for f in features(w)], np.int32)), len(found)
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -68,10 +68,12 @@ def _logit(p: np.ndarray) -> np.ndarray:
 class _Rows:
     """Training rows: features in one flat array, their rows, and the scale of each row."""
 
-    def __init__(self, rows: Sequence[tuple[Sequence[int], int]]):
+    def __init__(self, rows: Sequence[tuple[np.ndarray, int]]):
         self.n = len(rows)
-        self.row = np.repeat(np.arange(self.n), [len(f) for f, _ in rows])
-        self.feature = np.fromiter((x for f, _ in rows for x in f), np.int64, len(self.row))
+        self.feature = np.concatenate([np.zeros(0, np.int32), *[f for f, _ in rows]])
+        often = np.bincount(self.feature, minlength=1 << BITS) >= 3  # no model keeps rarer ones
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(f) for f, _ in rows])[often[self.feature]]
+        self.feature = self.feature[often[self.feature]]
         self.scale = 1 / np.sqrt(np.maximum(1, np.array([n for _, n in rows], float)))
 
     def fit(self, y: np.ndarray, use: np.ndarray, earlier: np.ndarray) -> Model:
@@ -126,7 +128,7 @@ class _Rows:
         return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
-def fit_chain(rows: Sequence[tuple[Sequence[int], int]], labels: np.ndarray, folds: int = FOLDS) -> list[Model]:
+def fit_chain(rows: Sequence[tuple[np.ndarray, int]], labels: np.ndarray, folds: int = FOLDS) -> list[Model]:
     """A model for each column of labels (0/1, negative: unknown) in order; rows: features and number of words."""
     data, n = _Rows(rows), len(rows)
     fold = np.arange(n) % folds
@@ -152,13 +154,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: Sequence[str],
         for batch in batches:
             found = [text_features(t) for t in batch.column("text").to_pylist()]
             rest = batch.select([i for i, c in enumerate(batch.schema.names) if c != "text"])
-            yield rest.append_column("features", pa.array([f for f, _ in found], pa.list_(pa.int32()))).append_column("words", pa.array([n for _, n in found], pa.int32()))
+            yield rest.append_column("features", pa.array([f.tobytes() for f, _ in found], pa.binary())).append_column("words", pa.array([n for _, n in found], pa.int32()))
 
     # the sample's size is bounded, so it may be broadcast
     joined = texts.join(F.broadcast(some), "doc_id").select("doc_id", *categories, "text")
-    schema = "doc_id long, " + ", ".join(f"`{c}` int" for c in categories) + ", features array<int>, words int"
+    schema = "doc_id long, " + ", ".join(f"`{c}` int" for c in categories) + ", features binary, words int"
     got = sorted(joined.mapInArrow(run, schema).toLocalIterator(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.words))
-    rows = [(r.features, r.words) for r in got]
+    rows = [(np.frombuffer(bytes(r.features), np.int32), r.words) for r in got]
     values = np.array([[-1 if r[c] is None else r[c] for c in categories] for r in got], int).reshape(len(got), len(categories))
     return rows, values
 
