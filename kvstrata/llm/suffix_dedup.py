@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 from .bpe import input_bytes
 from .common import discard, written
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 28
 #: Strings of a unit at most, units of a buffer, bytes hashed at once, bytes of input for each bucket.
-LONGEST, BUFFER, PIECE, BUCKET_BYTES = 64, 1_000_000, 1 << 20, 4 << 20
+LONGEST, BUFFER, PIECE, BUCKET_BYTES = 64, 400_000, 1 << 19, 4 << 20
+#: Texts that are Python objects at once.
+TEXTS = 512
 #: Bits of the filter for each shared key, and of the whole filter at most.
 KEY_BITS, MOST_BITS = 16, 1 << 29
 #: Units of a key above which it is hot, and bytes of one transform.
@@ -149,7 +151,7 @@ def buffers(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Buffer]:
             out.parts.append((texts[piece], starts - firsts[piece] + offsets[piece], count, key, content))
             out.n += len(starts)
 
-    for batch in batches:
+    for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
         pending, size = [], 0
         for doc_id, tag, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if text is None or len(text) < LENGTH:
@@ -351,10 +353,15 @@ def _send_units(shared, buckets: int, limit: int):
 
 
 def suffixes(text: np.ndarray) -> np.ndarray:
-    """Suffixes of numbers below 512, sorted by their first 96 or more; by doubling sorted prefixes."""
-    n, packed, size = len(text), np.zeros(len(text), np.int64), 6
+    """Suffixes of a text of small numbers, sorted by their first LENGTH numbers at least; by doubling sorted prefixes."""
+    n, there = len(text), np.zeros(int(text.max()) + 1, np.int64)
+    there[text] = 1
+    code = (np.cumsum(there) - 1)[text]  # 0 stays the smallest
+    bits = max(1, int(there.sum() - 1).bit_length())
+    size = 62 // bits
+    packed = np.zeros(n, np.int64)
     for i in range(size):
-        packed[: n - i] += text[i:].astype(np.int64) << (9 * (size - 1 - i))
+        packed[: n - i] += code[i:] << (bits * (size - 1 - i))
     while True:
         order = np.argsort(packed)
         if size >= LENGTH:
@@ -363,7 +370,7 @@ def suffixes(text: np.ndarray) -> np.ndarray:
         rank = np.zeros(n, np.int64)
         rank[order] = np.cumsum(np.r_[1, (ranked[1:] != ranked[:-1]).astype(np.int64)])
         packed = rank << 32
-        packed[: n - size] |= rank[size:]
+        packed[: max(0, n - size)] |= rank[size:]
         size *= 2
 
 
@@ -385,10 +392,16 @@ def long_prefixes(text: np.ndarray, order: np.ndarray, length: int = LENGTH) ->
         inner = before[live] > 0
         at = step[live[inner]]
         owner = owner[inner]
-        by = np.argsort(at, kind="stable")
-        at, owner = at[by], owner[by]
         if not len(at):
             break
+        if len(at) * 8 > n:
+            held = np.full(n, -1)
+            held[at] = owner
+            at = np.flatnonzero(held >= 0)
+            owner = held[at]
+        else:
+            by = np.argsort(at)
+            at, owner = at[by], owner[by]
         new = np.r_[True, (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1]) | (first[at[1:]] != first[at[:-1]])]
         starts = np.flatnonzero(new)
         sizes = np.diff(np.r_[starts, len(at)])
@@ -401,8 +414,8 @@ def long_prefixes(text: np.ndarray, order: np.ndarray, length: int = LENGTH) ->
     return unset[:n]
 
 
-def smaller_elsewhere(contents: list[bytes], ids: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each content, the starts of strings of length bytes that a content with a smaller id holds too."""
+def smaller_elsewhere(contents: list[bytes], ids: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Content and start, in order, of the strings of length bytes that a content with a smaller id holds too."""
     sizes = np.array([len(c) for c in contents])
     flat = np.frombuffer(b"".join(contents), np.uint8)
     firsts = np.cumsum(sizes + 1) - sizes  # each content follows a separator
@@ -421,14 +434,13 @@ def smaller_elsewhere(contents: list[bytes], ids: np.ndarray, length: int = LENG
     group = np.cumsum(~(same & rows & np.r_[False, rows[:-1]]))[rows]
     chosen = order[rows]
     if not len(chosen):
-        return [np.zeros(0, np.int64) for _ in contents]
+        return chosen, chosen
     at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     own = ids[who[chosen]]
     least = np.repeat(np.minimum.reduceat(own, at), np.diff(np.r_[at, len(group)]))
     hit = chosen[least < own]
-    hit = hit[np.argsort(hit)]
-    cuts = np.searchsorted(who[hit], np.arange(len(contents) + 1))
-    return [where[hit[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+    hit.sort()
+    return who[hit], where[hit]
 
 
 def _settle(text_bytes: int):
@@ -439,18 +451,22 @@ def _settle(text_bytes: int):
         ids, tags, starts, counts, keys = (np.concatenate(c) for c in (ids, tags, starts, counts, keys))
         contents = [x for part in contents for x in part]
         order = sorted(range(len(contents)), key=lambda i: (int(keys[i]), contents[i], int(ids[i])))
-        spans_of: list[np.ndarray] = []  # unit, start, stop in the document
+        whole: list[int] = []  # units that go
+        spans: list[np.ndarray] = []  # unit, start, stop in the document
         texts, owners, owner_ids, size = [], [], [], 0
 
         def expand() -> None:
             nonlocal texts, owners, owner_ids, size
             if len(texts) > 1:
-                for found, members in zip(smaller_elsewhere(texts, np.array(owner_ids, np.int64)), owners, strict=True):
-                    if len(found):
-                        cuts = np.flatnonzero(np.r_[True, np.diff(found) > 1])
-                        lo, hi = found[cuts], found[np.r_[cuts[1:] - 1, len(found) - 1]] + LENGTH
-                        for i in members:
-                            spans_of.append(np.column_stack([np.full(len(lo), i), starts[i] + lo, starts[i] + hi]))
+                who, where = smaller_elsewhere(texts, np.array(owner_ids, np.int64))
+                at = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (where[1:] != where[:-1] + 1)]) if len(who) else who
+                lo, hi, content = where[at], where[np.r_[at[1:] - 1, len(who) - 1]] + LENGTH if len(at) else at, who[at]
+                n = np.array([len(m) for m in owners])
+                flat, first = np.array([u for m in owners for u in m], np.int64), np.cumsum(n) - n
+                copies = n[content]
+                inner = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+                unit = flat[np.repeat(first[content], copies) + inner]
+                spans.append(np.column_stack([unit, starts[unit] + np.repeat(lo, copies), starts[unit] + np.repeat(hi, copies)]))
             texts, owners, owner_ids, size = [], [], [], 0
 
         i = 0
@@ -461,7 +477,7 @@ def _settle(text_bytes: int):
                 while j < len(order) and keys[order[j]] == keys[order[i]] and contents[order[j]] == content:
                     u = order[j]
                     if ids[u] > least:
-                        spans_of.append(np.array([[u, starts[u], starts[u] + counts[u] + LENGTH - 1]]))
+                        whole.append(u)
                     else:
                         members.append(u)
                     j += 1
@@ -476,15 +492,16 @@ def _settle(text_bytes: int):
                     expand()
             i = j
         expand()
-        if not spans_of:
+        u = np.array(whole, np.int64)
+        found = np.concatenate([np.column_stack([u, starts[u], starts[u] + counts[u] + LENGTH - 1]), *spans])
+        order = np.lexsort((tags[found[:, 0]], ids[found[:, 0]]))
+        found = found[order]
+        u = found[:, 0]
+        if not len(u):
             return []
-        spans = np.concatenate(spans_of)
-        u = spans[:, 0]
-        _, text = np.unique(np.column_stack([ids[u], tags[u]]), axis=0, return_inverse=True)
-        rows = {}
-        for t, x in zip(text.tolist(), u.tolist(), strict=True):
-            rows.setdefault(t, (None if ids[x] == NO_ID else int(ids[x]), int(tags[x])))
-        return _spans([rows[t] for t in range(len(rows))], text.ravel(), spans[:, 1], spans[:, 2])
+        new = np.r_[True, ~_same(ids[u], tags[u])]
+        rows = [(None if i == NO_ID else i, t) for i, t in zip(ids[u[new]].tolist(), tags[u[new]].tolist(), strict=True)]
+        return _spans(rows, np.cumsum(new) - 1, found[:, 1], found[:, 2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
@@ -523,7 +540,7 @@ def repeated_spans(docs: DataFrame, buffer: int = BUFFER, buckets: int | None =
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
         n_bytes, removed, runs, kept = [], [], [], []
         for text, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             n_bytes.append(len(text))
