@@ -1 +1 @@
-""" """
+"""Logical plans: mutation logs, snapshots and scans. Pure functions from DataFrame to DataFrame."""

@@ -1 +1 @@
-""" """
+"""Change feeds on Structured Streaming."""
