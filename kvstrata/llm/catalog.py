@@ -80,23 +80,30 @@ named AS (
   SELECT host, n, bad,
          CASE WHEN len(names) < 2 THEN host ELSE array_to_string(names[-2:], '.') END AS domain, names[-1] AS suffix
   FROM hosts),
-base AS (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) AS mean FROM named),
-s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(mean) AS mean0 FROM named, base GROUP BY suffix),
-s1 AS (SELECT sum(mean0 * (1 - mean0)) AS noise, sum(n * pow(bad / n - mean0, 2)) AS spread, sum(n * mean0 * (1 - mean0)) AS within FROM s0 WHERE n > 0),
+base AS (SELECT sum(n) AS p_n, sum(bad) AS p_bad, 0.5::DOUBLE AS p_mean, 1::DOUBLE AS p_size FROM named),
+s0 AS (
+  SELECT suffix, n, bad, p_size + p_n - n AS support, (p_size * p_mean + p_bad - bad) / (p_size + p_n - n) AS mean FROM (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY suffix) , base),
+s1 AS (
+  SELECT sum(mean * (1 - mean)) AS noise, sum(n * pow(bad / n - mean, 2)) AS spread, sum(n * mean * (1 - mean)) AS within FROM s0 WHERE n > 0),
 s2 AS (SELECT (spread - noise) / nullif(within - noise, 0) AS excess FROM s1),
 s3 AS (SELECT coalesce(least(greatest(CASE WHEN excess > 0 THEN 1 / excess - 1 ELSE 1000 END, 1), 1000), 1000) AS k FROM s2),
-suffixes AS (SELECT suffix, (k * mean0 + bad) / (k + n) AS mean0 FROM s0, s3),
-d0 AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, any_value(mean0) AS mean0 FROM named JOIN suffixes USING (suffix) GROUP BY suffix, domain),
-d1 AS (SELECT sum(mean0 * (1 - mean0)) AS noise, sum(n * pow(bad / n - mean0, 2)) AS spread, sum(n * mean0 * (1 - mean0)) AS within FROM d0 WHERE n > 0),
+s4 AS (SELECT suffix, n, bad, mean, 1 / (1 / k + 1 / support) AS size FROM s0, s3),
+d0 AS (
+  SELECT suffix, domain, n, bad, p_size + p_n - n AS support, (p_size * p_mean + p_bad - bad) / (p_size + p_n - n) AS mean FROM (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY suffix, domain) JOIN (SELECT suffix, n AS p_n, bad AS p_bad, mean AS p_mean, size AS p_size FROM s4) USING (suffix)),
+d1 AS (
+  SELECT sum(mean * (1 - mean)) AS noise, sum(n * pow(bad / n - mean, 2)) AS spread, sum(n * mean * (1 - mean)) AS within FROM d0 WHERE n > 0),
 d2 AS (SELECT (spread - noise) / nullif(within - noise, 0) AS excess FROM d1),
 d3 AS (SELECT coalesce(least(greatest(CASE WHEN excess > 0 THEN 1 / excess - 1 ELSE 1000 END, 1), 1000), 1000) AS k FROM d2),
-domains AS (SELECT domain, (k * mean0 + bad) / (k + n) AS mean0 FROM d0, d3),
-h0 AS (SELECT host, n, bad, mean0 FROM named JOIN domains USING (domain)),
-h1 AS (SELECT sum(mean0 * (1 - mean0)) AS noise, sum(n * pow(bad / n - mean0, 2)) AS spread, sum(n * mean0 * (1 - mean0)) AS within FROM h0 WHERE n > 0),
+d4 AS (SELECT suffix, domain, n, bad, mean, 1 / (1 / k + 1 / support) AS size FROM d0, d3),
+h0 AS (
+  SELECT host, n, bad, p_size + p_n - n AS support, (p_size * p_mean + p_bad - bad) / (p_size + p_n - n) AS mean FROM named JOIN (SELECT domain, n AS p_n, bad AS p_bad, mean AS p_mean, size AS p_size FROM d4) USING (domain)),
+h1 AS (
+  SELECT sum(mean * (1 - mean)) AS noise, sum(n * pow(bad / n - mean, 2)) AS spread, sum(n * mean * (1 - mean)) AS within FROM h0 WHERE n > 0),
 h2 AS (SELECT (spread - noise) / nullif(within - noise, 0) AS excess FROM h1),
 h3 AS (SELECT coalesce(least(greatest(CASE WHEN excess > 0 THEN 1 / excess - 1 ELSE 1000 END, 1), 1000), 1000) AS k FROM h2),
-post AS (SELECT host, (k * mean0 + bad) / (k + n) AS mean, k + n AS size FROM h0, h3),
-bounds AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (size + 1)) AS bound FROM post),
+h4 AS (SELECT host, n, bad, mean, 1 / (1 / k + 1 / support) AS size FROM h0, h3),
+post AS (SELECT host, (size * mean + bad) / (size + n) AS mean, size + n AS size FROM h4),
+bounds AS (SELECT host, mean - 1.645 * sqrt(greatest(mean * (1 - mean), 0) / (size + 1)) AS bound FROM post),
 rules(verdict, rule) AS (VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')),
 best AS (
   SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict

@@ -1,11 +1,11 @@
 """Operator 1: URL rules, and an empirical-Bayes reputation of hosts where no rule fits.
 
-Labelled page outcomes are counted for hosts. Bad rates are shrunk from the top down: a suffix towards the mean of
-all outcomes, a registered domain towards its suffix, a host towards its domain. Each level's beta-binomial prior
-has that mean and a strength (pseudo-outcomes) found by the method of moments from the level's own groups. A host
-is blocked when the lower bound of its posterior bad rate, z standard deviations under the mean, exceeds a limit:
-a host without outcomes inherits its domain's mean with the prior's strength only, so it is blocked on strong
-evidence about its domain alone.
+Labelled page outcomes are counted for hosts. Bad rates are shrunk from the top down: a suffix towards all outcomes,
+a registered domain towards its suffix, a host towards its domain. A group's beta-binomial prior has the mean of its
+parent, taken without the group's own outcomes. Its strength (pseudo-outcomes) is found by the method of moments from
+the groups of that level, and limited by what supports the parent's mean: the variances of both add up. A host is
+blocked when the lower bound of its posterior bad rate, z standard deviations under the mean, exceeds a limit. A host
+without outcomes has its prior only, so it is blocked on strong evidence about its domain alone.
 
 Sizes: outcomes are summed per host before any shuffle of groups; the final join takes narrow pages rows salted by
 page_id, so that one host with a third of all pages is dealt to many tasks.
@@ -72,39 +72,43 @@ def domain_and_suffix(host: Column, suffixes: tuple[str, ...] = TWO_NAME_SUFFIXE
     return domain, suffix
 
 
-def _strength(groups: DataFrame) -> Column:
-    """Pseudo-outcomes of the prior of groups (n, bad, mean0) about their means mean0, by the method of moments."""
-    noise = F.sum(F.col("mean0") * (1 - F.col("mean0")))
-    spread = F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("mean0"), 2))
-    within = F.sum(F.col("n") * F.col("mean0") * (1 - F.col("mean0")))
+def _strength() -> Column:
+    """Pseudo-outcomes of the prior of groups (n, bad, mean) about their means, by the method of moments."""
+    noise = F.sum(F.col("mean") * (1 - F.col("mean")))
+    spread = F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("mean"), 2))
+    within = F.sum(F.col("n") * F.col("mean") * (1 - F.col("mean")))
     # E[spread] = noise + (within - noise) / (strength + 1)
     excess = (spread - noise) / F.nullif(within - noise, F.lit(0.0))
     found = F.when(excess > 0, 1 / excess - 1).otherwise(STRONGEST)
     return F.coalesce(F.least(F.greatest(found, F.lit(WEAKEST)), F.lit(STRONGEST)), F.lit(STRONGEST))
 
 
-def _shrunk(groups: DataFrame, mean: str) -> DataFrame:
-    """groups (n, bad, mean0) with their posterior mean and the strength of the prior; every group stays."""
-    strength = groups.where("n > 0").agg(_strength(groups).alias("strength"))
-    return groups.withColumn("strength", strength.scalar()).withColumn(mean, (F.col("strength") * F.col("mean0") + F.col("bad")) / (F.col("strength") + F.col("n")))
+def _level(groups: DataFrame) -> DataFrame:
+    """groups (n, bad, and their parent's p_n, p_bad, p_mean, p_size) with their priors: mean and size."""
+    support = F.col("p_size") + F.col("p_n") - F.col("n")
+    groups = groups.withColumn("support", support).withColumn("mean", (F.col("p_size") * F.col("p_mean") + F.col("p_bad") - F.col("bad")) / F.col("support"))
+    strength = groups.where("n > 0").agg(_strength().alias("strength"))
+    return groups.withColumn("size", 1 / (1 / strength.scalar() + 1 / F.col("support"))).drop("support", "p_n", "p_bad", "p_mean", "p_size")
 
 
 def reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
     """host, n, bad, post_mean, post_bound from one row a host with its outcomes (host, n, bad).
 
-    post_bound is the lower bound of the posterior bad rate. Without any outcomes at all the mean is one half of one
-    of two pseudo-outcomes, hence nothing exceeds a limit of 0.5.
+    post_bound is the lower bound of the posterior bad rate. At the root the prior is one pseudo-outcome of mean 0.5.
     """
     domain, suffix = domain_and_suffix(F.col("host"))
-    hosts = hosts.select("host", "n", "bad", domain.alias("domain"), suffix.alias("suffix"))
-    total = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("mean"))
+    hosts = hosts.select("host", F.col("n").cast("double").alias("n"), F.col("bad").cast("double").alias("bad"), domain.alias("domain"), suffix.alias("suffix"))
     sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = _shrunk(hosts.groupBy("suffix").agg(*sums).withColumn("mean0", total.scalar()), "suffix_mean").select("suffix", F.col("suffix_mean").alias("mean0"))
-    domains = _shrunk(hosts.groupBy("suffix", "domain").agg(*sums).join(suffixes, "suffix"), "domain_mean").select("domain", F.col("domain_mean").alias("mean0"))
-    out = _shrunk(hosts.join(domains, "domain"), "post_mean")
-    size = F.col("strength") + F.col("n")
-    bound = F.col("post_mean") - z * F.sqrt(F.col("post_mean") * (1 - F.col("post_mean")) / (size + 1))
-    return out.select("host", "n", "bad", "post_mean", bound.alias("post_bound"))
+    total = hosts.agg(F.struct(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad")).alias("all")).scalar()
+    as_parent = lambda level, key: level.select(key, F.col("n").alias("p_n"), F.col("bad").alias("p_bad"), F.col("mean").alias("p_mean"), F.col("size").alias("p_size"))
+    suffixes = hosts.groupBy("suffix").agg(*sums).withColumn("p", total)
+    suffixes = _level(suffixes.select("suffix", "n", "bad", F.col("p.n").alias("p_n"), F.col("p.bad").alias("p_bad"), F.lit(0.5).alias("p_mean"), F.lit(1.0).alias("p_size")))
+    domains = _level(hosts.groupBy("suffix", "domain").agg(*sums).join(as_parent(suffixes, "suffix"), "suffix"))
+    found = _level(hosts.join(as_parent(domains, "domain"), "domain"))
+    mean = (F.col("size") * F.col("mean") + F.col("bad")) / (F.col("size") + F.col("n"))
+    found = found.withColumn("post_mean", mean)
+    spread = F.sqrt(F.greatest(F.col("post_mean") * (1 - F.col("post_mean")), F.lit(0.0)) / (F.col("size") + F.col("n") + 1))
+    return found.select("host", "n", "bad", "post_mean", (F.col("post_mean") - z * spread).alias("post_bound"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, z: float = Z, limit: float = LIMIT) -> DataFrame:
