@@ -27,6 +27,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Labelled rows that a chain is fitted on, folds, hashed features and those that a model keeps.
 SAMPLE, FOLDS, BITS, KEPT = 8000, 3, 20, 6000
+#: The probability above which a text is toxic; classes weigh alike in training, so the likelier one is over 0.5.
+LIMIT = 0.55
 #: Lengths of the word beginnings that are features.
 STEMS = (4, 5, 6)
 RIDGE, STEPS = 1e-4, 300
@@ -214,7 +216,7 @@ def categories_of(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").cast("long").alias("doc_id"), (1 - F.col("quality")).cast("int").alias("low_quality"), F.col("toxic").cast("int").alias("toxic"))
 
 
-def judge(docs: DataFrame, labelled: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, labelled: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: float = LIMIT) -> DataFrame:
     """docs with p_low_quality, p_toxic and is_toxic (p_toxic over the limit); the chain is fitted on labelled.
 
     Null and empty texts have no words and get the bias alone. Where no row is labelled toxic, none is found to be.
