@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .entries import little_endian, number
+
 #: Bounds of the bits of a filter: 8 KiB to 16 MiB.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 
@@ -52,3 +54,18 @@ def might_contain(words: Column, key: Column, bits: int, hashes: int) -> Column:
         hit = F.call_function("getbit", F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
         test = hit if test is None else test & hit
     return F.when(key.isNotNull(), test)
+
+
+def to_bytes(words: Column, bits: int, hashes: int) -> Column:
+    """A filter as bytes: u8 hashes, u64 bits, then the words as u64; little-endian (fixed format)."""
+    body = F.array_join(F.transform(words, lambda w: F.hex(little_endian(w, 8))), "")
+    return F.concat(little_endian(F.lit(hashes), 1), little_endian(F.lit(bits), 8), F.unhex(body))
+
+
+def from_bytes(data: Column) -> Column:
+    """Struct of hashes, bits and words of a filter's bytes."""
+    bits = number(data, F.lit(1), 8)
+    # a word may have its highest bit set, so its two halves are read
+    word = lambda i: F.shiftleft(number(data, 9 + i * 8 + 4, 4), 32).bitwiseOR(number(data, 9 + i * 8, 4))
+    words = F.transform(F.sequence(F.lit(0).cast("long"), F.shiftright(bits, 6) - 1), word)
+    return F.struct(number(data, F.lit(0), 1).alias("hashes"), bits.alias("bits"), words.alias("words"))

@@ -50,6 +50,25 @@ class Box:
             self._files.delete(generation.path)
         return generation
 
+    def ingest(self, mutations: DataFrame, checkpoint: str, name: str = "ingest", milliseconds: int | None = None):
+        """Write a stream of mutations (key, op, value, seq), one generation a micro-batch; returns the running query.
+
+        seq orders the mutations of a micro-batch; micro-batches follow one another. A micro-batch that is run again
+        after a failure is not written twice, as its number is committed with it. None: until the stream has no more.
+        """
+
+        def deliver(batch: DataFrame, number: int) -> None:
+            version = self._manifest.latest()
+            if version.batches.get(name, -1) >= number:
+                return
+            shifted = batch.select(F.col("key").cast("binary").alias("key"), "op", F.col("value").cast("binary").alias("value"), (F.col("seq") + version.next_seq).cast("long").alias("seq"))
+            generation = self._generation(shifted, version, unique=False)
+            kept = (*version.generations, generation) if generation.entries else version.generations
+            self._commit(replace(version, number=version.number + 1, next_seq=max(version.next_seq, generation.max_seq + 1), next_gen=version.next_gen + 1, generations=kept, batches=version.batches | {name: number}))
+
+        writer = mutations.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if milliseconds is None else writer.trigger(processingTime=f"{milliseconds} milliseconds")).start()
+
     def _generation(self, log: DataFrame, version: Version, unique: bool, sort: bool = True) -> Generation:
         path = f"{self.path}/gen-{version.next_gen:08d}-{uuid.uuid4().hex}"
         out = log.withColumn("gen", F.lit(version.next_gen).cast("long"))

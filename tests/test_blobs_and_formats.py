@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kvstrata.functions import bloom
 from kvstrata.functions import entries as wire
 from kvstrata.operators import chunks, stats
+from kvstrata.sources.blobs import BlobStore
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +81,30 @@ def test_bloom(spark):
     passed = {r.key for r in stats.bloom_semi(probe, keys, 2000).collect()}
     assert {f"k{i}" for i in range(2000)} <= passed and len(passed) < 2000 + 0.05 * 18_000
     assert stats.bloom_semi(probe, keys.limit(0), 10).count() == 0
+
+
+def test_filters_as_bytes(spark):
+    keys = spark.range(500).select(F.concat(F.lit("k"), "id").alias("key"))
+    words = bloom.build(keys, "key", 4096, 7)
+    packed = words.select(bloom.to_bytes(F.col("words"), 4096, 7).alias("b"))
+    raw = bytes(packed.first().b)
+    assert raw[0] == 7 and int.from_bytes(raw[1:9], "little") == 4096 and len(raw) == 9 + 512
+    back = packed.select(bloom.from_bytes(F.col("b")).alias("f")).first().f
+    assert (back.hashes, back.bits, back.words) == (7, 4096, words.first().words)
+
+
+def test_blob_store(spark, tmp_path):
+    store = BlobStore(spark, str(tmp_path / "blobs"), 1024)
+    data = bytes(range(250)) * 20
+    file_id = store.put_file(data, "a.bin", "x/y")
+    assert store.put_file(data, "other.bin") == file_id and store.file_count() == 1
+    assert store.get_metadata(file_id)["filename"] == "a.bin" and store.get_metadata(file_id)["chunk_count"] == 5
+    assert store.get_file(file_id) == data and store.read_chunk(file_id, 4) == data[4096:] and store.read_chunk(file_id, 5) is None
+    assert store.read_range(file_id, 1000, 100) == data[1000:1100] and store.read_range(file_id, 9999, 1) == b""
+    assert store.get_file("none") is None and store.read_range("none", 0, 1) is None and not store.delete_file("none")
+    empty = store.put_file(b"", "e")
+    assert store.get_file(empty) == b"" and store.file_count() == 2
+    assert BlobStore(spark, str(tmp_path / "blobs")).get_file(file_id) == data  # reopened
+    assert store.delete_file(file_id) and store.get_file(file_id) is None and store.file_count() == 1
+    rows = spark.createDataFrame([("x", "m", bytearray(b"one"), 1), ("y", "m", bytearray(b"one"), 2), ("z", "m", bytearray(data), 3)], "filename string, mime_type string, data binary, at long")
+    assert {r.filename for r in store.put_files(rows).collect()} == {"x", "z"} and store.get_file(file_id) == data

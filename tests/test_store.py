@@ -181,3 +181,18 @@ def test_events(spark):
     assert watch.bounded(feed, capacity=2).count() == 2
     assert [r.seq for r in watch.poll(feed, 0, 0).collect()] == [1]
     assert watch.matching(feed, "other").count() == 0 and watch.matching(feed, "box", "a").count() == 2
+
+
+def test_ingest_a_stream_once(spark, store, tmp_path):
+    log = spark.createDataFrame([("a", "put", "1", 0), ("b", "put", "2", 1), ("a", "delete", None, 2), ("c", "put", "3", 3)], "key string, op string, value string, seq long")
+    for i in range(3):
+        log.where(F.col("seq") % 3 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    box = store.box("in")
+    read = lambda: spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 99).parquet(str(tmp_path / "in"))
+    box.ingest(read(), str(tmp_path / "c1")).awaitTermination()
+    assert entries(box) == {"b": "2", "c": "3"} and box.segment_count() == 1
+    box.ingest(read(), str(tmp_path / "c2")).awaitTermination()  # batch 0 again, as after a lost checkpoint
+    assert box.segment_count() == 1
+    box.put("a", "later")
+    box.flush()
+    assert entries(box)["a"] == "later"
