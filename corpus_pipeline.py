@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvstrata.llm import bpe, curriculum, exact_dedup, simhash, toxicity
-from kvstrata.llm.common import discard, scratch, table, without, written
+from kvstrata.llm.common import scratch, sweep, table, without, written
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,15 +58,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; the last one's rows."""
-    docs, before = table(spark, sf_dir, "documents"), None
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
+    """All stages over the documents table; the last one's rows. What a stage leaves behind is deleted once its output is written."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
         path = scratch(spark, f"stage-{name}")
-        out.write.parquet(path)
-        if before:
-            discard(spark, before)
-        docs, before = spark.read.parquet(path), path
-    return docs
+        stage(spark, docs, sf_dir).write.parquet(path)
+        sweep(spark, path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -43,9 +43,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Paths that scratch() gave since the last sweep().
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path for a new table in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def sweep(spark: SparkSession, *keep: str) -> None:
+    """Delete all scratch tables but those to keep; for when what was computed from them has been written."""
+    discard(spark, *[p for p in _made if p not in keep])
+    _made[:] = [p for p in _made if p in keep]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .url_reputation import host_and_path
 
 #: Pages of a block, and the most blocks.
-ROWS, MOST_BLOCKS = 500, 20_000
+ROWS, MOST_BLOCKS = 500, 10_000
+#: Keys sampled for each block's bound; Spark's own 100 would be too much for the driver with many blocks.
+SAMPLED = 20
 
 #: Fixed sets of HTML names.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -284,6 +286,13 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
 
+def _block_edges(keys: DataFrame, blocks: int) -> list:
+    """The first and the last key of each of so many key ranges."""
+    by = ("host", "path", "page_id", "tag")
+    sorted_keys = keys.repartitionByRange(blocks, *by).sortWithinPartitions(*by)
+    return sorted_keys.mapInArrow(_edges, "host string, path string, page_id long, tag long, part int").collect()
+
+
 def extract(pages: DataFrame, rows: int = ROWS) -> DataFrame:
     """page_id, url, text of every row of pages (page_id, url, html).
 
@@ -296,7 +305,13 @@ def extract(pages: DataFrame, rows: int = ROWS) -> DataFrame:
     narrow = pages.select(host.alias("host"), path.alias("path"), F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.xxhash64("url", F.col("html").cast("string")).alias("tag"), F.col("html").cast("string").alias("html"))
     keys = narrow.select("host", "path", "page_id", "tag")
     blocks = max(1, min(MOST_BLOCKS, keys.count() // rows))
-    edges = keys.repartitionByRange(blocks, "host", "path", "page_id", "tag").sortWithinPartitions("host", "path", "page_id", "tag").mapInArrow(_edges, "host string, path string, page_id long, tag long, part int").collect()
+    setting = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    was = spark.conf.get(setting)
+    spark.conf.set(setting, str(SAMPLED))
+    try:
+        edges = _block_edges(keys, blocks)
+    finally:
+        spark.conf.set(setting, was)
     spans: dict[int, list] = {}
     for r in edges:
         spans.setdefault(r.part, []).append((r.host.encode(), r.path.encode(), r.page_id is not None, r.page_id or 0, r.tag))

@@ -24,6 +24,8 @@ from .common import written
 SCALE, K, EVERY = 64, 20, 20
 #: Vectors of a block, of the sample for the rotation, and of the longest as seeds.
 BLOCK, SAMPLE, LONGEST = 8192, 8192, 2048
+#: Blocks by length at most: with more vectors each is dealt into parts.
+MOST_BLOCKS = 1000
 #: Vectors of a run inside a block, and queries bounded at once.
 RUN, QUERIES = 1024, 512
 #: Components are held within this, so that they stay integers in a double.
@@ -191,7 +193,7 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE,
     turned = np.linalg.svd(some.T @ some)[2]  # the right singular vectors of the sample, largest first
     del some
     head = max(1, round(dim * head_share))
-    n_blocks = max(1, shape.n // block_rows)
+    n_blocks = max(1, min(MOST_BLOCKS, shape.n // block_rows))
     cuts = sorted(set(vectors.approxQuantile("norm", [i / n_blocks for i in range(1, n_blocks)], 0.001)), reverse=True) if n_blocks > 1 else []
     cut_at = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
     block = F.size(F.filter(cut_at, lambda c: F.col("norm") < c))
