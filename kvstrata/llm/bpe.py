@@ -33,7 +33,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 #: Bytes of input for each bucket of words.
 BUCKET_BYTES = 8 << 20
 #: Words encoded in one call, texts of a chunk, and ids of texts that are decoded at once.
-CALL, TEXTS, IDS = 4096, 10_000, 1 << 20
+CALL, TEXTS, IDS = 4096, 8000, 1 << 19
 
 
 def tokenizer(spec: bytes):
@@ -207,6 +207,11 @@ def encode(docs: DataFrame, path: str, chunk_texts: int = TEXTS, buckets: int |
     Null and empty texts have no ids; repeated rows, and rows with equal or null doc_id, are each encoded and
     returned. Other columns are ignored.
     """
+    return _placed(docs, path, chunk_texts, buckets).mapInArrow(_join, "doc_id long, ids array<int>")
+
+
+def _placed(docs: DataFrame, path: str, chunk_texts: int = TEXTS, buckets: int | None = None) -> DataFrame:
+    """Rows for _join(): each chunk's words with their ids, then its texts."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     buckets = buckets or int(min(8192, max(16, input_bytes(docs) // BUCKET_BYTES)))
@@ -215,11 +220,16 @@ def encode(docs: DataFrame, path: str, chunk_texts: int = TEXTS, buckets: int |
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
     dealt = rows.mapInArrow(_split(buckets, chunk_texts), ROWS_DDL).repartition(n, "place")
     coded = dealt.sortWithinPartitions("place").mapInArrow(_encode(spec), ROWS_DDL).repartition(n, "place")
-    both = dealt.unionByName(coded).repartition(n, "place").sortWithinPartitions("place", F.col("words").isNull())
-    return both.mapInArrow(_join, "doc_id long, ids array<int>")
+    return dealt.unionByName(coded).repartition(n, "place").sortWithinPartitions("place", F.col("words").isNull())
 
 
 def _pieces(spec: bytes) -> list[str | None]:
+    """The piece of each id."""
+    parts = json.loads(spec)
+    vocabulary = parts["model"]["vocab"]
+    if isinstance(vocabulary, dict):
+        numbered = {i: piece for piece, i in vocabulary.items()} | {t["id"]: t["content"] for t in parts.get("added_tokens", [])}
+        return [numbered.get(i) for i in range(max(numbered) + 1)]
     coder = tokenizer(spec)
     return [coder.id_to_token(i) for i in range(coder.get_vocab_size(with_added_tokens=True))]
 
@@ -266,13 +276,16 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs, encoded and then decoded."""
-    coded = encode(docs, path)
-    spec = coded.sparkSession.sparkContext.broadcast(read_spec(path))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs, encoded and then decoded.
+
+    Both, and the digests, are made in the task that has the ids, as ids and texts needn't leave it.
+    """
+    rows = _placed(docs, path)
+    spec = rows.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = digits = None
-        for batch in _runs(batches):
+        for batch in _runs(_join(batches)):
             if pieces is None:
                 pieces = pa.array(_pieces(spec.value), pa.string())
                 digits = pa.array(list(map(str, range(len(pieces)))), pa.string())
@@ -280,4 +293,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             hashes = [pa.array([sha256(x).hexdigest() for x in joined(ids, table).cast(pa.binary()).to_pylist()], pa.string()) for table in (digits, pieces)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.list_value_length(ids).cast(pa.int64()), *hashes], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return coded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
