@@ -360,7 +360,7 @@ def suffixes(text: np.ndarray) -> np.ndarray:
     bits = max(1, int(there.sum() - 1).bit_length())
     size = 62 // bits
     packed = np.zeros(n, np.int64)
-    for i in range(size):
+    for i in range(min(size, n)):
         packed[: n - i] += code[i:] << (bits * (size - 1 - i))
     while True:
         order = np.argsort(packed)

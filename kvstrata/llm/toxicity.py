@@ -82,8 +82,8 @@ class _Rows:
         """The model of y on the rows in use; earlier: logits of the earlier categories, a column each."""
         positive = y[use].sum()
         if not positive or positive == use.sum():
-            rate = (positive + 0.5) / (use.sum() + 1.0)
-            return Model({}, (0.0,) * earlier.shape[1], float(_logit(np.array([rate * 0.98]))[0]))
+            # labels of one class tell nothing: none is found, or all stay undecided
+            return Model({}, (0.0,) * earlier.shape[1], 0.0 if positive else -4.0)
         here = use[self.row]
         hot = y[self.row].astype(bool)
         size = 1 << BITS
@@ -219,7 +219,7 @@ def categories_of(labels: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labelled: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: float = LIMIT) -> DataFrame:
     """docs with p_low_quality, p_toxic and is_toxic (p_toxic over the limit); the chain is fitted on labelled.
 
-    Null and empty texts have no words and get the bias alone. Where no row is labelled toxic, none is found to be.
+    Null and empty texts have no words and get the bias alone. Where all labels are of one class, no text is found toxic.
     Null labels and labels without a document are unknown; of several labels of a document the largest counts.
     Repeated rows are judged alike and all returned.
     """
