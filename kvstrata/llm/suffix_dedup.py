@@ -28,21 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import input_bytes
-from .common import discard, written
+from .common import written
 
 LENGTH, GRAM = 50, 28
 #: Strings of a unit at most, units of a buffer, bytes hashed at once, bytes of input for each bucket.
 LONGEST, BUFFER, PIECE, BUCKET_BYTES = 64, 400_000, 1 << 19, 4 << 20
-#: Texts that are Python objects at once.
-TEXTS = 512
+#: Texts that are Python objects at once, and places (numbers under zero beside the buckets) for settled spans.
+TEXTS, PLACES = 512, 4096
 #: Bits of the filter for each shared key, and of the whole filter at most.
 KEY_BITS, MOST_BITS = 16, 1 << 29
 #: Units of a key above which it is hot, and bytes of one transform.
-HOT, TEXT = 200_000, 4 << 20
+HOT, TEXT = 200_000, 1 << 20
 NO_ID = 2**63 - 1
 
 _random = np.random.default_rng(20)
@@ -52,6 +54,14 @@ BASE = int(STEPS[40])
 BACK = pow(BASE, -1, 2**64)
 
 
+def _packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -215,7 +225,7 @@ def _collect_keys(buckets: int, limit: int):
                 gaps = np.diff(found[rows], prepend=np.uint64(0))
                 count = np.minimum(distinct[rows], 2**31 - 1).astype(np.uint32) * np.uint32(2) + several[rows]
                 planes = gaps.view(np.uint8).reshape(-1, 8).T.tobytes() + count.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-                out.append((b, zlib.compress(planes, 1)))
+                out.append((b, _packed(planes)))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "blob"])
 
     return run
@@ -243,7 +253,7 @@ def _share_keys(most_bits: int, hot: int):
         table = np.zeros(bits, np.uint8)
         for p in _bits(some, bits):
             table[p.astype(np.int64)] = 1
-        return bucket, zlib.compress(np.packbits(table, bitorder="little").tobytes(), 1), key[at][shared & (total > hot)].tobytes()
+        return bucket, _packed(np.packbits(table, bitorder="little").tobytes()), key[at][shared & (total > hot)].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, counts, out = None, [], [], []
@@ -253,7 +263,7 @@ def _share_keys(most_bits: int, hot: int):
                     out.append(close(now, keys, counts))
                     keys, counts = [], []
                 now = bucket
-                planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(12, -1)
+                planes = np.frombuffer(_unpacked(blob), np.uint8).reshape(12, -1)
                 keys.append(np.cumsum(np.ascontiguousarray(planes[:8].T).view(np.uint64).ravel(), dtype=np.uint64))
                 counts.append(np.ascontiguousarray(planes[8:].T).view("<u4").ravel())
         if now is not None:
@@ -283,7 +293,7 @@ def _spans(rows: list[tuple], text: np.ndarray, start: np.ndarray, stop: np.ndar
     out = []
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
         pairs = np.column_stack([start[at[a:b]], ends[a:b]]).astype("<i8")
-        out.append((None, *rows[int(text[at[a]])], pairs.tobytes()))
+        out.append((-1 - int(text[at[a]]) % PLACES, *rows[int(text[at[a]])], pairs.tobytes()))
     return out
 
 
@@ -296,12 +306,12 @@ def _pack(ids, tags, starts, counts, keys, contents: list[bytes]) -> bytes:
     """Units with their contents."""
     head = np.array([len(ids)], "<i8").tobytes()
     numbers = b"".join(np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in (ids, tags, starts, counts, keys.view(np.int64)))
-    return head + zlib.compress(numbers + b"".join(contents), 1)
+    return head + _packed(numbers + b"".join(contents))
 
 
 def _unpack(blob: bytes) -> tuple:
     n = int(np.frombuffer(blob[:8], "<i8")[0])
-    data = zlib.decompress(blob[8:])
+    data = _unpacked(blob[8:])
     planes = np.frombuffer(data, np.uint8, n * 40).reshape(5, 8, n)
     ids, tags, starts, counts, keys = (np.ascontiguousarray(p.T).view("<i8").ravel() for p in planes)
     cuts = np.cumsum(counts + LENGTH - 1) + n * 40
@@ -315,7 +325,7 @@ def _send_units(shared, buckets: int, limit: int):
         filters = hot = None
         for buffer in buffers(batches, limit):
             if filters is None:
-                filters = [np.frombuffer(zlib.decompress(f), np.uint8) if f else None for f in shared.value[0]]
+                filters = [np.frombuffer(_unpacked(f), np.uint8) if f else None for f in shared.value[0]]
                 hot = np.frombuffer(b"".join(shared.value[1]), np.uint64)
             text, start, count, key, content = buffer.columns()
             keep = np.zeros(len(key), bool)
@@ -444,7 +454,7 @@ def smaller_elsewhere(contents: list[bytes], ids: np.ndarray, length: int = LENG
 
 
 def _settle(text_bytes: int):
-    """Units, sorted by bucket, to the spans that go."""
+    """Units, sorted by bucket, to the spans that go; rows of spans are passed on."""
 
     def close(blobs: list[bytes]) -> list[tuple]:
         ids, tags, starts, counts, keys, contents = zip(*map(_unpack, blobs), strict=True)
@@ -505,7 +515,10 @@ def _settle(text_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
-        for batch in batches:
+        for whole in batches:
+            settled = pc.less(whole.column(0), 0)
+            yield whole.filter(settled)
+            batch = whole.filter(pc.invert(settled))
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if bucket != now and blobs:
                     yield _batch(close(blobs))
@@ -532,11 +545,8 @@ def repeated_spans(docs: DataFrame, buffer: int = BUFFER, buckets: int | None =
     rows = keys.mapInArrow(_share_keys(max(64, 1 << (MOST_BITS // buckets).bit_length() - 1), hot), "bucket int, filter binary, hot binary").collect()
     filters = {r.bucket: bytes(r.filter) for r in rows}
     shared = spark.sparkContext.broadcast(([filters.get(b) for b in range(buckets)], [bytes(r.hot) for r in rows]))
-    sent = written(texts.mapInArrow(_send_units(shared, buckets, buffer), FOUND_DDL), "repeat-units")
-    settled = sent.where("bucket IS NOT NULL").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle(text_bytes), FOUND_DDL)
-    out = written(sent.where("bucket IS NULL").unionByName(settled).select("doc_id", "tag", "blob"), "repeat-spans")
-    discard(spark, sent)
-    return out
+    sent = texts.mapInArrow(_send_units(shared, buckets, buffer), FOUND_DDL).repartition("bucket").sortWithinPartitions("bucket")
+    return written(sent.mapInArrow(_settle(text_bytes), FOUND_DDL).select("doc_id", "tag", "blob"), "repeat-spans")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
