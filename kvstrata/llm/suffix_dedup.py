@@ -38,13 +38,13 @@ from .common import written
 
 LENGTH, GRAM = 50, 28
 #: Strings of a unit at most, units of a buffer, bytes hashed at once, bytes of input for each bucket.
-LONGEST, BUFFER, PIECE, BUCKET_BYTES = 64, 400_000, 1 << 19, 4 << 20
+LONGEST, BUFFER, PIECE, BUCKET_BYTES = 64, 200_000, 1 << 18, 2 << 20
 #: Texts that are Python objects at once, and places (numbers under zero beside the buckets) for settled spans.
 TEXTS, PLACES = 512, 4096
 #: Bits of the filter for each shared key, and of the whole filter at most.
 KEY_BITS, MOST_BITS = 16, 1 << 29
 #: Units of a key above which it is hot, and bytes of one transform.
-HOT, TEXT = 200_000, 1 << 20
+HOT, TEXT = 200_000, 1 << 19
 NO_ID = 2**63 - 1
 
 _random = np.random.default_rng(20)
