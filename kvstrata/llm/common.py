@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -35,15 +37,20 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.withColumn("__tag", text_tag(docs)).join(names, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        path = tempfile.mkdtemp(prefix="kvstrata-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path.rstrip("/")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="kvstrata-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
 
 
-#: Paths that scratch() gave since the last sweep().
+#: Paths that scratch() has given.
 _made: list[str] = []
 
 
@@ -53,10 +60,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
-def sweep(spark: SparkSession, *keep: str) -> None:
-    """Delete all scratch tables but those to keep; for when what was computed from them has been written."""
-    discard(spark, *[p for p in _made if p not in keep])
-    _made[:] = [p for p in _made if p in keep]
+def made() -> int:
+    """The number of scratch paths so far, for sweep()."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int, *keep: str) -> None:
+    """Delete the scratch tables made since then but those to keep; for when what was computed from them is written."""
+    discard(spark, *[p for p in _made[since:] if p not in keep])
+    _made[since:] = [p for p in _made[since:] if p in keep]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

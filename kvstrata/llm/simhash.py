@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import discard, text_tag, written
 
 SEED = 42
-#: Shingles whose bits are counted at once.
-CHUNK = 1 << 15
+#: Shingles whose bits are counted at once, and texts that are Python objects at once.
+CHUNK, TEXTS = 1 << 15, 1024
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """doc_id, tag (a hash of the text, which tells rows of one doc_id apart) and fp (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             fps = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "tag", "fp"])
 

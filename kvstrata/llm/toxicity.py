@@ -27,6 +27,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Labelled rows that a chain is fitted on, folds, hashed features and those that a model keeps.
 SAMPLE, FOLDS, BITS, KEPT = 8000, 3, 20, 6000
+#: Texts that are Python objects at once, and words whose scores a task remembers.
+TEXTS, WORDS = 1024, 300_000
 #: The probability above which a text is toxic; classes weigh alike in training, so the likelier one is over 0.5.
 LIMIT = 0.55
 #: Lengths of the word beginnings that are features.
@@ -177,7 +179,7 @@ def score(docs: DataFrame, chain: Sequence[Model], categories: Sequence[str]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = [Model(*m) for m in shared.value]
         known: dict[str, tuple[float, ...]] = {}
-        for batch in batches:
+        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
             out = []
             for text in batch.column(at).to_pylist():
                 found = words(text)
@@ -185,7 +187,7 @@ def score(docs: DataFrame, chain: Sequence[Model], categories: Sequence[str]) ->
                 for w in found:
                     s = known.get(w)
                     if s is None:
-                        if len(known) >= 500_000:
+                        if len(known) >= WORDS:
                             known.clear()
                         f = features(w)
                         s = known[w] = tuple(sum(m.weights.get(x, 0.0) for x in f) for m in models)

@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, ascii_lower
+from .common import LOWER, UPPER, ascii_lower, written
 
 #: Suffixes of two names, under which domains are registered (fixed values; pass more where needed).
 TWO_NAME_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
@@ -122,7 +122,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     counts = outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     hosts = pages.join(counts, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    bounds = reputation(hosts, z).select("host", "post_bound", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    bounds = reputation(written(hosts, "hosts"), z).select("host", "post_bound", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = pages.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"), F.lit(0)))
     best = longest_rule(F.col("host"), F.col("path"), rules)
     judged = salted.join(bounds, ["host", "salt"]).withColumn("best", best)
