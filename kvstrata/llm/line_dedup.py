@@ -97,10 +97,11 @@ def dropped_lines(hashes: DataFrame, min_docs: int = MIN_DOCS, open_rows: int =
     rest = found.where("open")
     own = F.when(F.col("doc_id").isNull(), F.col("tag"))  # tells documents without an id apart
     documents = rest.groupBy("h1", "h2", "doc_id", own.alias("own")).agg(F.lit(1).alias("one"))
-    # two hashes a partition at most, and one for each open_rows rows
+    # two hashes a partition at most, and one for each open_rows rows: few enough to broadcast, so that the rows of a
+    # line in a third of all documents stay where they are
     hot = documents.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep"), F.min("own").alias("keep_own")).where(F.col("n") >= min_docs)
     keeps = F.when(F.col("keep").isNotNull(), F.col("doc_id").eqNullSafe(F.col("keep"))).otherwise(F.col("tag") == F.col("keep_own"))
-    settled = rest.join(hot, ["h1", "h2"]).where(~keeps)
+    settled = rest.join(F.broadcast(hot), ["h1", "h2"]).where(~keeps)
     return found.where("NOT open").select("doc_id", "tag", "pos").unionByName(settled.select("doc_id", "tag", "pos"))
 
 
