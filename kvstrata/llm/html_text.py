@@ -43,28 +43,41 @@ ENDS_P = BLOCKS - frozenset("body html caption dd dt li td th tr tbody thead tfo
 #: Words of class names, ids and roles of what is no article.
 WORDS = frozenset(
     "ad ads adsense advert adverts advertisement advertisements advertising alert alerts aside banner breadcrumb breadcrumbs captcha comment commentlist comments "
-    "complementary consent contentinfo cookie cookies dialog disqus footer form gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices "
+    "complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus footer form gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices "
     "notification pager pagination paywall popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup social sponsor "
     "sponsored subscribe subscription toc toolbar widget widgets".split()
 )
+BEGINNINGS = ("advert", "breadcrumb", "cookie", "footer", "navbar", "newsletter", "sidebar", "sponsor")
+ENDINGS = ("adverts", "comments", "footer", "menu", "navbar", "newsletter", "sidebar")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+HIDDEN = re.compile(r"(?i)display\s*:\s*none")
+MAIN_ROLE = re.compile(r"(?i)\brole\s*=\s*[\"']?main\b")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|([^\s=\"'/>]+)")
 
 
+def _says(value: str) -> bool:
+    """Do the words of a class name, id or role say that an element is no article?"""
+    for text in (value, CAMEL.sub(" ", value)):
+        words = re.split(r"[^a-z0-9]+", text.lower())
+        for i, w in enumerate(words):
+            if (w in WORDS or w.startswith(BEGINNINGS) or w.endswith(ENDINGS)) and not (i and words[i - 1] in ("with", "has", "no", "without")):
+                return True
+    return False
+
+
 def _away(tag: str, rest: str) -> bool:
     """Does an element say that it is no article?"""
     if tag in AWAY:
         return True
-    if not rest or tag in MAIN or tag in ("body", "html"):
+    if not rest or tag in ("main", "body", "html"):
         return False
     for name, value, alone in ATTRIBUTE.findall(rest):
-        name, value = (name or alone).lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+        name, value = (name or alone).lower(), value.strip("\"'")
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and HIDDEN.search(value)):
+            return True
+        if name in ("class", "id", "role") and _says(value):
             return True
-        if name in ("class", "id", "role"):
-            words = re.split(r"[^a-z0-9]+", value)
-            if any(w in WORDS and (i == 0 or words[i - 1] not in ("with", "has", "no", "without")) for i, w in enumerate(words)):
-                return True
     return False
 
 
@@ -124,7 +137,7 @@ def lines(page: str | None) -> list[tuple[str, str]]:
         _, away, main = stack[-1]
         if m["rest"].rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        stack.append((tag, away or _away(tag, m["rest"]), main or tag in MAIN or "role=\"main\"" in m["rest"]))
+        stack.append((tag, away or _away(tag, m["rest"]), main or tag in MAIN or MAIN_ROLE.search(m["rest"]) is not None))
     flush()
     return out
 

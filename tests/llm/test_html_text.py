@@ -19,6 +19,8 @@ from kvstrata.llm import html_text as H
         ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table><pre>e\n f</pre>", "a\n\nb\n\nc\n\nd\n\ne f"),
         ("<p>broken <b", "broken <b"),
         ("<p title='a>b'>q</p><![CDATA[raw <x>]]>", "q\n\nraw <x>"),
+        ("<article><p>a</p><article class='comment'><p>no</p></article></article><div id='siteFooter'>f</div>", "a"),
+        ("<div role='main'><p>a</p><div class='adBox'>x</div><div class='topmenu'>x</div><section class='userComments'>x</section><div class='no-comments'>b</div></div><p>c</p>", "a\n\nb"),
         ("<p>x</p></div></article></p>y", "x\n\ny"),
     ],
 )
