@@ -34,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import input_bytes
-from .common import written
+from .common import batches_of, release, written
 
 LENGTH, GRAM = 50, 28
 #: Strings of a unit at most, units of a buffer, bytes hashed at once, bytes of input for each bucket.
 LONGEST, BUFFER, PIECE, BUCKET_BYTES = 64, 200_000, 1 << 18, 2 << 20
 #: Texts that are Python objects at once, and places (numbers under zero beside the buckets) for settled spans.
 TEXTS, PLACES = 512, 4096
+#: Rows sent to Python at once.
+ROWS = 1000
 #: Bits of the filter for each shared key, and of the whole filter at most.
 KEY_BITS, MOST_BITS = 16, 1 << 29
 #: Units of a key above which it is hot, and bytes of one transform.
@@ -227,6 +229,7 @@ def _collect_keys(buckets: int, limit: int):
                 planes = gaps.view(np.uint8).reshape(-1, 8).T.tobytes() + count.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
                 out.append((b, _packed(planes)))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "blob"])
+        release()
 
     return run
 
@@ -358,6 +361,7 @@ def _send_units(shared, buckets: int, limit: int):
                 out.append((b, None, None, _pack(ids[rows], tags[rows], start[rows], count[rows], key[rows], parts)))
             for at in range(0, len(out), 256):
                 yield _batch(out[at : at + 256])
+        release()
 
     return run
 
@@ -527,6 +531,7 @@ def _settle(text_bytes: int):
                 blobs.append(blob)
         if blobs:
             yield _batch(close(blobs))
+        release()
 
     return run
 
@@ -542,11 +547,13 @@ def repeated_spans(docs: DataFrame, buffer: int = BUFFER, buckets: int | None =
     buckets = buckets or int(min(65536, max(16, input_bytes(docs) // BUCKET_BYTES)))
     keys = texts.mapInArrow(_collect_keys(buckets, buffer), BLOB).repartition("bucket").sortWithinPartitions("bucket")
     # at most MOST_BITS in all, a few bytes for each hot key of more than hot units
-    rows = keys.mapInArrow(_share_keys(max(64, 1 << (MOST_BITS // buckets).bit_length() - 1), hot), "bucket int, filter binary, hot binary").collect()
+    with batches_of(spark, ROWS):
+        rows = keys.mapInArrow(_share_keys(max(64, 1 << (MOST_BITS // buckets).bit_length() - 1), hot), "bucket int, filter binary, hot binary").collect()
     filters = {r.bucket: bytes(r.filter) for r in rows}
     shared = spark.sparkContext.broadcast(([filters.get(b) for b in range(buckets)], [bytes(r.hot) for r in rows]))
     sent = texts.mapInArrow(_send_units(shared, buckets, buffer), FOUND_DDL).repartition("bucket").sortWithinPartitions("bucket")
-    return written(sent.mapInArrow(_settle(text_bytes), FOUND_DDL).select("doc_id", "tag", "blob"), "repeat-spans")
+    with batches_of(spark, ROWS):
+        return written(sent.mapInArrow(_settle(text_bytes), FOUND_DDL).select("doc_id", "tag", "blob"), "repeat-spans")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
