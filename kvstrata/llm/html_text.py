@@ -332,5 +332,6 @@ def extract(pages: DataFrame, rows: int = ROWS) -> DataFrame:
     if not bounds:
         return spark.createDataFrame([], "page_id long, url string, text string")
     sent = narrow.mapInArrow(_parse(spark.sparkContext.broadcast(bounds)), DDL)
-    sent = sent.repartition("block").sortWithinPartitions("block", "host", "path", "page_id", "tag")
+    # a task has four blocks or so, however many pages there are
+    sent = sent.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // 4), "block").sortWithinPartitions("block", "host", "path", "page_id", "tag")
     return sent.select("block", "host", "path", "page_id", "url", "tag", "context", "lines", "roles").mapInArrow(_pair, "page_id long, url string, text string")
