@@ -186,8 +186,8 @@ def kv_batch_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kv_batch_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live entries after a batch of deletes."""
     log = event_log(spark, sf_dir)
-    gone = wanted(spark).crossJoin(log.agg((F.max("seq") + 1).alias("seq")))
-    tombstones = logs.deletes(gone, F.col("key"), F.col("seq"))
+    last = log.agg(F.max("seq")).scalar()
+    tombstones = logs.deletes(wanted(spark), F.col("key"), last + 1)
     return snapshot.merge(log.select("key", "op", "value", "seq"), tombstones).select("key", "value", "seq")
 
 
