@@ -77,7 +77,8 @@ def sweep(spark: SparkSession, since: int, *keep: str) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df from a table in the shared folder: cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with cleaning(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -92,15 +93,27 @@ def discard(spark: SparkSession, *frames_or_paths: DataFrame | str) -> None:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Actions inside send Python that many rows at once, at most: for whole texts, of which 10,000 take much memory twice."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as double underscores) for the actions inside."""
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    was = {k: spark.conf.get(k, None) for k in keys}
     try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(key, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def cleaning(spark: SparkSession):
+    """Actions inside delete their shuffle files when they end, as nothing reads those again."""
+    return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
+def batches_of(spark: SparkSession, rows: int):
+    """Actions inside send Python that many rows at once, at most: for whole texts, of which 10,000 take much memory twice."""
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows))
 
 
 def release() -> None:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import input_bytes
-from .common import batches_of, release, written
+from .common import batches_of, cleaning, release, written
 
 LENGTH, GRAM = 50, 28
 #: Strings of a unit at most, units of a buffer, bytes hashed at once, bytes of input for each bucket.
@@ -548,7 +548,7 @@ def repeated_spans(docs: DataFrame, buffer: int = BUFFER, buckets: int | None =
     buckets = buckets or int(min(65536, max(16, input_bytes(docs) // BUCKET_BYTES)))
     keys = texts.mapInArrow(_collect_keys(buckets, buffer), BLOB).repartition("bucket").sortWithinPartitions("bucket")
     # at most MOST_BITS in all, a few bytes for each hot key of more than hot units
-    with batches_of(spark, ROWS):
+    with batches_of(spark, ROWS), cleaning(spark):
         rows = keys.mapInArrow(_share_keys(max(64, 1 << (MOST_BITS // buckets).bit_length() - 1), hot), "bucket int, filter binary, hot binary").collect()
     filters = {r.bucket: bytes(r.filter) for r in rows}
     shared = spark.sparkContext.broadcast(([filters.get(b) for b in range(buckets)], [bytes(r.hot) for r in rows]))
