@@ -39,8 +39,8 @@ from .common import batches_of, cleaning, release, written
 LENGTH, GRAM = 50, 28
 #: Strings of a unit at most, units of a buffer, bytes hashed at once, bytes of input for each bucket.
 LONGEST, BUFFER, PIECE, BUCKET_BYTES = 64, 200_000, 1 << 18, 2 << 20
-#: Texts that are Python objects at once, and places (numbers under zero beside the buckets) for settled spans.
-TEXTS, PLACES = 512, 4096
+#: Texts that are Python objects at once, and spans that a task holds before it gives them out.
+TEXTS, SPANS = 512, 500_000
 #: Rows sent to Python at once.
 ROWS = 1000
 #: Bits of the filter for each shared key, and of the whole filter at most.
@@ -278,27 +278,77 @@ def _share_keys(most_bits: int, hot: int):
     return run
 
 
+#: Units of a bucket, or spans of a place (bucket: -1 - place), or (bucket null) spans of a document.
 FOUND = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("blob", pa.binary())])
 FOUND_DDL = "bucket int, doc_id long, tag long, blob binary"
 
 
-def _spans(rows: list[tuple], text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[tuple]:
-    """Spans [start, stop) of texts, merged, as one row a text."""
-    order = np.lexsort((start, text))
-    text, start, stop = text[order], start[order], stop[order]
-    if not len(text):
-        return []
-    shift = text.astype(np.int64) * (1 << 40)  # stops rise with the text, so one running maximum does for all
+def _merged(ids: np.ndarray, tags: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans [start, stop) of documents, sorted, those that overlap or touch as one."""
+    if not len(ids):
+        return ids, tags, start, stop
+    order = np.lexsort((start, tags, ids))
+    ids, tags, start, stop = ids[order], tags[order], start[order], stop[order]
+    shift = np.cumsum(np.r_[0, ~_same(ids, tags)]) << 40  # stops rise with the document, so one running maximum does for all
     reach = np.maximum.accumulate(stop + shift)
-    new = np.r_[True, (start + shift)[1:] > reach[:-1]]
-    at = np.flatnonzero(new)
-    ends = (reach - shift)[np.r_[at[1:] - 1, len(text) - 1]]
-    first = np.flatnonzero(np.r_[True, text[at][1:] != text[at][:-1]])
-    out = []
-    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
-        pairs = np.column_stack([start[at[a:b]], ends[a:b]]).astype("<i8")
-        out.append((-1 - int(text[at[a]]) % PLACES, *rows[int(text[at[a]])], pairs.tobytes()))
-    return out
+    at = np.flatnonzero(np.r_[True, (start + shift)[1:] > reach[:-1]])
+    return ids[at], tags[at], start[at], (reach - shift)[np.r_[at[1:] - 1, len(ids) - 1]]
+
+
+class Spans:
+    """Spans of a task, given out as one row for each place, which is a hash of the document."""
+
+    def __init__(self, places: int):
+        self.places, self.parts, self.n = places, [], 0
+
+    def add(self, ids, tags, start, stop) -> None:
+        if len(ids):
+            self.parts.append((ids, tags, start, stop))
+            self.n += len(ids)
+
+    def rows(self, least: int = 1) -> list[tuple]:
+        """Rows of all spans so far, if there are that many."""
+        if self.n < least:
+            return []
+        ids, tags, start, stop = _merged(*(np.concatenate(c) for c in zip(*self.parts, strict=True)))
+        self.parts, self.n = [], 0
+        place = (_mixed(tags.view(np.uint64) ^ ids.view(np.uint64)) % np.uint64(self.places)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[order], np.arange(self.places + 1))
+        return [(-1 - p, None, None, _columns(*(c[order[cuts[p] : cuts[p + 1]]] for c in (ids, tags, start, stop)))) for p in np.flatnonzero(np.diff(cuts)).tolist()]
+
+
+def _columns(*columns: np.ndarray) -> bytes:
+    """64-bit columns, compressed by byte planes."""
+    return _packed(b"".join(np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns))
+
+
+def _of_columns(blob: bytes, n: int) -> list[np.ndarray]:
+    planes = np.frombuffer(_unpacked(blob), np.uint8).reshape(n, 8, -1)
+    return [np.ascontiguousarray(p.T).view("<i8").ravel() for p in planes]
+
+
+def _of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of spans, sorted by place, to one row a document."""
+
+    def close(blobs: list[bytes]) -> pa.RecordBatch:
+        ids, tags, start, stop = _merged(*(np.concatenate(c) for c in zip(*[_of_columns(b, 4) for b in blobs], strict=True)))
+        first = np.flatnonzero(np.r_[True, ~_same(ids, tags)])
+        pairs = np.column_stack([start, stop]).astype("<i8")
+        out = [(None, None if ids[a] == NO_ID else int(ids[a]), int(tags[a]), pairs[a:b].tobytes()) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True)]
+        return _batch(out)
+
+    now, blobs = None, []
+    for batch in batches:
+        for place, blob in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if place != now and blobs:
+                yield close(blobs)
+                blobs = []
+            now = place
+            blobs.append(blob)
+    if blobs:
+        yield close(blobs)
+    release()
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -322,11 +372,12 @@ def _unpack(blob: bytes) -> tuple:
     return ids, tags, starts, counts, keys.view(np.uint64), [data[a:b] for a, b in zip([n * 40, *cuts.tolist()], cuts.tolist(), strict=False)]
 
 
-def _send_units(shared, buckets: int, limit: int):
+def _send_units(shared, buckets: int, limit: int, places: int):
     """Texts to their shared units by bucket, and to the spans that other texts of the buffer already settle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = hot = None
+        settled = Spans(places)
         for buffer in buffers(batches, limit):
             if filters is None:
                 filters = [np.frombuffer(_unpacked(f), np.uint8) if f else None for f in shared.value[0]]
@@ -354,14 +405,16 @@ def _send_units(shared, buckets: int, limit: int):
             at = np.flatnonzero(np.r_[True, ~_same(key, content)])
             least = np.repeat(ids[at], np.diff(np.r_[at, len(key)]))
             goes = ids > least
-            out = _spans(buffer.rows, text[goes], start[goes], (start + count)[goes] + LENGTH - 1)
-            text, start, count, key, ids = (c[~goes] for c in (text, start, count, key, ids))
             tags = np.array([r[1] for r in buffer.rows], np.int64)[text]
+            settled.add(ids[goes], tags[goes], start[goes], (start + count)[goes] + LENGTH - 1)
+            out = settled.rows(SPANS)
+            text, start, count, key, ids, tags = (c[~goes] for c in (text, start, count, key, ids, tags))
             for b, rows in _dealt(key, buckets):
                 parts = [buffer.texts[t][s : s + c + LENGTH - 1] for t, s, c in zip(text[rows].tolist(), start[rows].tolist(), count[rows].tolist(), strict=True)]
                 out.append((b, None, None, _pack(ids[rows], tags[rows], start[rows], count[rows], key[rows], parts)))
             for at in range(0, len(out), 256):
                 yield _batch(out[at : at + 256])
+        yield _batch(settled.rows())
         release()
 
     return run
@@ -458,10 +511,10 @@ def smaller_elsewhere(contents: list[bytes], ids: np.ndarray, length: int = LENG
     return who[hit], where[hit]
 
 
-def _settle(text_bytes: int):
+def _settle(text_bytes: int, places: int):
     """Units, sorted by bucket, to the spans that go; rows of spans are passed on."""
 
-    def close(blobs: list[bytes]) -> list[tuple]:
+    def close(blobs: list[bytes], out: Spans) -> None:
         ids, tags, starts, counts, keys, contents = zip(*map(_unpack, blobs), strict=True)
         ids, tags, starts, counts, keys = (np.concatenate(c) for c in (ids, tags, starts, counts, keys))
         contents = [x for part in contents for x in part]
@@ -509,29 +562,25 @@ def _settle(text_bytes: int):
         expand()
         u = np.array(whole, np.int64)
         found = np.concatenate([np.column_stack([u, starts[u], starts[u] + counts[u] + LENGTH - 1]), *spans])
-        order = np.lexsort((tags[found[:, 0]], ids[found[:, 0]]))
-        found = found[order]
         u = found[:, 0]
-        if not len(u):
-            return []
-        new = np.r_[True, ~_same(ids[u], tags[u])]
-        rows = [(None if i == NO_ID else i, t) for i, t in zip(ids[u[new]].tolist(), tags[u[new]].tolist(), strict=True)]
-        return _spans(rows, np.cumsum(new) - 1, found[:, 1], found[:, 2])
+        out.add(ids[u], tags[u], found[:, 1], found[:, 2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs = None, []
+        now, blobs, out = None, [], Spans(places)
         for whole in batches:
             settled = pc.less(whole.column(0), 0)
             yield whole.filter(settled)
             batch = whole.filter(pc.invert(settled))
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if bucket != now and blobs:
-                    yield _batch(close(blobs))
+                    close(blobs, out)
+                    yield _batch(out.rows(SPANS))
                     blobs = []
                 now = bucket
                 blobs.append(blob)
         if blobs:
-            yield _batch(close(blobs))
+            close(blobs, out)
+        yield _batch(out.rows())
         release()
 
     return run
@@ -543,7 +592,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, buffer: int = BUFFER, buckets: int | None = None, hot: int = HOT, text_bytes: int = TEXT) -> DataFrame:
-    """doc_id, tag, blob: spans [start, stop) of bytes that go, as pairs of 64-bit numbers; several rows a document."""
+    """doc_id, tag, blob: spans [start, stop) of bytes that go, as pairs of 64-bit numbers; one row a document."""
     spark, texts = docs.sparkSession, _texts(docs)
     buckets = buckets or int(min(65536, max(16, input_bytes(docs) // BUCKET_BYTES)))
     keys = texts.mapInArrow(_collect_keys(buckets, buffer), BLOB).repartition("bucket").sortWithinPartitions("bucket")
@@ -552,30 +601,25 @@ def repeated_spans(docs: DataFrame, buffer: int = BUFFER, buckets: int | None =
         rows = keys.mapInArrow(_share_keys(max(64, 1 << (MOST_BITS // buckets).bit_length() - 1), hot), "bucket int, filter binary, hot binary").collect()
     filters = {r.bucket: bytes(r.filter) for r in rows}
     shared = spark.sparkContext.broadcast(([filters.get(b) for b in range(buckets)], [bytes(r.hot) for r in rows]))
-    sent = texts.mapInArrow(_send_units(shared, buckets, buffer), FOUND_DDL).repartition("bucket").sortWithinPartitions("bucket")
+    places = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = texts.mapInArrow(_send_units(shared, buckets, buffer, places), FOUND_DDL).repartition("bucket").sortWithinPartitions("bucket")
+    settled = sent.mapInArrow(_settle(text_bytes, places), FOUND_DDL).repartition("bucket").sortWithinPartitions("bucket")
     with batches_of(spark, ROWS):
-        return written(sent.mapInArrow(_settle(text_bytes), FOUND_DDL).select("doc_id", "tag", "blob"), "repeat-spans")
+        return written(settled.mapInArrow(_of_documents, FOUND_DDL).select("doc_id", "tag", "blob"), "repeat-spans")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
         n_bytes, removed, runs, kept = [], [], [], []
-        for text, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             n_bytes.append(len(text))
-            pairs = np.concatenate([np.frombuffer(b, "<i8").reshape(-1, 2) for b in blobs]) if blobs else np.zeros((0, 2), np.int64)
+            pairs = np.frombuffer(blob or b"", "<i8").reshape(-1, 2).tolist()
             at, parts, n = 0, [], 0
-            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-            if len(pairs):
-                reach = np.maximum.accumulate(pairs[:, 1])
-                new = np.r_[True, pairs[1:, 0] > reach[:-1]]
-                first = np.flatnonzero(new)
-                for a, b in zip(pairs[first, 0].tolist(), reach[np.r_[first[1:] - 1, len(pairs) - 1]].tolist(), strict=True):
-                    parts.append(text[at:a])
-                    n += b - a
-                    at = b
-                runs.append(len(first))
-            else:
-                runs.append(0)
+            for a, b in pairs:
+                parts.append(text[at:a])
+                n += b - a
+                at = b
+            runs.append(len(pairs))
             parts.append(text[at:])
             removed.append(n)
             kept.append(b"".join(parts))
@@ -589,7 +633,6 @@ def deduplicate(docs: DataFrame, **settings: int) -> DataFrame:
     null doc_id is larger than any other: such rows lose what identified documents hold, and nothing is lost to
     them. Strings are judged on the input. Other columns are ignored.
     """
-    spans = repeated_spans(docs, **settings).groupBy("doc_id", "tag").agg(F.collect_list("blob").alias("blobs"))
-    spans = spans.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "blobs")
+    spans = repeated_spans(docs, **settings).select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "blob")
     rows = _texts(docs).join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")), "left")
-    return rows.select("doc_id", "text", "blobs").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.select("doc_id", "text", "blob").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
