@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvstrata.llm import bpe, curriculum, exact_dedup, simhash, toxicity
+from kvstrata.llm import bpe, curriculum, exact_dedup, near_copies, toxicity
 from kvstrata.llm.common import made, scratch, sweep, table, without, written
 
 
@@ -27,8 +27,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates by SimHash the document with the smallest doc_id; those without an id come last."""
-    rows = written(simhash.classes(docs), "near")
+    """Of each group of near copies the document with the smallest doc_id; those without an id come last."""
+    rows = written(near_copies.groups(docs), "near")
     name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag")
     stays = rows.groupBy("root").agg(F.min(name).alias("stays"))
     gone = rows.join(stays, "root").where(~name.eqNullSafe(F.col("stays"))).select("doc_id", "tag")
