@@ -5,7 +5,8 @@ common prefix. The text lines (blocks) of both are aligned by a longest common s
 deleted: what two pages of a site share is its frame. Two rules complete this. Lines inside an article or main
 element are never deleted, else two addresses of one article would empty each other. And lines whose elements say
 that they are no article (menus, headers, footers, sidebars, notices, adverts, forms, comments) go even where no
-other page of the host shares them; where a page has an article or main element, so does all text outside it.
+other page of the host shares them. Only where a page has no mate with text, and an article or main element, does all
+text outside that go.
 
 Distribution: the bounds of blocks of about ROWS pages are found by range-partitioning the narrow keys. Pages are
 parsed where they are read and sent to their block, and the first and last page of each block also to the block
@@ -225,9 +226,11 @@ def _last(a: list[str], b: list[str]) -> list[int]:
 
 def main_text(own: list[str], roles: str, mate: list[str] | None) -> str:
     """The lines that stay of a page, given those of its mate."""
-    shared = common(own, mate) if mate else set()
-    wanted = "m" if "m" in roles else "b"
-    return "\n\n".join([x for i, (x, r) in enumerate(zip(own, roles, strict=True)) if r == wanted and (r == "m" or i not in shared)])
+    if mate:
+        shared = common(own, mate)
+        return "\n\n".join([x for i, (x, r) in enumerate(zip(own, roles, strict=True)) if r == "m" or (r == "b" and i not in shared)])
+    wanted = "m" if "m" in roles else "b"  # nothing tells what lies outside the article from a frame
+    return "\n\n".join([x for x, r in zip(own, roles, strict=True) if r == wanted])
 
 
 def _prefix(a: str, b: str) -> int:

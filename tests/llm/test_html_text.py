@@ -100,3 +100,10 @@ def test_any_blocks_give_the_same(spark, rows):
 
 def test_empty(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_differencing_decides_outside_the_article(spark):
+    page = "<div>site frame</div><article><p>teaser {0}</p></article><div><p>own text {0}</p></div><div>site end</div>"
+    rows = [(i, f"http://h.com/a/{i}", page.format(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"teaser {i}\n\nown text {i}" for i in range(3)}
