@@ -36,7 +36,7 @@ SAMPLED = 20
 #: Fixed sets of HTML names.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript iframe template textarea title xmp noembed noframes svg math object canvas audio video".split())
+RAW = frozenset("script style noscript iframe template textarea title xmp noembed noframes canvas audio video".split())
 AWAY = frozenset("nav header footer aside form menu dialog head button select search fieldset".split())
 MAIN = frozenset("article main".split())
 #: Opening one of these ends an open p.
@@ -67,33 +67,43 @@ def _says(value: str) -> bool:
     return False
 
 
-def _away(tag: str, rest: str) -> bool:
-    """Does an element say that it is no article?"""
+#: How surely an element is no article: by a word inside a class name, by a whole one, by its tag or as it is hidden.
+PART, WHOLE, SURE = 1, 2, 3
+
+
+def _away(tag: str, rest: str) -> int:
+    """How surely does an element say that it is no article? 0 if it doesn't."""
     if tag in AWAY:
-        return True
+        return SURE
     if not rest or tag in ("main", "body", "html"):
-        return False
+        return 0
+    found = 0
     for name, value, alone in ATTRIBUTE.findall(rest):
         name, value = (name or alone).lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and HIDDEN.search(value)):
-            return True
+            return SURE
         if name in ("class", "id", "role") and _says(value):
-            return True
-    return False
+            found = max(found, WHOLE if WORDS.intersection(value.lower().split()) else PART)
+    return found
 
 
 def lines(page: str | None) -> list[tuple[str, str]]:
-    """(text, role) of the blocks of a page in order; roles: m in an article or main element, x no article, b else."""
+    """(text, role) of the blocks of a page in order; roles: m in an article or main element, x no article, b else.
+
+    Class words don't remove main. A word inside a class name doesn't remove an article whose text outweighs that of
+    the other articles, nor do class words remove all the text that there is.
+    """
     out: list[tuple[str, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # tag, away, main
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, away, main
     page, at = page or "", 0
     skip = None  # raw element whose end is sought
 
     def flush() -> None:
         if parts and (text := " ".join(html.unescape("".join(parts)).split())):
             _, away, main = stack[-1]
-            out.append((text, "x" if away else "m" if main else "b"))
+            role = "x" if away == SURE else "a" if away == PART and main else "c" if away else "m" if main else "b"
+            out.append((text, role))
         parts.clear()
 
     while at < len(page):
@@ -138,14 +148,30 @@ def lines(page: str | None) -> list[tuple[str, str]]:
         _, away, main = stack[-1]
         if m["rest"].rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        stack.append((tag, away or _away(tag, m["rest"]), main or tag in MAIN or MAIN_ROLE.search(m["rest"]) is not None))
+        whole = tag == "main" or MAIN_ROLE.search(m["rest"]) is not None
+        own = _away(tag, m["rest"])
+        if not main and own < SURE and (whole or (tag == "article" and own == PART)):
+            own = 0
+        if main and own == PART:
+            own = WHOLE  # a part of an article, not what contains it
+        if whole and not main and away < SURE:
+            away = 0
+        stack.append((tag, max(away, own), main or whole or tag in MAIN))
     flush()
-    return out
+    return _settled(out)
+
+
+def _settled(found: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Roles m, b and x in place of a, an article in an element with a word in its class name, and c, in other such text."""
+    size = {r: sum(len(x) for x, role in found if role == r) for r in "ambc"}
+    a = "m" if size["a"] > size["m"] else "x"
+    c = "b" if not size["m"] + size["b"] + (size["a"] if a == "m" else 0) else "x"
+    return [(x, {"a": a, "c": c}.get(r, r)) for x, r in found]
 
 
 def _edge(tag: str, rest: str, stack: list) -> bool:
     """Does an inline element begin something that is no article? Its text is then a line of its own."""
-    return bool(rest) and not stack[-1][1] and _away(tag, rest)
+    return bool(rest) and not stack[-1][1] and _away(tag, rest) > 0
 
 
 def _close(stack: list, tags, within) -> None:

@@ -107,3 +107,21 @@ def test_differencing_decides_outside_the_article(spark):
     rows = [(i, f"http://h.com/a/{i}", page.format(i)) for i in range(3)]
     got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"teaser {i}\n\nown text {i}" for i in range(3)}
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div class='content-sidebar-wrap'><main><p>a</p></main></div><div>f</div>", "a"),
+        ("<div class='layout-sidebar-right'><article><p>a</p></article></div>", "a"),
+        ("<div class='sidebar'><div id='main' role='main'><p>a</p></div></div>", "a"),
+        ("<article class='post category-social'><p>a</p><div class='share-box'>s</div></article><aside><article><p>no</p></article></aside>", "a"),
+        ("<article class='post cookie-recipe'><p>a</p></article>", "a"),
+        ("<div class='page-widget'><p>all there is</p></div>", "all there is"),
+        ("<article><p>a</p></article><ol class='comment-list'><li class='comment'><article class='comment-body'><p>longer than the article</p></article></li></ol>", "a"),
+        ("<article><p>a <math><mi>x</mi></math> b</p><object>c</object><svg><text>d</svg><p>e</p><svg><p>f</article>", "a x b\n\ncd\n\ne\n\nf"),
+    ],
+)
+def test_class_words_never_remove_the_article(page, text):
+    found = H.lines(page)
+    assert H.main_text([x for x, _ in found], "".join(r for _, r in found), None) == text
