@@ -183,6 +183,13 @@ def kv_batch_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.latest(event_log(spark, sf_dir).where("gen = 0")).select("key", "op", "value", "seq")
 
 
+def kv_batch_lww_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every generation as one batch: of equal keys in each the last wins."""
+    log = event_log(spark, sf_dir)
+    newest = log.groupBy("gen", "key").agg(F.max_by(F.struct("op", "value", "seq"), "seq").alias("last"))
+    return newest.select("gen", "key", "last.op", "last.value", "last.seq")
+
+
 def kv_batch_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live entries after a batch of deletes."""
     log = event_log(spark, sf_dir)
@@ -320,7 +327,7 @@ def bloom_fp(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     kv_live, kv_get, kv_exists, kv_get_all, kv_get_or_default, kv_scan, kv_scan_prefix, kv_scan_range, kv_scan_prefix_range, kv_page_reverse, kv_page_prefix_range, kv_keys, kv_search,
     kv_json_field, kv_json_where, kv_json_variant, kv_update_json, kv_count_approx, kv_count_exact, kv_gen_stats, kv_box_stats, kv_bytes, kv_compact, kv_merge, kv_as_of, kv_update_counter,
-    kv_update_fold, kv_batch_lww, kv_batch_delete, kv_remove, kv_wal_replay, kv_sparse_index, kv_watch_collection, kv_watch_global, kv_watch_prefix_bounded, kv_watch_fanout, kv_poll,
+    kv_update_fold, kv_batch_lww, kv_batch_lww_all, kv_batch_delete, kv_remove, kv_wal_replay, kv_sparse_index, kv_watch_collection, kv_watch_global, kv_watch_prefix_bounded, kv_watch_fanout, kv_poll,
     kv_bloom_semi, kv_key_join, kv_conversation_scan, kv_lineitem_scan, kv_label_get_all, blob_files, blob_chunks, blob_assemble, blob_read_range, blob_dedup, blob_crc, codec_roundtrip,
     compress_roundtrip, bloom_fp,
 )
@@ -378,6 +385,7 @@ UNION ALL SELECT 'customers', count(DISTINCT key), 1, count(DISTINCT key), count
     "kv_as_of": "SELECT key, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE seq <= 499) WHERE rn = 1 AND op = 'put'",
     "kv_update_counter": "SELECT key, count(*) AS puts FROM log WHERE op = 'put' GROUP BY key",
     "kv_update_fold": "SELECT key, list_reduce(list(CAST(coalesce(json_extract_string(value, '$.k'), '0') AS INT) ORDER BY seq), lambda s, k: greatest(s, k) + 1, 0) AS value FROM log WHERE op = 'put' GROUP BY key",
+    "kv_batch_lww_all": "SELECT gen, key, op, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY gen, key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1",
     "kv_batch_lww": "SELECT key, op, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE gen = 0) WHERE rn = 1",
     "kv_batch_delete": "SELECT key, value, seq FROM live WHERE key NOT IN (SELECT key FROM wanted)",
     "kv_remove": "SELECT key, value, seq FROM live WHERE key NOT IN (SELECT key FROM wanted)",
