@@ -1,11 +1,13 @@
 """The queries over the driver tables, and the SQL that must give the same rows.
 
 The events table is read as a mutation log: key u:<user id>, an event of type error deletes, all others put their
-props; seq is the event id and a generation has 1000 of them. Documents are blobs. Ordered results carry pos.
+props; seq is the event id and a generation has 1000 of them. Documents are blobs. Ordered results carry pos. The
+store_ queries write through boxes on disk, in the folder that driver and executors share, and read them again.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,10 @@ from .operators import chunks, lookup, stats
 from .plans import log as logs
 from .plans import snapshot
 from .plans.query import KVQuery
+from .sources.blobs import BlobStore
+from .sources.config import Config
+from .sources.files import shared_dir
+from .sources.store import Box, Store
 from .streaming import watch
 
 GEN = 1000
@@ -289,7 +295,8 @@ def blob_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blob_read_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes 1000 to 1099 of every file, over a chunk's edge."""
     all_blobs = blobs(spark, sf_dir)
-    found = chunks.read_range(chunks.split(all_blobs, CHUNK), chunks.files(all_blobs, CHUNK), 1000, 100)
+    parts = chunks.split(all_blobs, CHUNK, 1000 // CHUNK, 1099 // CHUNK)  # only these chunks are cut
+    found = chunks.read_range(parts, chunks.files(all_blobs, CHUNK), 1000, 100)
     return found.select("file_id", F.hex("data").alias("data_hex"))
 
 
@@ -324,12 +331,111 @@ def bloom_fp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passed.agg(F.count_if(~hit).alias("found"), (F.count_if(hit) < 500).alias("few_false"))
 
 
+def _fresh_store(spark: SparkSession, config: Config | None = None) -> Store:
+    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", config)
+
+
+def _filled(spark: SparkSession, sf_dir: str, config: Config | None = None, runs: int = 4) -> tuple[Store, Box]:
+    """A box on disk into which the whole event log was written in some runs, of which the oldest are merged in between."""
+    store, log = _fresh_store(spark, config), event_log(spark, sf_dir)
+    box = store.box("events")
+    lo, hi = log.agg(F.min("seq"), F.max("seq")).first()
+    cuts = [lo + (hi + 1 - lo) * i // runs for i in range(runs + 1)]
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        box.write(log.where((F.col("seq") >= a) & (F.col("seq") < b)).withColumn("seq", F.col("seq") - a))
+        if i == 2:
+            box.compact(2, 2)
+    return store, box
+
+
+def _strings(entries: DataFrame) -> DataFrame:
+    return entries.select(F.decode("key", "utf-8").alias("key"), F.decode("value", "utf-8").alias("value"))
+
+
+def store_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live entries of a box after runs and a compaction, opened again."""
+    store, _ = _filled(spark, sf_dir)
+    store.close()
+    return _strings(Store(spark, store.path).box("events").live())
+
+
+def store_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live entries of a box whose runs were all merged."""
+    _, box = _filled(spark, sf_dir)
+    box.compact(1, 99)
+    return _strings(box.query().entries())
+
+
+def store_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, box = _filled(spark, sf_dir)
+    return box.scan_strings(prefix="u:0000", start_key=RANGE[0], end_key=RANGE[1], reverse=True, offset=2, limit=7)
+
+
+def store_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live entries after a buffered batch of deletes and a flush."""
+    store, box = _filled(spark, sf_dir, Config(sync_writes=False))
+    box.batch_delete(KEYS)
+    store.close()
+    return _strings(Store(spark, store.path).box("events").live())
+
+
+def store_get_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-get that sees buffered writes over committed ones."""
+    _, box = _filled(spark, sf_dir, Config(sync_writes=False))
+    box.put(KEYS[0], "buffered")
+    return _strings(box.get_all(KEYS))
+
+
+def store_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live entries after a JSON update of one key and a put of a new one."""
+    _, box = _filled(spark, sf_dir)
+    box.update_json(KEYS[1], lambda old: {"k": 1 + (old or {"k": 0})["k"]})
+    box.put_json("u:999999", {"k": 0})
+    return box.query().json("k int").select(F.decode("key", "utf-8").alias("key"), F.col("value.k").alias("k"))
+
+
+def store_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of a box that was cleared and then given the customers."""
+    _, box = _filled(spark, sf_dir)
+    box.clear()
+    box.write(customer_box(spark, sf_dir))
+    return _strings(box.live())
+
+
+def store_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed of a box: every mutation once, compacted or not, then a clear."""
+    _, box = _filled(spark, sf_dir)
+    box.compact(1, 99)
+    box.clear()
+    return box.events().select("collection", F.decode("key", "utf-8").alias("key"), "change_type")
+
+
+def store_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same feed as a stream of all boxes, delivered to a table, for keys of a prefix."""
+    store, box = _filled(spark, sf_dir)
+    box.compact(1, 99)
+    feed = watch.matching(store.watch(max_files=2), "events", "u:0000").select("collection", F.decode("key", "utf-8").alias("key"), "change_type")
+    out = f"{store.path}/delivered"
+    feed.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{store.path}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(feed.schema).parquet(out)
+
+
+def store_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through a blob store, in two deliveries that share contents, and put together again."""
+    files = BlobStore(spark, f"{shared_dir(spark)}/blobs-{uuid.uuid4().hex}", CHUNK)
+    rows = blobs(spark, sf_dir)
+    files.put_files(rows.where(F.col("at") % 2 == 0))
+    files.put_files(rows)
+    whole = chunks.assemble(files.chunks(), files.list_files())
+    return whole.select("file_id", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("sha"))
+
+
 QUERIES = (
     kv_live, kv_get, kv_exists, kv_get_all, kv_get_or_default, kv_scan, kv_scan_prefix, kv_scan_range, kv_scan_prefix_range, kv_page_reverse, kv_page_prefix_range, kv_keys, kv_search,
     kv_json_field, kv_json_where, kv_json_variant, kv_update_json, kv_count_approx, kv_count_exact, kv_gen_stats, kv_box_stats, kv_bytes, kv_compact, kv_merge, kv_as_of, kv_update_counter,
     kv_update_fold, kv_batch_lww, kv_batch_lww_all, kv_batch_delete, kv_remove, kv_wal_replay, kv_sparse_index, kv_watch_collection, kv_watch_global, kv_watch_prefix_bounded, kv_watch_fanout, kv_poll,
     kv_bloom_semi, kv_key_join, kv_conversation_scan, kv_lineitem_scan, kv_label_get_all, blob_files, blob_chunks, blob_assemble, blob_read_range, blob_dedup, blob_crc, codec_roundtrip,
-    compress_roundtrip, bloom_fp,
+    compress_roundtrip, bloom_fp, store_live, store_compact, store_scan, store_delete, store_get_all, store_update, store_clear, store_events, store_stream, store_blobs,
 )
 
 
@@ -413,6 +519,17 @@ UNION ALL SELECT 'customers', count(DISTINCT key), 1, count(DISTINCT key), count
     "blob_dedup": "SELECT file_id, count(*) AS copies FROM blobs GROUP BY file_id HAVING count(*) > 1",
     "codec_roundtrip": "SELECT key, value, CAST(strlen(key) + strlen(value) + 10 AS BIGINT) AS size FROM live",
     "compress_roundtrip": "SELECT doc_id, CAST(octet_length(data) AS BIGINT) AS n_bytes, file_id AS sha, CAST(octet_length(data) AS BIGINT) AS said FROM blobs",
+    "store_live": "SELECT key, value FROM live",
+    "store_compact": "SELECT key, value FROM live",
+    "store_scan": "SELECT key, value FROM live WHERE starts_with(key, 'u:0000') AND key >= 'u:000020' AND key < 'u:000060' ORDER BY key DESC LIMIT 7 OFFSET 2",
+    "store_delete": "SELECT key, value FROM live WHERE key NOT IN (SELECT key FROM wanted)",
+    "store_get_all": "SELECT key, CASE WHEN key = 'u:000012' THEN 'buffered' ELSE value END AS value FROM wanted LEFT JOIN live USING (key)",
+    "store_update": """SELECT key, CAST(json_extract_string(value, '$.k') AS INT) AS k FROM live WHERE key NOT IN ('u:000045', 'u:999999')
+UNION ALL SELECT 'u:000045', 1 + coalesce((SELECT CAST(json_extract_string(value, '$.k') AS INT) FROM live WHERE key = 'u:000045'), 0) UNION ALL SELECT 'u:999999', 0""",
+    "store_clear": "SELECT key, value FROM customers",
+    "store_events": "SELECT collection, key, change_type FROM feed UNION ALL SELECT 'events', '', 2",
+    "store_stream": "SELECT collection, key, change_type FROM feed WHERE starts_with(key, 'u:0000')",
+    "store_blobs": "SELECT file_id, CAST(any_value(octet_length(data)) AS BIGINT) AS n_bytes, file_id AS sha FROM blobs GROUP BY file_id",
     "bloom_fp": "SELECT count(*) AS found, true AS few_false FROM live",
 }
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .entries import little_endian, number
 
-#: Bounds of the bits of a filter: 8 KiB to 16 MiB.
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
+#: Most bits of a filter: 16 MiB.
+MOST_BITS = 1 << 27
 
 
 def size_for(n: int, p: float = 0.01) -> tuple[int, int]:

@@ -2,7 +2,8 @@
 
 Entry: u16 key length, key, u32 value length, value, u32 CRC32 of all before it; little-endian (fixed format). It is
 written and read by built-in functions. Compressed block: flag byte 0 and the bytes, or flag byte 1, u32 length, then
-the u32 length again and an LZ4 block; used from 256 bytes on and only where that is shorter (fixed format).
+the u32 length again and an LZ4 block; used from 256 bytes on and only where that is shorter (fixed format). Blocks are for interchange only, as
+Parquet compresses what is stored; a pandas UDF makes them value by value, since Spark has no function for them.
 """
 
 from __future__ import annotations

@@ -26,16 +26,19 @@ def files(blobs: DataFrame, size: int = DEFAULT_CHUNK) -> DataFrame:
     return first.select("file_id", "f.filename", "f.mime_type", "total_size", F.lit(size).alias("chunk_size"), count.alias("chunk_count"), F.col("file_id").alias("content_hash"))
 
 
-def split(blobs: DataFrame, size: int = DEFAULT_CHUNK) -> DataFrame:
-    """file_id, index, data, crc32 of the chunks of blobs (data); an empty file has one empty chunk.
+def split(blobs: DataFrame, size: int = DEFAULT_CHUNK, first: int = 0, last: int | None = None) -> DataFrame:
+    """file_id, index, data, crc32 of the chunks (first to last) of blobs (data); an empty file has one empty chunk.
 
     Copies are told apart before their bytes are split: only the first row of a content is.
     """
-    size = chunk_size(size)
+    size, stop = chunk_size(size), last
     whole = blobs.select(F.sha2("data", 256).alias("file_id"), "data").dropDuplicates(["file_id"])
     last = F.greatest(F.ceil(F.octet_length("data") / size).cast("int") - 1, F.lit(0))
-    cut = whole.select("file_id", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("data"), i * size + 1, F.lit(size)))).alias("index", "data"))
-    return cut.select("file_id", "index", "data", F.crc32("data").alias("crc32"))
+    if stop is not None:
+        last = F.least(last, F.lit(stop))
+    some = whole.where(last >= first) if first else whole
+    cut = some.select("file_id", F.posexplode(F.transform(F.sequence(F.lit(first), last), lambda i: F.substring(F.col("data"), i * size + 1, F.lit(size)))).alias("index", "data"))
+    return cut.select("file_id", (F.col("index") + first).alias("index"), "data", F.crc32("data").alias("crc32"))
 
 
 def checked(data: Column = None, crc: Column = None) -> Column:

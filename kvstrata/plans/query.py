@@ -7,6 +7,7 @@ on binary columns reach Parquet.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -125,6 +126,18 @@ class KVQuery:
     def objects(self, codec: Codec) -> DataFrame:
         return self.df().select("key", codec.decode(F.col("value")).alias("value"))
 
+    def for_each(self, callback: Callable[[bytes | str, bytes | str], bool | None]) -> int:
+        """Call back with each key and value in order until that returns False; the number of calls.
+
+        Partitions of the order come to the driver one after the other, so what lies behind the stop never does.
+        """
+        calls = 0
+        for row in self.entries().toLocalIterator():
+            calls += 1
+            if callback(row.key, row.value) is False:
+                break
+        return calls
+
     def count(self) -> int:
         return self.df().count()
 

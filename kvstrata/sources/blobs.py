@@ -15,7 +15,7 @@ from ..functions.codecs import JsonCodec
 from ..functions.entries import little_endian, number
 from ..operators import chunks
 from ..plans import log as logs
-from ..schemas import FILE_DDL
+from ..schemas import FILE_DDL, IntegrityError
 from .config import Config
 from .store import Store
 
@@ -54,17 +54,31 @@ class BlobStore:
     def list_files(self) -> DataFrame:
         return self._files.live().select(JsonCodec(FILE_DDL).decode(F.col("value")).alias("f")).select("f.*")
 
-    def chunks(self) -> DataFrame:
-        """file_id, index, data, crc32 of all chunks."""
+    def chunks(self, start: str | None = None, end: str | None = None) -> DataFrame:
+        """file_id, index, data, crc32 of all chunks, or those of a range of keys, which reaches the scan."""
+        query = self._chunks.query()
+        entries = (query if start is None else query.range(start, end)).unordered()
         name = F.split(F.decode("key", "utf-8"), "/")
         value = F.col("value")
-        return self._chunks.live().select(name[0].alias("file_id"), name[1].cast("int").alias("index"), F.expr("substring(value, 5)").alias("data"), number(value, F.lit(0), 4).alias("crc32"))
+        return entries.select(name[0].alias("file_id"), name[1].cast("int").alias("index"), F.expr("substring(value, 5)").alias("data"), number(value, F.lit(0), 4).alias("crc32"))
 
     def _meta(self, file_id: str) -> DataFrame:
         return self.list_files().where(F.col("file_id") == file_id)
 
-    def _parts(self, file_id: str) -> DataFrame:
-        return self.chunks().where(F.col("file_id") == file_id)
+    def _parts(self, file_id: str, first: int = 0, last: int = 10**PLACES - 2) -> DataFrame:
+        """The chunks first to last of a file."""
+        return self.chunks(f"{file_id}/{first:0{PLACES}d}", f"{file_id}/{last + 1:0{PLACES}d}")
+
+    @staticmethod
+    def _data(found: DataFrame) -> bytes | None:
+        """The bytes of the row that there is; IntegrityError where a checksum is wrong or a chunk is missing."""
+        try:
+            row = found.first()
+        except Exception as e:
+            if "chunk checksum mismatch" in str(e) or "chunk missing" in str(e):
+                raise IntegrityError(str(e).splitlines()[0]) from e
+            raise
+        return bytes(row.data) if row else None
 
     def get_metadata(self, file_id: str) -> dict | None:
         row = self._meta(file_id).first()
@@ -74,16 +88,18 @@ class BlobStore:
         return self.list_files().count()
 
     def get_file(self, file_id: str) -> bytes | None:
-        row = chunks.assemble(self._parts(file_id), self._meta(file_id)).first()
-        return bytes(row.data) if row else None
+        return self._data(chunks.assemble(self._parts(file_id), self._meta(file_id)))
 
     def read_chunk(self, file_id: str, index: int) -> bytes | None:
-        row = chunks.read_chunk(self._parts(file_id), file_id, index).first()
-        return bytes(row.data) if row else None
+        return self._data(chunks.read_chunk(self._parts(file_id, index, index), file_id, index))
 
     def read_range(self, file_id: str, offset: int, length: int) -> bytes | None:
-        row = chunks.read_range(self._parts(file_id), self._meta(file_id), offset, length).first()
-        return bytes(row.data) if row else None
+        meta = self.get_metadata(file_id)
+        if meta is None or offset < 0 or length < 0:
+            return self._data(chunks.read_range(self._parts(file_id), self._meta(file_id), offset, length))
+        size = meta["chunk_size"]
+        parts = self._parts(file_id, offset // size, max(offset, offset + length - 1) // size)
+        return self._data(chunks.read_range(parts, self._meta(file_id), offset, length))
 
     def delete_file(self, file_id: str) -> bool:
         """Delete a file; whether it was there. Its metadata go first, then its chunks."""

@@ -11,8 +11,10 @@ MIB = 1 << 20
 class Config:
     """memtable_size: bytes of buffered writes that end a generation; sync_writes: each write is a generation at once.
 
-    The other settings of the presets are kept for their meaning to operators: how many generations start a
-    compaction, whether values are compressed and checksums are verified (Parquet does both by page).
+    compaction_threshold, max_compaction: generations that start a compaction, and that one merges; compaction_enabled
+    false switches it off, auto_compaction true starts it after writes. block_size: bytes of a Parquet page.
+    compression: zstd or none. verify_checksums: readers check the checksums of pages. worker_threads: files of a
+    generation written from a batch; frames follow Spark's partitioning instead.
     """
 
     memtable_size: int = 4 * MIB
@@ -23,12 +25,20 @@ class Config:
     compression: bool = True
     verify_checksums: bool = True
     worker_threads: int = 2
+    compaction_enabled: bool = True
+    auto_compaction: bool = False
 
     def __post_init__(self):
         for name in ("memtable_size", "block_size", "worker_threads"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be > 0")
 
+    def write_options(self) -> dict[str, str]:
+        return {"compression": "zstd" if self.compression else "none", "parquet.page.size": str(self.block_size), "parquet.page.write-checksum.enabled": "true"}
+
+    def read_options(self) -> dict[str, str]:
+        return {"parquet.page.verify-checksum.enabled": str(self.verify_checksums).lower()}
+
     @classmethod
     def high_throughput(cls) -> Config:
         return cls(memtable_size=64 * MIB, compaction_threshold=16, max_compaction=32, block_size=64 << 10, sync_writes=False, compression=False, verify_checksums=False, worker_threads=4)

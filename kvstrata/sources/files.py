@@ -2,8 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import time
+
 from pyspark.sql import SparkSession
 
+_own: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one on a local master (tests)."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset; a cluster needs a folder that driver and executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="kvstrata-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
+
 
 class Files:
     """Operations on paths of any file system that the session's Hadoop configuration knows."""
@@ -55,6 +74,16 @@ class Files:
             return False
         return True
 
+    def rename(self, path: str, to: str) -> bool:
+        """Move a file or directory; False where it isn't there or the target is."""
+        fs, p = self._at(path)
+        return not self.exists(to) and fs.exists(p) and fs.rename(p, self._jvm.org.apache.hadoop.fs.Path(to))
+
+    def age(self, path: str) -> float:
+        """Seconds since a file or directory was last changed."""
+        fs, p = self._at(path)
+        return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)

@@ -1,8 +1,8 @@
 """Change feed: events of one log, of a collection or of a key prefix, in batch and as a stream.
 
-The same functions serve both: events() and matching() take batch or streaming frames. A stream reads generations as
-they are committed to disk, each file once; it is lossless, and bounded() gives the lossy delivery of a channel with a
-fixed capacity where that is wanted.
+The same functions serve both: events() and matching() take batch or streaming frames. A stream reads the events of
+committed writes from a box's feed, each file once; it is lossless, and bounded() gives the lossy delivery of a channel
+with a fixed capacity where that is wanted.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..schemas import CHANGE_TYPES, LOG_DDL
+from ..schemas import CHANGE_TYPES, EVENT_DDL
 
 CAPACITY, LEAST_POLL, MOST_POLL = 1024, 1, 1000
 
@@ -52,14 +52,16 @@ def bounded(feed: DataFrame, by: list[str] | None = None, capacity: int = CAPACI
 def fan_out(feed: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """sub_id with each event that a subscription (sub_id, sub_collection, sub_prefix; null for all) matches.
 
-    Subscriptions are few beside events. Those of one collection join on it; those of all collections are a second
-    branch, so that both are equality joins.
+    Events meet subscriptions by equality: each key's beginnings, of the lengths that prefixes have, join on prefix (and
+    collection, where a subscription has one). Spark broadcasts the subscriptions if they are small enough.
     """
-    prefix = F.coalesce("sub_prefix", F.lit(""))
-    own = feed.join(subscriptions.where("sub_collection IS NOT NULL"), F.col("collection") == F.col("sub_collection"))
-    every = feed.withColumn("__all", F.lit(1)).join(subscriptions.where("sub_collection IS NULL").withColumn("__every", F.lit(1)), F.col("__all") == F.col("__every"))
-    both = own.unionByName(every.drop("__all", "__every"))
-    return both.where(F.startswith("key", prefix)).select("sub_id", "collection", "key", "change_type", "seq")
+    subscriptions = subscriptions.withColumn("__prefix", F.coalesce("sub_prefix", F.lit("")))
+    lengths = subscriptions.agg(F.coalesce(F.collect_set(F.length("__prefix")), F.array().cast("array<int>"))).scalar()
+    starts = feed.withColumn("__length", F.explode(lengths)).where(F.col("__length") <= F.length("key"))
+    starts = starts.withColumn("__start", F.substring(F.col("key"), F.lit(1), F.col("__length")))
+    own = starts.join(subscriptions.where("sub_collection IS NOT NULL"), (F.col("__start") == F.col("__prefix")) & (F.col("collection") == F.col("sub_collection")))
+    every = starts.join(subscriptions.where("sub_collection IS NULL"), F.col("__start") == F.col("__prefix"))
+    return own.unionByName(every).select("sub_id", "collection", "key", "change_type", "seq")
 
 
 def poll(feed: DataFrame, after: int, n: int) -> DataFrame:
@@ -69,12 +71,44 @@ def poll(feed: DataFrame, after: int, n: int) -> DataFrame:
     return page.withColumn("pos", F.row_number().over(Window.orderBy("seq")))
 
 
-def stream(spark: SparkSession, path: str, collection: str, max_files: int | None = None) -> DataFrame:
-    """A stream of the events in the generations under a path (a glob), a few files a trigger if max_files is given."""
-    reader = spark.readStream.schema(LOG_DDL)
+class Subscriptions:
+    """Subscriptions by id, each with the seq up to which it has seen each collection."""
+
+    def __init__(self):
+        self._next, self._all = 1, {}
+
+    def __len__(self) -> int:
+        return len(self._all)
+
+    def add(self, collection: str | None, prefix: str | bytes | None, seen: dict[str, int]) -> int:
+        """seen: the last seq of each collection that is not to be delivered."""
+        self._all[self._next] = (collection, prefix, dict(seen))
+        self._next += 1
+        return self._next - 1
+
+    def remove(self, subscription: int) -> bool:
+        return self._all.pop(subscription, None) is not None
+
+    def poll(self, subscription: int, feed: DataFrame, n: int) -> list:
+        """The next events of a feed for a subscription by seq, n at most (held within 1 and 1000), which it has seen then."""
+        if subscription not in self._all:
+            raise ValueError(f"no subscription {subscription}")
+        collection, prefix, seen = self._all[subscription]
+        if seen:
+            last = F.create_map(*[F.lit(x) for pair in seen.items() for x in pair])
+            feed = feed.where(F.col("seq") > F.coalesce(F.try_element_at(last, F.col("collection")), F.lit(-1)))
+        page = matching(feed, collection, prefix).orderBy("seq", "collection").limit(min(MOST_POLL, max(LEAST_POLL, n))).collect()
+        for event in page:
+            seen[event.collection] = event.seq
+        return page
+
+
+def stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """A stream of the events under a path (a glob), a few files a trigger if max_files is given."""
+    reader = spark.readStream.schema(EVENT_DDL)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return events(reader.parquet(path), collection)
+    return reader.parquet(path)
 
 
 def subscribe(feed: DataFrame, deliver: Callable[[DataFrame, int], None], checkpoint: str, milliseconds: int | None = 50) -> StreamingQuery:
@@ -84,4 +118,5 @@ def subscribe(feed: DataFrame, deliver: Callable[[DataFrame, int], None], checkp
 
 
 def subscriber_count(spark: SparkSession) -> int:
+    """Streams that run in the session, of any kind; Store.subscriber_count() counts a store's subscriptions."""
     return len(spark.streams.active)
