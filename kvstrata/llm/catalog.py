@@ -47,7 +47,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return curriculum.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,10 +143,10 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-#: Levels rise until the sources that stay under their caps take all that the capped ones leave.
+#: Positions solve u t + v t^2 / 2 = fraction of the integral, for each piece of a schedule. Levels rise until the sources that stay under their caps take all that the capped ones leave.
 OP8_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, coalesce(md5(doc_id::VARCHAR), md5('')) AS key FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(doc_id::VARCHAR, 't' || md5(coalesce(text, '')))) AS key FROM documents),
 per AS (
   SELECT source, sum(size)::BIGINT AS s, [5, 2, 1][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM sized GROUP BY source),
 need AS (
@@ -154,13 +154,17 @@ need AS (
          (1.5::DOUBLE * sum(s) OVER () - coalesce(sum(2.0::DOUBLE * s) OVER (ORDER BY 2.0::DOUBLE * s / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(w) OVER (ORDER BY 2.0::DOUBLE * s / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM per),
 goal AS (
-  SELECT source, s, least(cap, coalesce((SELECT arg_min(level, cap / w) FROM need WHERE level * w <= cap) * w, cap)) AS target FROM need),
+  SELECT source, s, w, least(cap, coalesce((SELECT arg_min(level, cap / w) FROM need WHERE level * w <= cap) * w, cap)) AS target FROM need),
 rows_ AS (
-  SELECT doc_id, size, s, target, sized.source, coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
-  FROM sized JOIN goal ON sized.source IS NOT DISTINCT FROM goal.source)
+  SELECT doc_id, size, s, w, target, sized.source, coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+  FROM sized JOIN goal ON sized.source IS NOT DISTINCT FROM goal.source),
+shares AS (SELECT *, least(1.0::DOUBLE, coalesce(ahead / nullif(target, 0.0), 1.0::DOUBLE)) AS x FROM rows_)
 SELECT doc_id, size::BIGINT AS size, s AS source_size, target,
+       CASE w WHEN 5 THEN least(2 * x / (1.5 + sqrt(greatest(2.25 - 2 * x, 0.0))), 1.0) WHEN 2 THEN least(2 * x / (1.0 + sqrt(1.0)), 1.0)
+              ELSE CASE WHEN x <= 0.25 THEN least(2 * x / (0.25 + sqrt(0.0625 + 2 * x)), 0.5)
+                        ELSE least(0.5 + 2 * (x - 0.25) / (0.75 + sqrt(0.5625 + 6 * (x - 0.25))), 1.0) END END::DOUBLE AS position,
        (greatest(0, least(size, floor(target + 0.5)::BIGINT - ahead)) + greatest(0, least(size, floor(target + 0.5)::BIGINT - s - ahead)))::BIGINT AS taken
-FROM rows_
+FROM shares
 """
 
 

@@ -4,12 +4,14 @@ Targets: sources share ``share`` times all words by weight, none above ``most``
 source can't take goes to the others by weight. That is water-filling, and has a closed form over one row a source.
 
 Positions: a source's weight over training time t in [0, 1] is a piecewise linear schedule; its integral, scaled to
-the target, is the source's cumulative token demand. Its documents, in an order fixed by a hash of doc_id, supply
-cumulative tokens; a document's training position is where demand reaches the tokens before it, found by inverting
-the integral. Range-sorting by position gives the mix.
-
-Cumulative sums never run over a whole source in one task: hash buckets of each source are summed first, prefix sums
-of the buckets (a small table) are joined back, and windows run inside buckets.
+the target, is the source's cumulative token demand. Its documents, in an order fixed by a hash of doc_id and pass after
+pass, supply cumulative tokens; the training position of a document's pass is where demand reaches the tokens before it,
+found by inverting the integral. All passes of all sources are range-sorted by position: that is the mix, in which each
+schedule runs once, however many passes a source takes.
+
+Cumulative sums never run over a whole source in one task: hash buckets of about BUCKET_ROWS documents are summed first,
+then groups of FAN buckets; prefix sums of the groups and of the buckets inside each are joined back, and windows run
+inside buckets. A source has buckets in proportion to its documents.
 """
 
 from __future__ import annotations
@@ -26,20 +28,30 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 #: For each of the weights: knots (time, relative weight); the first fades, the second is even, the last comes late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.25), (0.5, 0.75), (1.0, 2.25)))
-#: Rows of a bucket inside which a window sorts.
-BUCKET_ROWS = 4_000
+#: Rows of a bucket inside which a window sorts, and buckets of a group.
+BUCKET_ROWS, FAN = 1_000, 1_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, tag (a hash of the text), source, size (words) and key, the order inside the source."""
+    """doc_id, tag (a hash of the text), source, name (source, never null), size (words) and key, the order inside the source.
+
+    Rows without doc_id are ordered by a hash of their text.
+    """
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
-    doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), text_tag(docs), F.col("source").cast("string").alias("source"), size.alias("size"), F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))).alias("key"))
+    doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
+    by_text = F.concat(F.lit("t"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    key = F.md5(F.coalesce(doc_id.cast("string"), by_text).cast("binary"))
+    return docs.select(doc_id.alias("doc_id"), text_tag(docs), source.alias("source"), _name(source).alias("name"), size.alias("size"), key.alias("key"))
+
+
+def _name(source: Column) -> Column:
+    """A source, or another text where it is null."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit(""))
 
 
 def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """source, kind (index of its weight), source_size, target: one row a source, so the windows below are small."""
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """source, kind (index of its weight), source_size, documents, target: one row a source, so the windows below are small."""
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     per = per.withColumn("kind", ((F.row_number().over(by_name) - 1) % len(weights)).cast("int"))
     per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("kind") + 1)).withColumn("cap", most * F.col("source_size"))
@@ -52,7 +64,7 @@ def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     per = per.withColumn("level", level).withColumn("fits", F.col("level") * F.col("weight") <= F.col("cap"))
     per = per.withColumn("level", F.min(F.when(F.col("fits"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(all_rows)["level"])
     target = F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
-    return per.select("source", "kind", "source_size", target.alias("target"))
+    return per.select("source", "kind", "source_size", "documents", target.alias("target"))
 
 
 def inverse_demand(fraction: Column, knots: Sequence[tuple[float, float]]) -> Column:
@@ -75,43 +87,60 @@ def inverse_demand(fraction: Column, knots: Sequence[tuple[float, float]]) -> Co
     return out
 
 
+def _ahead(rows: DataFrame) -> DataFrame:
+    """rows (name, bucket, key, size) with ahead: the words of the source before each row, by sums of three levels."""
+    earlier = lambda by, *order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda column, over: F.coalesce(F.sum(column).over(over), F.lit(0))
+    per = rows.groupBy("name", "bucket").agg(F.sum("size").alias("words")).withColumn("group", F.floor(F.col("bucket") / FAN))
+    groups = per.groupBy("name", "group").agg(F.sum("words").alias("words"))
+    groups = groups.select("name", "group", so_far("words", earlier(["name"], "group")).alias("before"))
+    per = per.select("name", "group", "bucket", so_far("words", earlier(["name", "group"], "bucket")).alias("inside")).join(groups, ["name", "group"])
+    per = per.select("name", "bucket", (F.col("before") + F.col("inside")).alias("ahead"))
+    own = earlier(["name", "bucket"], "key", "doc_id", "size", "tag")
+    return rows.join(per, ["name", "bucket"]).withColumn("ahead", F.col("ahead") + so_far("size", own))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES) -> DataFrame:
-    """doc_id, tag, source, size, source_size, target, taken, position of every row, range-sorted by position.
+    """doc_id, tag, source, size, source_size, target, taken, position, positions of every row, range-sorted by position.
 
     Passes over a source follow one another: the first takes documents until the target or the source ends, the next
     starts over. taken is what all passes take of a document, at most most * size; only the document where the target
-    is reached is taken in part. position is the training time in [0, 1] of its first pass, also for what lies beyond
-    the target (1.0). Null texts have size 0; null sources are one source, the last; rows with equal doc_id are
-    ordered by size, and rows equal in both are interchangeable. Other columns are ignored.
+    is reached is taken in part. positions holds the training time in [0, 1] of each pass that takes of the row;
+    position is that of the first pass, also for what lies beyond the target (1.0). Null and empty texts have size 0, long
+    ones are counted whole; null sources are one source, the last; rows with equal doc_id are ordered by size, and rows
+    equal in both are interchangeable. An empty table gives no rows. Other columns are ignored.
     """
     sized = written(sizes(docs), "sizes")
-    buckets = max(1, sized.count() // BUCKET_ROWS)
-    sized = sized.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") * buckets / 2.0**32).cast("long"))
-    per = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("ahead"))
-    goal = targets(sized, weights, share, most)
-    per = per.join(goal, F.col("s").eqNullSafe(F.col("source"))).drop("source")
-    rows = sized.join(per, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "tag").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    goal = targets(sized, weights, share, most).withColumn("name", _name(F.col("source"))).drop("source")
+    buckets = F.greatest(F.lit(1), F.ceil(F.col("documents") / BUCKET_ROWS))
+    place = F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / 2.0**48
+    rows = _ahead(sized.join(goal, "name").withColumn("bucket", F.floor(place * buckets)))
     words = F.floor(F.col("target") + 0.5)
-    taken = sum((F.greatest(F.lit(0), F.least("size", words - i * F.col("source_size") - F.col("ahead"))) for i in range(-int(-most // 1))), F.lit(0))
-    fraction = F.least(F.lit(1.0), F.coalesce(F.col("ahead") / F.nullif(F.col("target"), F.lit(0.0)), F.lit(1.0)))
-    position = F.coalesce(*[F.when(F.col("kind") == i, inverse_demand(fraction, schedules[i % len(schedules)])) for i in range(len(weights))])
-    rows = rows.select("doc_id", "tag", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), position.alias("position"))
+
+    def position(turn: int) -> Column:
+        fraction = F.least(F.lit(1.0), F.coalesce((turn * F.col("source_size") + F.col("ahead")) / F.nullif(F.col("target"), F.lit(0.0)), F.lit(1.0)))
+        return F.coalesce(*[F.when(F.col("kind") == i, inverse_demand(fraction, schedules[i % len(schedules)])) for i in range(len(weights))])
+
+    turns = range(-int(-most // 1))
+    parts = [F.greatest(F.lit(0), F.least("size", words - i * F.col("source_size") - F.col("ahead"))) for i in turns]
+    positions = F.array_compact(F.array(*[F.when(part > 0, position(i)) for i, part in zip(turns, parts, strict=True)]))
+    rows = rows.select("doc_id", "tag", "source", "size", "source_size", "target", sum(parts, F.lit(0)).cast("long").alias("taken"), position(0).alias("position"), positions.alias("positions"))
     return rows.orderBy("position", "doc_id")
 
 
 def drawn(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: the columns of docs, a row for each pass that takes of a document, range-sorted by position.
+    """The mix itself: the columns of docs, a row for each pass that takes of a document, range-sorted by its position.
 
     A document of which a pass takes only a part, at most one of each source, is whole here: texts are never cut.
-    Documents of which nothing is taken are not in the mix.
+    Documents of which nothing is taken are not in the mix. Rows of equal doc_id, text and source share their passes out.
     """
-    plan = mix(docs, **settings).where("taken > 0")
-    passes = F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)).alias("__pass")
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__plan_tag"), "position", F.col("size").alias("__size"), passes).dropDuplicates(["__id", "__plan_tag", "__pass"])
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__tag") == F.col("__plan_tag"))
-    rows = docs.withColumn("__tag", text_tag(docs)).join(plan.withColumnRenamed("position", "__position"), same)
-    return rows.repartitionByRange("__pass", "__position").sortWithinPartitions("__pass", "__position").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = lambda doc_id, source: [F.coalesce(doc_id.cast("long").cast("string"), F.lit("")).alias("__id"), _name(source).alias("__name")]
+    plan = mix(docs, **settings).select(*key(F.col("doc_id"), F.col("source")), F.col("tag").alias("__tag"), "positions")
+    plan = plan.groupBy("__id", "__name", "__tag").agg(F.count("*").alias("__rows"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("__draws"))
+    same = ["__id", "__name", "__tag"]
+    named = docs.select("*", *key(F.col("doc_id"), F.col("source").cast("string")), text_tag(docs).alias("__tag"))
+    rows = named.join(plan.where(F.size("__draws") > 0), same)
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))) - 1
+    mine = F.filter("__draws", lambda x, i: i % F.col("__rows") == F.col("__nth"))
+    rows = rows.withColumn("__nth", nth).withColumn("__position", F.explode(mine))
+    return rows.repartitionByRange("__position", "__tag").sortWithinPartitions("__position", "__tag").select(*[F.col(f"`{c}`") for c in docs.columns])

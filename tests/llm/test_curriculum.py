@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from helpers import check_query
@@ -25,9 +27,10 @@ def waterfill(sizes, weights, share, most):
         capped |= over
 
 
-@pytest.mark.parametrize("rows", [2, 4000])
-def test_edges(spark, edge, rows, monkeypatch):
+@pytest.mark.parametrize("rows, fan", [(2, 2), (4000, 1000)])
+def test_edges(spark, edge, rows, fan, monkeypatch):
     monkeypatch.setattr(curriculum, "BUCKET_ROWS", rows)
+    monkeypatch.setattr(curriculum, "FAN", fan)
     docs, data = edge
     got = curriculum.mix(docs).collect()
     assert len(got) == len(data)
@@ -74,6 +77,82 @@ def test_drawn(spark, edge, nothing):
     assert curriculum.mix(nothing).collect() == [] and curriculum.drawn(nothing).collect() == []
 
 
+def draws(rows, schedules=curriculum.SCHEDULES, weights=(5, 2, 1), share=1.5, most=2.0):
+    """(position, doc_id) of each draw in order: passes laid end to end, schedules integrated and inverted on a grid."""
+    from hashlib import md5
+
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    goal = waterfill(sizes, weights, share, most)
+    grid, out = np.linspace(0, 1, 400_001), []
+    for n, s in enumerate(sorted(sizes)):
+        weight = np.interp(grid, *zip(*schedules[n % len(weights)], strict=True))
+        demand = np.concatenate([[0], np.cumsum((weight[1:] + weight[:-1]) / 2)])
+        demand /= demand[-1]
+        at, words = 0, int(goal[s] + 0.5)
+        order = sorted(((i, len(t.split())) for i, t, x in rows if x == s), key=lambda r: md5(str(r[0]).encode()).hexdigest())
+        while at < words and sizes[s]:
+            for i, size in order:
+                if size and at < words:
+                    out.append((float(np.interp(at / goal[s], demand, grid)), i))
+                at += size
+    return sorted(out)
+
+
+def small_corpus(n, seed):
+    r = random.Random(seed)
+    return [(i, "w " * r.randint(0, 30), r.choice("aaaaaabbbc")) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_order_of_the_mix_by_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(curriculum, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(curriculum, "FAN", 3)
+    rows = small_corpus(400, seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    expected = draws(rows)
+    assert max(np.unique([i for _, i in expected], return_counts=True)[1]) == 2  # some sources take two passes
+    got = sorted((p, r.doc_id) for r in curriculum.mix(docs).collect() for p in r.positions)
+    assert sorted(i for _, i in got) == sorted(i for _, i in expected)
+    assert np.allclose([p for p, _ in got], [p for p, _ in expected], atol=1e-5)
+    where = {}
+    for p, i in expected:
+        where.setdefault(i, []).append(p)
+    seen = {}
+    order = []
+    for r in curriculum.drawn(docs).collect():
+        order.append(where[r.doc_id][seen.setdefault(r.doc_id, 0)])
+        seen[r.doc_id] += 1
+    assert len(order) == len(expected) and np.all(np.diff(order) > -2e-5)
+
+
+def test_a_schedule_runs_once_over_all_passes(spark):
+    """A source drawn twice fills the tenths of the mix as its schedule says, not twice over."""
+    rows = [(i, "w " * 10, "a") for i in range(200)] + [(1000 + i, "w " * 10, "b") for i in range(2000)]
+    got = curriculum.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("source = 'a'").collect()
+    places = np.array([p for r in got for p in r.positions])
+    assert len(places) == 400
+    tenths = np.histogram(places, np.linspace(0, 1, 11))[0]
+    fading = [400 * (1.5 - (k + 0.5) / 10) / 10 for k in range(10)]
+    assert np.allclose(tenths, fading, atol=2)
+
+
+def test_equal_rows_share_their_passes_out(spark):
+    rows = [(1, "w " * 10, "a"), (1, "w " * 10, "a")] + [(5 + i, "w " * 10, "b") for i in range(6)]
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, source string, n int")
+    plan = [r for r in curriculum.mix(docs, most=1.5, share=1.0).collect() if r.doc_id == 1]
+    assert sorted(len(r.positions) for r in plan) == [1, 2]
+    assert sum(r.doc_id == 1 for r in curriculum.drawn(docs, most=1.5, share=1.0).collect()) == 3
+
+
+def test_null_ids_are_spread_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(curriculum, "BUCKET_ROWS", 50)
+    docs = spark.createDataFrame([(None, f"text {i}", "a") for i in range(1000)], "doc_id long, text string, source string")
+    assert curriculum.sizes(docs).select("key").distinct().count() == 1000
+    assert len(curriculum.mix(docs).collect()) == 1000
+
+
 def test_main_path_is_native(spark, sf_dir):
     plan = catalog.op8_mixing(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
