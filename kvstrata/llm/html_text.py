@@ -2,21 +2,26 @@
 
 Pages are ordered by host and URL path, and each is paired with the neighbour on its host whose path has the longer
 common prefix. The text lines (blocks) of both are aligned by a longest common subsequence, and shared lines are
-deleted: what two pages of a site share is its frame. Two rules complete this. Lines inside an article or main
-element are never deleted, else two addresses of one article would empty each other. And lines whose elements say
-that they are no article (menus, headers, footers, sidebars, notices, adverts, forms, comments) go even where no
-other page of the host shares them. Only where a page has no mate with text, and an article or main element, does all
-text outside that go.
-
-Distribution: the bounds of blocks of about ROWS pages are found by range-partitioning the narrow keys. Pages are
-parsed where they are read and sent to their block, and the first and last page of each block also to the block
-before or after it, so every page meets both neighbours. Inside a block the sorted pages are streamed, with three in
-memory; a host of any size is dealt over many blocks.
+deleted: what two pages of a site share is its frame. A neighbour that is a near copy (of the text outside articles
+a share of NEAR, and NEAR_CHARS characters, is the same on both sides) is no mate, else copies would empty each other; the other neighbour is asked then.
+
+Differencing can't see what is unique to a page, nor that a paragraph which two articles share belongs to both, so
+markup rules complete it: lines inside an article or main element are never deleted, and lines whose elements say that
+they are no article (menus, headers, footers, sidebars, notices, adverts, forms, comments) go even where they are not
+shared. Only where a page has no mate with text, and an article or main element, does all text outside that go.
+
+Distribution: the bounds of blocks of pages are found by range-partitioning the narrow keys. Pages are parsed where they
+are read and sent to their block, and the first and last page of each block also to the block before or after it, so
+every page meets both neighbours. Inside a block the sorted pages are streamed, with three in memory; a host of any size
+is dealt over many blocks, whose number follows the bytes of the input.
+
+Parsing takes time in proportion to a page's length, whatever is in it.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -28,8 +33,11 @@ from pyspark.sql import functions as F
 
 from .url_reputation import host_and_path
 
-#: Pages of a block, and the most blocks.
-ROWS, MOST_BLOCKS = 500, 10_000
+#: Pages of a block where there are few, and bytes of one where there are many.
+ROWS, BLOCK_BYTES = 500, 128 << 20
+#: Two pages that share this much of their text outside articles, and so many characters, are near copies; where less
+#: is shared, pages with a frame and nothing else are likelier.
+NEAR, NEAR_CHARS = 0.9, 100
 #: Keys sampled for each block's bound; Spark's own 100 would be too much for the driver with many blocks.
 SAMPLED = 20
 
@@ -53,7 +61,10 @@ ENDINGS = ("adverts", "comments", "footer", "menu", "navbar", "newsletter", "sid
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 HIDDEN = re.compile(r"(?i)display\s*:\s*none")
 MAIN_ROLE = re.compile(r"(?i)\brole\s*=\s*[\"']?main\b")
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: What lies in a tag up to a quote or its end.
+PLAIN = re.compile(r"[^'\">]*")
+NUMBER = re.compile(r"&#([0-9]{9,});?")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|([^\s=\"'/>]+)")
 
 
@@ -87,6 +98,13 @@ def _away(tag: str, rest: str) -> int:
     return found
 
 
+def _unescaped(text: str) -> str:
+    """Text without character references; numbers beyond any character keep nine digits, as int() refuses very long ones."""
+    if "&#" in text:
+        text = NUMBER.sub(lambda m: f"&#{m[1].lstrip('0')[:9] or 0};", text)
+    return html.unescape(text)
+
+
 def lines(page: str | None) -> list[tuple[str, str]]:
     """(text, role) of the blocks of a page in order; roles: m in an article or main element, x no article, b else.
 
@@ -95,72 +113,158 @@ def lines(page: str | None) -> list[tuple[str, str]]:
     """
     out: list[tuple[str, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, away, main
-    page, at = page or "", 0
-    skip = None  # raw element whose end is sought
+    stack = _Open()
+    page = page or ""
 
     def flush() -> None:
-        if parts and (text := " ".join(html.unescape("".join(parts)).split())):
-            _, away, main = stack[-1]
+        if parts and (text := " ".join(_unescaped("".join(parts)).split())):
+            away, main = stack.state()
             role = "x" if away == SURE else "a" if away == PART and main else "c" if away else "m" if main else "b"
             out.append((text, role))
         parts.clear()
 
-    while at < len(page):
-        if skip:
-            end = re.compile(rf"</{re.escape(skip)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at, skip = (end.end() if end else len(page)), None
-            continue
-        m = TOKEN.match(page, at)
-        if m is None:  # an unfinished tag
-            parts.append(page[at])
-            at += 1
-            continue
-        at = m.end()
-        tag = m["tag"]
+    for text, end, tag, rest in _tokens(page):
         if tag is None:
-            parts.append(m["text"] or (html.escape(m["cdata"]) if m["cdata"] else ""))
+            parts.append(text)
             continue
-        tag = tag.lower()
         if tag in RAW:
-            if not m["end"] and not m["rest"].rstrip().endswith("/"):
-                skip = tag
             continue
         if tag == "br":
             parts.append(" ")
             continue
-        if tag in BLOCKS or _edge(tag, m["rest"], stack):
-            flush()
-        if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    if any(s[1] != stack[i - 1][1] or s[2] != stack[i - 1][2] for s in stack[i:]):
-                        flush()
-                    del stack[i:]
-                    break
+        if tag in BLOCKS or (rest and not stack.state()[0] and _away(tag, rest)):
+            flush()  # also where an inline element begins something that is no article
+        if end:
+            if stack.changes(tag):
+                flush()
+            stack.close(tag)
             continue
         if tag in VOID:
             continue
         if tag in ENDS_P:
-            _close(stack, ("p",), BLOCKS - {"p"})
-        elif tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-            _close(stack, {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th")}.get(tag, ("td", "th", "option")), frozenset(("ul", "ol", "dl", "table", "menu")))
-        _, away, main = stack[-1]
-        if m["rest"].rstrip().endswith("/") and tag not in BLOCKS:
+            stack.end(("p",), "blocks")
+        elif tag in ENDS:
+            stack.end(ENDS[tag], "lists")
+        away, main = stack.state()
+        if rest.rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        whole = tag == "main" or MAIN_ROLE.search(m["rest"]) is not None
-        own = _away(tag, m["rest"])
+        whole = tag == "main" or MAIN_ROLE.search(rest) is not None
+        own = _away(tag, rest)
         if not main and own < SURE and (whole or (tag == "article" and own == PART)):
             own = 0
         if main and own == PART:
             own = WHOLE  # a part of an article, not what contains it
         if whole and not main and away < SURE:
             away = 0
-        stack.append((tag, max(away, own), main or whole or tag in MAIN))
+        stack.push(tag, max(away, own), main or whole or tag in MAIN)
     flush()
     return _settled(out)
 
 
+#: Items that end open ones before them.
+ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th", "option"), "th": ("td", "th", "option"), "option": ("td", "th", "option")}
+LISTS = frozenset("ul ol dl table menu".split())
+
+
+class _Open:
+    """The open elements, with where those of each tag, the blocks and the lists are, so that nothing is searched."""
+
+    def __init__(self):
+        self.items: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, away, main
+        self.at: dict[str, list[int]] = {"blocks": [], "lists": []}
+        self.turns: list[int] = []  # where away or main differ from the element before
+
+    def state(self) -> tuple[int, bool]:
+        return self.items[-1][1:]
+
+    def push(self, tag: str, away: int, main: bool) -> None:
+        here = len(self.items)
+        if (away, main) != self.state():
+            self.turns.append(here)
+        self.items.append((tag, away, main))
+        self.at.setdefault(tag, []).append(here)
+        if tag in BLOCKS and tag != "p":
+            self.at["blocks"].append(here)
+        if tag in LISTS:
+            self.at["lists"].append(here)
+
+    def cut(self, here: int) -> None:
+        """Close the elements from a place on."""
+        for tag, _, _ in self.items[here:]:
+            self.at[tag].pop()
+        for places in (self.at["blocks"], self.at["lists"], self.turns):
+            while places and places[-1] >= here:
+                places.pop()
+        del self.items[here:]
+
+    def close(self, tag: str) -> None:
+        if places := self.at.get(tag):
+            self.cut(places[-1])
+
+    def changes(self, tag: str) -> bool:
+        """Would an end tag change what is known of the text after it?"""
+        places = self.at.get(tag)
+        return bool(places and self.turns and self.turns[-1] >= places[-1])
+
+    def end(self, tags: tuple[str, ...], within: str) -> None:
+        """End the innermost open element of these tags, unless one of within lies inside it."""
+        here = max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+        if here > (self.at[within][-1] if self.at[within] else 0):
+            self.cut(here)
+
+
+def _tokens(page: str) -> Iterator[tuple[str, bool, str | None, str]]:
+    """(text, False, None, "") and (_, is end, tag, what follows it) of a page; comments, raw elements and the like are skipped."""
+    at, last, quoted = 0, page.rfind(">"), True
+    while at < len(page):
+        here = page.find("<", at)
+        if here != at:
+            yield page[at : here if here >= 0 else len(page)], False, None, ""
+            if here < 0:
+                return
+        if page.startswith("<!--", here):
+            end = page.find("-->", here + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if page.startswith("<![CDATA[", here):
+            end = page.find("]]>", here + 9)
+            yield html.escape(page[here + 9 : end if end >= 0 else len(page)]), False, None, ""
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if page.startswith(("<!", "<?"), here):
+            end = page.find(">", here)
+            at = end + 1 if end >= 0 else len(page)
+            continue
+        m = TAG.match(page, here) if here < last else None
+        if m is None:  # no tag, or one that never ends
+            yield "<", False, None, ""
+            at = here + 1
+            continue
+        end = _tag_end(page, m.end()) if quoted else -1
+        if end < 0:  # a quote that never ends: from here on quotes don't hide ends of tags
+            quoted, end = False, page.find(">", m.end())
+        tag, rest, at = m[2].lower(), page[m.end() : end], end + 1
+        if tag in RAW and not m[1] and not rest.rstrip().endswith("/"):
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            end = page.find(">", close.end()) if close else -1
+            at = end + 1 if end >= 0 else len(page)
+            continue
+        yield "", bool(m[1]), tag, rest
+
+
+def _tag_end(page: str, at: int) -> int:
+    """The place of the > that ends a tag, outside quotes; -1 where there is none."""
+    while True:
+        at = PLAIN.match(page, at).end()
+        if at == len(page):
+            return -1
+        if page[at] == ">":
+            return at
+        at = page.find(page[at], at + 1) + 1
+        if not at:
+            return -1
+
+
 def _settled(found: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """Roles m, b and x in place of a, an article in an element with a word in its class name, and c, in other such text."""
     size = {r: sum(len(x) for x, role in found if role == r) for r in "ambc"}
@@ -169,21 +273,6 @@ def _settled(found: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return [(x, {"a": a, "c": c}.get(r, r)) for x, r in found]
 
 
-def _edge(tag: str, rest: str, stack: list) -> bool:
-    """Does an inline element begin something that is no article? Its text is then a line of its own."""
-    return bool(rest) and not stack[-1][1] and _away(tag, rest) > 0
-
-
-def _close(stack: list, tags, within) -> None:
-    """End the innermost open element of these tags, unless one of within lies inside it."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i][0] in tags:
-            del stack[i:]
-            return
-        if stack[i][0] in within:
-            return
-
-
 def common(a: list[str], b: list[str]) -> set[int]:
     """Positions in a of a longest common subsequence of a and b, by bit-parallel rows; long pairs are halved."""
     lo, hi = 0, 0
@@ -199,61 +288,61 @@ def common(a: list[str], b: list[str]) -> set[int]:
 HELD = 1 << 28
 
 
-def _rows(a: list[str], b: list[str]) -> list[int]:
-    """For each prefix of a, a row with bit j clear where the LCS with b[:j + 1] grows."""
-    at: dict[str, int] = {}
-    for j, x in enumerate(b):
-        at[x] = at.get(x, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    row, rows = full, []
-    for x in a:
-        hit = row & at.get(x, 0)
-        row = ((row + hit) | (row - hit)) & full
-        rows.append(row)
-    return rows
-
-
 def _subsequence(a: list[str], b: list[str]) -> set[int]:
+    """Positions in a of an LCS. A row has bit j clear where the LCS of a prefix of a grows at b[j].
+
+    If all rows would be too much, some are held and those between are made again on the way back: the same result.
+    """
     if not a or not b:
         return set()
-    if len(a) * len(b) > HELD and len(a) > 1:  # Hirschberg: split a in the middle, b where the two halves fit best
-        mid = len(a) // 2
-        left, right = _last(a[:mid], b), _last(a[mid:][::-1], b[::-1])
-        cut = max(range(len(b) + 1), key=lambda j: left[j] + right[len(b) - j])
-        return _subsequence(a[:mid], b[:cut]) | {mid + i for i in _subsequence(a[mid:], b[cut:])}
-    rows = _rows(a, b)
-    out, j, i = set(), len(b) - 1, len(a) - 1
-    length = len(b) - rows[-1].bit_count()
-    while length:
-        while rows[i] >> j & 1:  # the LCS doesn't grow at j
-            j -= 1
-        while i and not rows[i - 1] >> j & 1:
-            i -= 1
-        out.add(i)
-        i, j, length = i - 1, j - 1, length - 1
-    return out
-
-
-def _last(a: list[str], b: list[str]) -> list[int]:
-    """Lengths of the LCS of a with each prefix of b."""
     at: dict[str, int] = {}
     for j, x in enumerate(b):
         at[x] = at.get(x, 0) | 1 << j
     full = (1 << len(b)) - 1
-    row = full
-    for x in a:
-        hit = row & at.get(x, 0)
-        row = ((row + hit) | (row - hit)) & full
-    out = [0]
-    for bit in reversed(bin(row | 1 << len(b))[3:]):
-        out.append(out[-1] + (bit == "0"))
+
+    def rows(row: int, part: list[str]) -> Iterator[int]:
+        for x in part:
+            hit = row & at.get(x, 0)
+            row = ((row + hit) | (row - hit)) & full
+            yield row
+
+    step = len(a) if len(a) * len(b) <= HELD else math.isqrt(len(a)) + 1
+    held, row = [], full
+    for lo in range(0, len(a), step):
+        held.append(row)
+        if lo + step < len(a):
+            for row in rows(row, a[lo : lo + step]):  # noqa: B007
+                pass
+    out, j = set(), len(b) - 1
+    for n in reversed(range(len(held))):
+        lo = n * step
+        here = list(rows(held[n], a[lo : lo + step]))
+        for i in reversed(range(len(here))):
+            while j >= 0 and here[i] >> j & 1:  # the LCS doesn't grow at j
+                j -= 1
+            if j < 0:
+                return out
+            if (here[i - 1] if i else held[n]) >> j & 1:  # it does with a[i], and not without
+                out.add(lo + i)
+                j -= 1
     return out
 
 
-def main_text(own: list[str], roles: str, mate: list[str] | None) -> str:
-    """The lines that stay of a page, given those of its mate."""
-    if mate:
+def near_copies(own: list[str], roles: str, shared: set[int], other: list[str], other_roles: str) -> bool:
+    """Is nearly all text outside articles shared on both sides? Then none of it can be told from a frame."""
+    both = sum(len(x) for i, (x, r) in enumerate(zip(own, roles, strict=True)) if r == "b" and i in shared)
+    size = max(sum(len(x) for x, r in zip(lines_, roles_, strict=True) if r == "b") for lines_, roles_ in ((own, roles), (other, other_roles)))
+    return both >= max(NEAR * size, NEAR_CHARS)
+
+
+def main_text(own: list[str], roles: str, *mates: tuple[list[str], str]) -> str:
+    """The lines that stay of a page, given those (and their roles) of the pages that may be its mate, the best first."""
+    for mate, mate_roles in mates:
+        if not mate:
+            continue
         shared = common(own, mate)
+        if near_copies(own, roles, shared, mate, mate_roles):
+            continue
         return "\n\n".join([x for i, (x, r) in enumerate(zip(own, roles, strict=True)) if r == "m" or (r == "b" and i not in shared)])
     wanted = "m" if "m" in roles else "b"  # nothing tells what lies outside the article from a frame
     return "\n\n".join([x for x, r in zip(own, roles, strict=True) if r == wanted])
@@ -308,9 +397,9 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def text(before, row, after) -> tuple:
         mates = [x for x in (before, after) if x is not None and x[:2] == row[:2]]
-        mate = max(mates, key=lambda x: _prefix(x[2], row[2]), default=None)
-        own = row[7].split("\n") if row[8] else []
-        return row[3], row[4], main_text(own, row[8], mate[7].split("\n") if mate and mate[8] else None)
+        mates.sort(key=lambda x: -_prefix(x[2], row[2]))
+        of = lambda x: (x[7].split("\n") if x[8] else [], x[8])
+        return row[3], row[4], main_text(*of(row), *map(of, mates))
 
     before = row = None
     for batch in batches:
@@ -335,18 +424,21 @@ def _block_edges(keys: DataFrame, blocks: int) -> list:
     return sorted_keys.mapInArrow(_edges, "host string, path string, page_id long, tag long, part int").collect()
 
 
-def extract(pages: DataFrame, rows: int = ROWS) -> DataFrame:
+def extract(pages: DataFrame, rows: int = ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """page_id, url, text of every row of pages (page_id, url, html).
 
-    Null html is empty; a page without text has an empty text. Pages without a url are neighbours of one another.
-    Repeated rows are all returned, and other columns are ignored.
+    Null html is empty; a page without text has an empty text, and a long one is read whole. Pages without a url are
+    neighbours of one another. Repeated rows are all returned; of neighbours with equal common prefixes the one before
+    is the mate. An empty table gives no rows, and other columns are ignored.
     """
     spark = pages.sparkSession
     url = F.col("url").cast("string")
     host, path = host_and_path(url)
     narrow = pages.select(host.alias("host"), path.alias("path"), F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.xxhash64("url", F.col("html").cast("string")).alias("tag"), F.col("html").cast("string").alias("html"))
     keys = narrow.select("host", "path", "page_id", "tag")
-    blocks = max(1, min(MOST_BLOCKS, keys.count() // rows))
+    size = pages.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("bytes")).first()
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, min(4 * partitions, size.n // rows), size.bytes // block_bytes)
     setting = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
     was = spark.conf.get(setting)
     spark.conf.set(setting, str(SAMPLED))
@@ -362,5 +454,5 @@ def extract(pages: DataFrame, rows: int = ROWS) -> DataFrame:
         return spark.createDataFrame([], "page_id long, url string, text string")
     sent = narrow.mapInArrow(_parse(spark.sparkContext.broadcast(bounds)), DDL)
     # a task has four blocks or so, however many pages there are
-    sent = sent.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // 4), "block").sortWithinPartitions("block", "host", "path", "page_id", "tag")
+    sent = sent.repartition(max(partitions, blocks // 4), "block").sortWithinPartitions("block", "host", "path", "page_id", "tag")
     return sent.select("block", "host", "path", "page_id", "url", "tag", "context", "lines", "roles").mapInArrow(_pair, "page_id long, url string, text string")

@@ -1,4 +1,6 @@
+import os
 import random
+import time
 
 import pytest
 
@@ -26,7 +28,7 @@ from kvstrata.llm import html_text as H
 )
 def test_blocks(page, text):
     found = H.lines(page)
-    assert H.main_text([x for x, _ in found], "".join(r for _, r in found), None) == text
+    assert H.main_text([x for x, _ in found], "".join(r for _, r in found)) == text
 
 
 def lcs(a, b):
@@ -64,27 +66,27 @@ def pages_of(seed):
     return out + [(200, None, "<p>no url</p>"), (None, None, None), (201, "http://b.org/en/1", None), (201, "http://b.org/en/1", None), (202, "http://b.org/zz", "<p>" + "long " * 30000 + "</p>")]
 
 
-def brute(rows):
-    """Sort all, look at both neighbours."""
+def key_of(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    for c in "?#":
+        rest = rest.split(c, 1)[0]
+    host, slash, path = rest.partition("/")
+    return host.lower(), slash + path
 
-    def parts(url):
-        if url is None or "://" not in url:
-            return "", ""
-        rest = url.split("://", 1)[1]
-        for c in "?#":
-            rest = rest.split(c, 1)[0]
-        host, slash, path = rest.partition("/")
-        return host.lower(), slash + path
 
-    rows = sorted(rows, key=lambda r: (*map(str.encode, parts(r[1])), r[0] is not None, r[0] or 0))
+def brute(rows):
+    """Sort all, look at both neighbours."""
+    rows = sorted(rows, key=lambda r: (*map(str.encode, key_of(r[1])), r[0] is not None, r[0] or 0))
     found = [H.lines(r[2]) for r in rows]
+    parts = lambda j: ([x for x, _ in found[j]], "".join(r for _, r in found[j]))
     out = []
     for i, row in enumerate(rows):
-        host, path = parts(row[1])
-        mates = [j for j in (i - 1, i + 1) if 0 <= j < len(rows) and parts(rows[j][1])[0] == host]
-        mate = max(mates, key=lambda j: H._prefix(parts(rows[j][1])[1], path), default=None)
-        own = found[i]
-        out.append((row[0], row[1], H.main_text([x for x, _ in own], "".join(r for _, r in own), None if mate is None else [x for x, _ in found[mate]])))
+        host, path = key_of(row[1])
+        mates = [j for j in (i - 1, i + 1) if 0 <= j < len(rows) and key_of(rows[j][1])[0] == host]
+        mates.sort(key=lambda j: -len(os.path.commonprefix([key_of(rows[j][1])[1], path])))
+        out.append((row[0], row[1], H.main_text(*parts(i), *map(parts, mates))))
     return sorted(out, key=str)
 
 
@@ -124,4 +126,56 @@ def test_differencing_decides_outside_the_article(spark):
 )
 def test_class_words_never_remove_the_article(page, text):
     found = H.lines(page)
-    assert H.main_text([x for x, _ in found], "".join(r for _, r in found), None) == text
+    assert H.main_text([x for x, _ in found], "".join(r for _, r in found)) == text
+
+
+def built(seed):
+    """Pages whose text is known as they are built, with no code of the operator: (page_id, url, html, text)."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(8))
+    frames = {h: [f"{h} line {i} {word()}" for i in range(4)] for h in ("one.com", "two.org", "three.net")}
+    own = [h for h in frames for _ in range(15)] + ["lone.com"]
+    pages = []
+    for i, h in enumerate(own):
+        top, end = frames.get(h, ["top a", "top b", "end a", "end b"])[:2], frames.get(h, ["", "", "end a", "end b"])[2:]
+        paragraphs = [f"{word()} {i} &amp; &#233;{j} {word()} {'long ' * r.randint(5, 30)}" for j in range(r.randint(1, 4))]
+        article = r.random() < 0.5
+        unique = [f"{word()} aside {i}"] if r.random() < 0.5 else []
+        tag = r.choice(["p", "div", "section"])
+        body = "".join(f"<{tag}>\n {p}\n</{tag}>" for p in paragraphs)
+        page = "<html><head><title>t</title><script>x('</p>')</script></head><body>" + "".join(f"<div>{x}</div>" for x in top)
+        page += "".join(f"<nav><p>{u}</p></nav>" for u in unique) + (f"<article>{body}<div class='comments'><p>c {i}</p></div></article>" if article else body)
+        page += "".join(f"<div>{x}</div>" for x in end) + f"<footer>{word()}</footer></body></html>"
+        text = [" ".join(p.replace("&amp;", "&").replace("&#233;", "é").split()) for p in paragraphs]
+        if h == "lone.com" and not article:
+            text = [*top, *text, *end]
+        pages.append((i, f"https://{h}/{r.choice('ab')}/{r.randrange(10**6)}", page, "\n\n".join(text)))
+    return pages
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_texts_known_by_construction(spark, seed):
+    pages = built(seed)
+    frame = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in H.extract(frame, rows=6).collect()}
+    assert got == {i: text for i, _, _, text in pages}
+
+
+def test_copies_do_not_empty_each_other(spark):
+    page = "<div>frame of the site</div><p>" + "one and the same text of some length " * 3 + "</p><div>end</div>"
+    other = "<div>frame of the site</div><p>" + "quite another text that is as long as that " * 3 + "</p><div>end</div>"
+    rows = [(1, "http://h.com/a/1", page), (2, "http://h.com/a/1?print", page), (3, "http://h.com/b/2", other)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert "one and the same" in got[1] and "one and the same" in got[2]
+    assert got[2] == ("one and the same text of some length " * 3).strip() and got[3] == ("quite another text that is as long as that " * 3).strip()
+    twins = spark.createDataFrame(rows[:2], "page_id long, url string, html string")
+    assert all("one and the same" in r.text for r in H.extract(twins).collect())
+
+
+@pytest.mark.parametrize("piece, end", [("<a ", ""), ("<a ", ">"), ('<a "', ""), ('<a "', ">"), ("<a '\" ", ">x"), ("<div>x</p>", ""), ("<b>", "<p></p>" * 100_000), ("<p><b>", ""), ("<script ", ""), ("</script ", ""), ("<script></script ", ""), ("<!--", ""), ("<![CDATA[", ""), ("<!", ""), ("<li><b>", ""), ("<ul><li>", "</ul>"), ("&", ""), ("&#9", ""), ("<p class=", ">"), ("<td><div>", ""), ("<", ">")])
+def test_a_megabyte_of_anything_is_read_fast(piece, end):
+    page = piece * (1_000_000 // len(piece)) + end
+    began = time.process_time()
+    H.lines(page)
+    assert time.process_time() - began < 6  # a quadratic reader takes hours
+    H.lines("&#" + "9" * 1_000_000 + ";<p>" + "&#00000000000065;")
