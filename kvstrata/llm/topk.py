@@ -3,16 +3,18 @@
 Vectors are cut into blocks by descending length. Each query first gets a lower bound of its k-th score from a small
 set of seeds (the longest vectors and a fixed sample). It is sent only to the blocks whose longest vector could still
 reach that bound (Cauchy-Schwarz: |q| |c|). Inside a block, vectors are taken in runs of descending length. A rotation
-by the singular vectors of a sample puts most of the length into the first few dimensions, so the partial sum over
-those plus the product of the two residual lengths bounds the score; only pairs whose bound reaches the query's
-current k-th score get their exact integer score. Bounds carry a margin over rounding errors, so nothing is lost.
+by the singular vectors of a sample puts most of the length into the first dimensions. Partial sums over more and more
+of them (HEADS), each plus the product of the two residual lengths, bound the score: after each head only pairs whose
+bound reaches the query's current k-th score go on, and only what passes all heads gets its exact integer score. Bounds
+carry a margin over rounding errors, so nothing is lost.
 
 The rotation and the seeds come from bounded samples and only decide how much is pruned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +26,23 @@ from .common import written
 SCALE, K, EVERY = 64, 20, 20
 #: Vectors of a block, of the sample for the rotation, and of the longest as seeds.
 BLOCK, SAMPLE, LONGEST = 8192, 8192, 2048
-#: Blocks by length at most: with more vectors each is dealt into parts.
+#: Cuts by length at most; with more vectors each block is dealt into parts, so that no task grows.
 MOST_BLOCKS = 1000
-#: Vectors of a run inside a block, and queries bounded at once.
-RUN, QUERIES = 1024, 512
-#: Components are held within this, so that they stay integers in a double.
-LARGEST = 2**52
+#: Vectors of a run inside a block, queries bounded at once, pairs scored at once.
+RUN, QUERIES, PAIRS = 1024, 512, 1 << 16
+#: Shares of the dimensions after which partial sums are bounded.
+HEADS = (0.25, 0.5, 0.625, 0.75, 0.875)
 
 
 def quantised(rows: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, vec (floor of scale times each component, as long), norm of the vectors that take part."""
+    """vec_id, vec (floor of scale times each component, a whole number in a double), norm of the vectors that take part."""
     x = F.col("embedding")
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
+    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double") * scale) == float("inf")))
     good = rows.where(F.col("vec_id").isNotNull() & x.isNotNull()).where(~bad)
-    whole = F.transform(x, lambda v: F.floor(F.greatest(F.least(v.cast("double") * scale, F.lit(float(LARGEST))), F.lit(-float(LARGEST)))).cast("long"))
+    # floor() of a double is a long; beyond 2^53 doubles are whole numbers anyway
+    whole = F.transform(x, lambda v: F.when(F.abs(v.cast("double") * scale) < 2.0**53, F.floor(v.cast("double") * scale).cast("double")).otherwise(v.cast("double") * scale))
     out = good.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("vec"))
-    return out.withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))))
+    return out.withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v)))
 
 
 def _matrix(vectors: list, dim: int) -> np.ndarray:
@@ -50,12 +53,30 @@ def _matrix(vectors: list, dim: int) -> np.ndarray:
     return out
 
 
+def _exact_in_doubles(q: np.ndarray, c: np.ndarray) -> bool:
+    """Are all sums of products of whole numbers of q and c exact in doubles?"""
+    return not (q.size and c.size) or np.abs(q).max() * np.abs(c).max() * q.shape[1] < 2**53
+
+
+def _long(scores: list[int]) -> np.ndarray:
+    if any(not -(2**63) <= s < 2**63 for s in scores):
+        raise OverflowError("an inner product is beyond a long")
+    return np.array(scores, np.int64)
+
+
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of rows of q with rows of c, within the range of a long."""
-    if q.size and c.size and np.abs(q).max() * np.abs(c).max() * q.shape[1] >= 2**53:
-        exact = q.astype(np.int64).astype(object) @ c.astype(np.int64).astype(object).T
-        return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
-    return np.rint(q @ c.T).astype(np.int64)
+    """Exact integer inner products of all rows of q with all rows of c; OverflowError where one is beyond a long."""
+    if _exact_in_doubles(q, c):
+        return np.rint(q @ c.T).astype(np.int64)
+    one, two = ([[int(x) for x in row] for row in m.tolist()] for m in (q, c))
+    return np.array([_long([sum(map(mul, a, b)) for b in two]) for a in one], np.int64).reshape(len(q), len(c))
+
+
+def _pair_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact integer inner products of the rows of q with those of c one by one."""
+    if _exact_in_doubles(q, c):
+        return np.rint(np.einsum("ij,ij->i", q, c)).astype(np.int64)
+    return _long([sum(int(x) * int(y) for x, y in zip(a, b, strict=True)) for a, b in zip(q.tolist(), c.tolist(), strict=True)])
 
 
 def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -67,12 +88,12 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))
 
 
-def _send(seeds, ceilings, parts, dim: int, k: int):
+def _send(seeds, ceilings, parts, dim: int, k: int, counts):
     """Queries to (block, part, query, id, vec, norm, bound) for each block that may hold one of their k best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = seeds.value
-        tops, counts = ceilings.value, parts.value
+        tops, dealt = ceilings.value, parts.value
         for batch in batches:
             for at in range(0, batch.num_rows, QUERIES):
                 piece = batch.slice(at, QUERIES)
@@ -84,14 +105,17 @@ def _send(seeds, ceilings, parts, dim: int, k: int):
                     bound = int(np.partition(own, -k)[-k]) if len(own) >= k else -(2**63)
                     reach = norms[i] * tops * (1 + 1e-9) + 1e-6 >= bound
                     for b in np.flatnonzero(reach).tolist():
-                        out += [(b, p, True, int(q), q_vecs[i], float(norms[i]), bound) for p in range(counts[b])]
+                        out += [(b, p, True, int(q), q_vecs[i], float(norms[i]), bound) for p in range(dealt[b])]
+                if counts:
+                    counts["queries"].add(len(q_ids))
+                    counts["sent"].add(len(out))
                 yield _rows(out)
 
     return run
 
 
-DDL = "block int, part int, query boolean, vec_id long, vec array<long>, norm double, bound long"
-FIELDS = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("query", pa.bool_()), ("vec_id", pa.int64()), ("vec", pa.list_(pa.int64())), ("norm", pa.float64()), ("bound", pa.int64())])
+DDL = "block int, part int, query boolean, vec_id long, vec array<double>, norm double, bound long"
+FIELDS = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("query", pa.bool_()), ("vec_id", pa.int64()), ("vec", pa.list_(pa.float64())), ("norm", pa.float64()), ("bound", pa.int64())])
 FOUND_DDL = "query_id long, vec_id long, score long"
 
 
@@ -100,22 +124,52 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FIELDS, strict=True)], schema=FIELDS)
 
 
-def _search(rotation, dim: int, head: int, k: int):
+def _tails(turned: np.ndarray, cuts: list[int]) -> list[np.ndarray]:
+    """The length of each row from each cut on; summed from the end, so that small ones are exact."""
+    squares = np.cumsum((turned**2)[:, ::-1], axis=1)[:, ::-1]
+    return [np.sqrt(squares[:, c]) if c < turned.shape[1] else np.zeros(len(turned)) for c in cuts]
+
+
+def _reaching(q: np.ndarray, q_tails: list, c: np.ndarray, c_tails: list, cuts: list[int], need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows whose partial sums plus residual lengths reach need[i] after each cut."""
+    i, j = np.arange(len(q)), np.arange(len(c))
+    sums, dense, lo = np.zeros((len(q), len(c))), True, 0
+    for n, cut in enumerate(cuts):
+        if dense:
+            sums = sums + q[i, lo:cut] @ c[j, lo:cut].T
+            near = sums + np.outer(q_tails[n][i], c_tails[n][j]) >= need[i][:, None]
+            if near.mean() < 0.125:  # few pairs: one by one from here on
+                dense, (a, b) = False, np.nonzero(near)
+                i, j, sums = i[a], j[b], sums[a, b]
+            elif n + 1 == len(cuts):
+                a, b = np.nonzero(near)
+                return i[a], j[b]
+            else:
+                a, b = near.any(axis=1), near.any(axis=0)
+                i, j, sums = i[a], j[b], sums[a][:, b]
+        else:
+            sums = sums + np.einsum("ij,ij->i", q[i, lo:cut], c[j, lo:cut])
+            near = sums + q_tails[n][i] * c_tails[n][j] >= need[i]
+            i, j, sums = i[near], j[near], sums[near]
+        if not len(i):
+            return i, i
+        lo = cut
+    return i, j
+
+
+def _search(rotation, dim: int, cuts: list[int], k: int, counts):
     """Rows sorted by block, part, vectors by descending norm, then queries: to the best k of each query in the block."""
 
     class Block:
         def __init__(self, ids, vectors, norms):
             self.ids, self.vectors, self.norms = np.array(ids, np.int64), _matrix(vectors, dim), np.array(norms)
-            turned = self.vectors @ rotation.value
-            self.head = np.ascontiguousarray(turned[:, :head])
-            self.rest = np.sqrt(np.maximum(self.norms**2 - (self.head**2).sum(axis=1), 0))
+            self.turned = self.vectors @ rotation.value
+            self.tails = _tails(self.turned, cuts)
 
         def best(self, q_ids, q_vecs, q_norms, bounds):
-            q = _matrix(q_vecs, dim)
+            q, q_ids = _matrix(q_vecs, dim), np.array(q_ids, np.int64)
             turned = q @ rotation.value
-            part = turned[:, :head]
-            rest = np.sqrt(np.maximum(q_norms**2 - (part**2).sum(axis=1), 0))
-            bounds = bounds.astype(np.float64)
+            tails = _tails(turned, cuts)
             hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q_ids]
             for at in range(0, len(self.ids), RUN):
                 run = slice(at, at + RUN)
@@ -123,22 +177,26 @@ def _search(rotation, dim: int, head: int, k: int):
                 alive = np.flatnonzero(q_norms * self.norms[at] + margin >= bounds)
                 if not len(alive):
                     break  # lengths only fall from here
-                ceiling = part[alive] @ self.head[run].T + np.outer(rest[alive], self.rest[run])
-                near = ceiling >= (bounds - margin)[alive][:, None]
-                which = np.flatnonzero(near.any(axis=1))
-                if not len(which):
-                    continue
-                columns = np.flatnonzero(near.any(axis=0))
-                exact = _scores(q[alive[which]], self.vectors[run][columns])
-                ids = self.ids[run][columns]
-                for j, i in enumerate(alive[which].tolist()):
-                    ok = near[which[j]][columns] & (exact[j] >= bounds[i]) & (ids != q_ids[i])
-                    if ok.any():
-                        s, c = np.concatenate([hits[i][0], exact[j][ok]]), np.concatenate([hits[i][1], ids[ok]])
-                        top = _top(s, c, k)
-                        hits[i] = s[top], c[top]
-                        if len(top) == k:
-                            bounds[i] = max(bounds[i], float(s[top[-1]]))
+                vectors, ids = self.vectors[run], self.ids[run]
+                i, j = _reaching(turned[alive], [t[alive] for t in tails], self.turned[run], [t[run] for t in self.tails], cuts, (bounds - margin)[alive])
+                i = alive[i]
+                if counts:
+                    counts["pairs"].add(len(q_ids) * len(ids))
+                    counts["scored"].add(len(i))
+                scores = [_pair_scores(q[i[x : x + PAIRS]], vectors[j[x : x + PAIRS]]) for x in range(0, len(i), PAIRS)]
+                exact = np.concatenate([np.zeros(0, np.int64), *scores])
+                ok = (exact >= bounds[i]) & (ids[j] != q_ids[i])
+                i, j, exact = i[ok], j[ok], exact[ok]
+                by = np.argsort(i, kind="stable")
+                i, j, exact = i[by], j[by], exact[by]
+                firsts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else i
+                for a, b in zip(firsts.tolist(), [*firsts[1:].tolist(), len(i)], strict=False):
+                    n = int(i[a])
+                    s, c = np.concatenate([hits[n][0], exact[a:b]]), np.concatenate([hits[n][1], ids[j[a:b]]])
+                    top = _top(s, c, k)
+                    hits[n] = s[top], c[top]
+                    if len(top) == k:
+                        bounds[n] = max(bounds[n], s[top[-1]])
             return hits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,14 +228,15 @@ def _search(rotation, dim: int, head: int, k: int):
     return run
 
 
-def search(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, block_rows: int = BLOCK, head_share: float = 0.25) -> DataFrame:
+def search(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, block_rows: int = BLOCK, heads: Sequence[float] = HEADS, counts: dict | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of all other rows for each query, ties to smaller vec_id.
 
     Queries are the vectors whose vec_id is divisible by every. Vectors that are null or hold a null or non-finite
     component, and rows with a null vec_id, take no part; shorter vectors count as ending in zeros, empty ones as
     zeros. Rows that repeat a vec_id are candidates each, but one query (by their smallest vector), of which all rows
-    with that id are its own. Components beyond 2^52 are held there and scores within a long. Other columns are
-    ignored.
+    with that id are its own. Scores are exact; one beyond a long raises. An empty table gives no rows. Other columns
+    are ignored, long texts among them never read. counts, if given, gets accumulators: queries, sent (queries to
+    blocks), pairs (in the blocks that they reach), scored (pairs of which the exact score was needed).
     """
     spark = rows.sparkSession
     vectors = written(quantised(rows, scale), "vectors")
@@ -192,22 +251,24 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE,
     some = _matrix([r.vec for r in sample], dim)
     turned = np.linalg.svd(some.T @ some)[2]  # the right singular vectors of the sample, largest first
     del some
-    head = max(1, round(dim * head_share))
+    heads_at = sorted({min(dim, max(1, round(dim * h))) for h in heads})
+    if counts is not None:
+        counts |= {name: spark.sparkContext.accumulator(0) for name in ("queries", "sent", "pairs", "scored")}
     n_blocks = max(1, min(MOST_BLOCKS, shape.n // block_rows))
     cuts = sorted(set(vectors.approxQuantile("norm", [i / n_blocks for i in range(1, n_blocks)], 0.001)), reverse=True) if n_blocks > 1 else []
     cut_at = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
     block = F.size(F.filter(cut_at, lambda c: F.col("norm") < c))
     placed = vectors.withColumn("block", block)
     sizes = {r.block: (r.n, r.top) for r in placed.groupBy("block").agg(F.count("*").alias("n"), F.max("norm").alias("top")).collect()}
-    counts = [-(-sizes[b][0] // (2 * block_rows)) if b in sizes else 0 for b in range(len(cuts) + 1)]
+    parts = [-(-sizes[b][0] // (2 * block_rows)) if b in sizes else 0 for b in range(len(cuts) + 1)]
     tops = np.array([sizes[b][1] if b in sizes else -1.0 for b in range(len(cuts) + 1)])
     # a block that ties in length made too large is dealt into parts
-    part = F.pmod(F.xxhash64("vec_id", "vec"), F.greatest(F.element_at(F.array(*[F.lit(c) for c in counts]), F.col("block") + 1), F.lit(1))).cast("int")
+    part = F.pmod(F.xxhash64("vec_id", "vec"), F.greatest(F.element_at(F.array(*[F.lit(c) for c in parts]), F.col("block") + 1), F.lit(1))).cast("int")
     candidates = placed.select(F.col("block").cast("int"), part.alias("part"), F.lit(False).alias("query"), "vec_id", "vec", "norm", F.lit(0).cast("long").alias("bound"))
     queries = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("vec", "norm")).alias("least")).select("vec_id", "least.vec", "least.norm")
     share = spark.sparkContext.broadcast
-    sent = queries.mapInArrow(_send(share((seed_ids, seed_vectors)), share(tops), share(counts), dim, k), DDL)
+    sent = queries.mapInArrow(_send(share((seed_ids, seed_vectors)), share(tops), share(parts), dim, k, counts), DDL)
     both = candidates.unionByName(sent).repartition("block", "part").sortWithinPartitions("block", "part", "query", F.desc("norm"), "vec_id")
-    found = both.mapInArrow(_search(share(turned.T), dim, head, k), FOUND_DDL)
+    found = both.mapInArrow(_search(share(turned.T), dim, heads_at, k, counts), FOUND_DDL)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -42,6 +42,28 @@ def test_fewer_than_k_and_empty(spark):
     assert topk.search(frame.limit(0)).collect() == []
 
 
-def test_scores_beyond_a_double_are_exact():
-    q = np.array([[2.0**40 + 1, 3.0]])
-    assert topk._scores(q, q)[0, 0] == min(2**63 - 1, (2**40 + 1) ** 2 + 9)
+def test_scores_beyond_a_double_are_exact(spark):
+    q = np.array([[2.0**30 + 1, 3.0], [2.0**31 - 1, -1.0]])
+    expected = [[int(a[0]) * int(b[0]) + int(a[1]) * int(b[1]) for b in q] for a in q]
+    assert topk._scores(q, q).tolist() == expected and topk._pair_scores(q, q[::-1]).tolist() == [expected[0][1], expected[1][0]]
+    with pytest.raises(OverflowError):
+        topk._scores(q * 2.0**10, q)
+    big = [(i, [float(2**24 - i % 7), float(2**23 + i), -float(i % 5)]) for i in range(120)]
+    frame = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    got = topk.search(frame, k=7, every=20, block_rows=16).collect()
+    assert {tuple(x) for x in got} == brute(big, 7, 20)
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.search(spark.createDataFrame([(0, [1e18, 1.0]), (1, [1e18, 1.0])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_heads_and_lengths_prune(spark, monkeypatch):
+    """Lengths that differ keep queries from most blocks, and partial sums keep most pairs from being scored."""
+    r = np.random.default_rng(3)
+    monkeypatch.setattr(topk, "SAMPLE", 200)
+    monkeypatch.setattr(topk, "LONGEST", 100)
+    rows = [(i, (r.normal(size=16) * r.lognormal(0, 1) * np.linspace(3, 0.2, 16)).tolist()) for i in range(2000)]
+    counts = {}
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=100, counts=counts).collect()
+    assert {tuple(x) for x in got} == brute(rows, 20, 20)
+    assert counts["queries"].value == 100 and counts["sent"].value < 0.7 * 100 * 20
+    assert counts["scored"].value < 0.3 * 100 * 2000
