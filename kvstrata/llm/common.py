@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
@@ -13,6 +10,8 @@ from contextlib import contextmanager, suppress
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Java regular expression of one white-space character as the contracts define it.
 SPACE = r"\x20\x09-\x0D"
@@ -28,6 +27,11 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    """Bytes of all texts of a column, for numbers of partitions that follow the input."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(column).cast("string"))), F.lit(0))).first()[0]
+
+
 def text_tag(docs: DataFrame) -> Column:
     """A hash of the text, null as empty: with doc_id it names a row even where rows repeat a doc_id."""
     return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("tag")
@@ -40,17 +44,21 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.withColumn("__tag", text_tag(docs)).join(names, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-_own: list[str] = []
+#: Keys that are broadcast at most, and rows up to which no key is.
+HOT, LEAST_HOT = 2_000, 10_000
+
 
+def spread_join(rows: DataFrame, per_key: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with per_key (one row a key, whose rows are counted in a column of it), whatever share of rows a key has.
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    if path := spark.conf.get("spark.checkpoint.dir", None):
-        return path.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="kvstrata-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return _own[0]
+    Keys of more than total / HOT rows are HOT at most: they are broadcast, so that their rows stay where they are. Those
+    of the others are shuffled. how: inner, or left for rows without a key in per_key too. Keys are never null.
+    """
+    many = F.col(count) > max(LEAST_HOT, total // HOT)
+    hot = per_key.where(many)
+    of_hot = rows.join(F.broadcast(hot), on)
+    others = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(per_key.where(~many), on, how)
+    return of_hot.unionByName(others)
 
 
 #: Paths that scratch() has given.

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import batches_of, text_tag, written
+from .common import batches_of, spread_join, text_tag, written
 
 #: Words of a shingle and the similarity of near copies.
 WORDS, LEAST = 5, 0.8
@@ -126,14 +126,15 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFra
     with batches_of(spark, TEXTS):
         # SimHash: texts of one fingerprint, and the links of fingerprints; wordless texts all have fingerprint zero
         prints = written(simhash.fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), words).select(F.col("doc_id").alias("node"), "fp"), "prints")
-        first = written(prints.groupBy("fp").agg(F.min("node").alias("first")), "first")
-        equal = prints.join(first, "fp").select(F.col("node").alias("p"), F.col("first").alias("q"))
+        first = written(prints.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("rows")), "first")
+        total = prints.count()
+        equal = spread_join(prints, first, ["fp"], "rows", total).select(F.col("node").alias("p"), F.col("first").alias("q"))
         near = simhash.links(first, RADIUS)
         near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("p")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("q")), "b").select("p", "q")
         # lists of texts with a shingle of their prefix in common
         lists = written(postings(texts, words, least), "postings")
         heads = lists.groupBy("shingle").agg(F.count("*").alias("texts"), F.min(F.struct(F.xxhash64("shingle", "node").alias("by"), "node", "size")).alias("head")).where("texts > 1")
-        lists = written(lists.join(heads, "shingle"), "lists")
+        lists = written(spread_join(lists, written(heads, "heads"), ["shingle"], "texts", lists.count()), "lists")
         fits = F.least("size", "head.size") >= least * F.greatest("size", "head.size") - 1e-6
         heads = lists.where(fits & (F.col("node") != F.col("head.node"))).select(F.col("node").alias("p"), F.col("head.node").alias("q")).distinct()
         heads = heads.groupBy("p").agg(F.slice(F.array_sort(F.collect_set("q")), 1, FEW).alias("qs")).select("p", F.explode("qs").alias("q"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, text_tag, written
+from .common import discard, spread_join, text_tag, written
 
 SEED = 42
 #: Shingles whose bits are counted at once, and texts that are Python objects at once.
@@ -183,25 +183,27 @@ def links(nodes: DataFrame, radius: int = 4, tree_size: int = 20_000) -> DataFra
     return rows.mapInArrow(_shard_links(radius), "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node with an edge; alternating large and small stars."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable, for every node with an edge; alternating large and small stars.
+
+    Rounds go on until nothing changes. The centre of a large star may hold most edges: see spread_join().
+    """
     spark = edges.sparkSession
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
     seen = state(now)
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("degree")), "least")
+        large = spread_join(both.where("b > a"), least, ["a"], "degree", 2 * seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(small, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         new = written(star, "edges")
         was, seen = seen, state(new)
-        discard(spark, now)
+        discard(spark, now, least)
         now = new
         if seen == was:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def classes(docs: DataFrame, words: int = 4, radius: int = 4, tree_size: int = 20_000) -> DataFrame:
@@ -210,10 +212,10 @@ def classes(docs: DataFrame, words: int = 4, radius: int = 4, tree_size: int = 2
     Equal fingerprints are one node, so copies never become pairs.
     """
     prints = written(fingerprints(docs, words), "fingerprints")
-    nodes = written(prints.select("fp").distinct(), "nodes")
+    nodes = written(prints.groupBy("fp").agg(F.count("*").alias("rows")), "nodes")
     found = components(links(nodes, radius, tree_size))
-    rooted = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root"))
-    return prints.join(rooted, "fp").select("doc_id", "tag", "fp", "root")
+    rooted = written(nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root"), "rows"), "rooted")
+    return spread_join(prints, rooted, ["fp"], "rows", prints.count()).select("doc_id", "tag", "fp", "root")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tree_size: int = 20_000) -> DataFrame:
@@ -221,8 +223,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tree_size:
 
     Empty and null texts have fingerprint zero. Rows with a null doc_id link others through their fingerprint but name
     no component, so the id of a component of such rows only is null. Repeated rows are returned as often as they
-    occur; other columns are ignored.
+    occur, texts are read whole, however long, and an empty table gives no rows; other columns are ignored.
     """
     rows = written(classes(docs, words, radius, tree_size), "classes")
-    ids = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(ids, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = written(rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")), "components")
+    return spread_join(rows, ids, ["root"], "rows", rows.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
