@@ -6,18 +6,20 @@ identifier of the document that stays, its locator, and the number of documents.
 
 A digest seen more than once is a hit. Hits are checked on full bytes: a Bloom filter of their digests (bounded size)
 picks their documents, which are grouped by digest and whole text; map-side aggregation reduces a group of copies to
-one row a task before the shuffle. A digest that turns out to stand for several texts is split by text.
+one row a task before the shuffle. A digest that turns out to stand for several texts is split by text. Only rows that
+the filter lets through are joined with the state, those of a digest with very many rows without moving.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bloom
-from .common import ascii_lower, discard, scratch, written
+from .common import ascii_lower, discard, scratch, spread_join, written
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -60,36 +62,51 @@ def read_state(spark: SparkSession, state: str) -> DataFrame:
     return rows.select(F.col("key.digest").alias("digest"), F.col(f"value.`{value[0]}`.doc_id").alias("keep_id"), F.col(f"value.`{value[0]}`.locator").alias("locator"), F.col(f"value.`{value[1]}`").alias("group_size"))
 
 
-def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_trigger: int | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_trigger: int | None = None, state: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs.
 
-    Of equal texts the largest doc_id stays; a null doc_id is smaller than any. Null and empty texts are equal. Rows
-    with the same doc_id and text are copies of one document: each is counted and returned, and all have the same
-    verdict. Other columns are ignored. digest may be any function of a text to a column; equal texts are found
-    exactly, whatever its collisions.
+    Of equal texts the largest doc_id stays; a null doc_id is smaller than any. Null and empty texts are equal, long ones
+    are compared whole. Rows with the same doc_id and text are copies of one document: each is counted and returned, and
+    all have the same verdict. An empty table gives no rows. Other columns are ignored. digest may be any function of a
+    text to a column; equal texts are found exactly, whatever its collisions.
+
+    state: a path where the state is kept, in a shared folder. Texts are then compared with those of all earlier calls
+    with that path too, which must have come from Parquet files (with doc_id and text) that are still there, as their
+    locators say: those that hold a hit are read for the check on full bytes.
     """
     spark = docs.sparkSession
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    base = state or scratch(spark, "dedup-state")
+    path, call = f"{base}/log", uuid.uuid4().hex
     fresh = docs.select(doc_id, normalised(docs).alias("norm"), F.input_file_name().alias("locator"))
-    path = scratch(spark, "dedup-log")
-    fresh.select("doc_id", digest(F.col("norm")).alias("digest"), F.unhex(sha256(F.col("norm"))).alias("sha"), "locator").write.parquet(path)
-    log = spark.read.parquet(path)
+    fresh.select("doc_id", digest(F.col("norm")).alias("digest"), F.unhex(sha256(F.col("norm"))).alias("sha"), "locator", F.lit(call).alias("call")).write.mode("append").parquet(path)
+    whole = spark.read.parquet(path)
+    log = whole.where(F.col("call") == call)
     if log.isEmpty():
         return log.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
-    state = scratch(spark, "dedup-state")
-    run_state(spark, path, log.schema, state, files_per_trigger)
-    seen = written(read_state(spark, state), "dedup-seen")
-    discard(spark, state)
-    hits = seen.where("group_size > 1").select("digest")
+    run_state(spark, path, whole.schema, f"{base}/keyed", files_per_trigger)
+    hits = written(read_state(spark, f"{base}/keyed").where("group_size > 1"), "dedup-hits")
+    if not state:
+        discard(spark, f"{base}/keyed")
     bits, hashes = bloom.size_for(hits.count())
     bits = min(bits, bloom.MOST_BITS)
-    words = bloom.build(hits, "digest", bits, hashes).scalar()
+    words = written(bloom.build(hits, "digest", bits, hashes), "dedup-filter").scalar()
+    may_hit = bloom.might_contain(words, F.col("digest"), bits, hashes)
     # inline() keeps the filter's many uses of the digest from each computing it anew
-    again = docs.select(doc_id, normalised(docs).alias("norm")).select(F.inline(F.array(F.struct("doc_id", "norm", digest(F.col("norm")).alias("digest")))))
-    texts = again.where(bloom.might_contain(words, F.col("digest"), bits, hashes)).groupBy("digest", "norm").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep"))
+    digests = lambda rows: rows.select(doc_id, normalised(rows).alias("norm")).select(F.inline(F.array(F.struct("doc_id", "norm", digest(F.col("norm")).alias("digest")))))
+    again = digests(docs)
+    if state and (files := [r.locator for r in whole.where(F.col("call") != call).join(hits.select("digest"), "digest", "left_semi").select("locator").distinct().collect()]):
+        if "" in files:
+            raise ValueError("earlier texts did not come from files, so hits can't be checked on full bytes")
+        again = again.unionByName(digests(spark.read.parquet(*files)))
+    texts = again.where(may_hit).groupBy("digest", "norm").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep"))
     texts = written(texts.select("digest", F.unhex(sha256(F.col("norm"))).alias("sha"), "n", "keep"), "dedup-texts")
     several = texts.groupBy("digest").agg(F.count("*").alias("texts"), F.count_distinct("sha").alias("shas")).where("texts > 1")
-    rows = log.join(seen.select("digest", "keep_id", "group_size"), "digest")
+    # a digest that is no hit has one row, which stays; only rows that may be hits are joined
+    alone = log.where(~may_hit).select("*", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    rows = spread_join(log.where(may_hit), hits.select("digest", "keep_id", "group_size", F.lit(True).alias("hit")), ["digest"], "group_size", log.count(), "left")
+    rows = rows.withColumn("keep_id", F.when(F.col("hit"), F.col("keep_id")).otherwise(F.col("doc_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1)))
+    rows = rows.drop("hit").unionByName(alone)
     if not several.isEmpty():  # some digests stand for several texts
         if not several.where("shas < texts").isEmpty():
             raise ValueError("different texts have the same SHA-256")

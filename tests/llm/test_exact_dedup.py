@@ -30,6 +30,30 @@ def test_brute_force(spark, edge, weak, files):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+def test_second_delivery_meets_the_state_of_the_first(spark, edge, tmp_path):
+    docs, rows = edge
+    for i in range(3):
+        docs.where(F.pmod(F.xxhash64("text"), F.lit(3)) <= i).write.parquet(str(tmp_path / f"in{i}"))
+    seen = []
+    for i in range(3):
+        part = spark.read.parquet(str(tmp_path / f"in{i}"))
+        own = [(r.doc_id, r.text, r.source) for r in part.collect()]
+        seen += own
+        expected = brute(seen)
+        got = sorted(map(tuple, exact_dedup.deduplicate(part, state=str(tmp_path / "state")).collect()), key=str)
+        assert len(got) == len(own) and set(got) <= set(expected)
+
+
+def test_one_hot_text(spark, monkeypatch):
+    from kvstrata.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    monkeypatch.setattr(common, "HOT", 10)
+    rows = [(i, "Hot" if i % 3 else f"own {i}", "s") for i in range(90)] + [(200, "own 0", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    assert sorted(map(tuple, exact_dedup.deduplicate(docs).collect()), key=str) == brute(rows)
+
+
 def test_survivors(spark, edge):
     docs, rows = edge
     got = exact_dedup.survivors(docs)
