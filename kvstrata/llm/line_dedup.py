@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, spread_join, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: What is stripped from lines for their keys.
@@ -97,11 +97,11 @@ def dropped_lines(hashes: DataFrame, min_docs: int = MIN_DOCS, open_rows: int =
     rest = found.where("open")
     own = F.when(F.col("doc_id").isNull(), F.col("tag"))  # tells documents without an id apart
     documents = rest.groupBy("h1", "h2", "doc_id", own.alias("own")).agg(F.lit(1).alias("one"))
-    # two hashes a partition at most, and one for each open_rows rows: few enough to broadcast, so that the rows of a
-    # line in a third of all documents stay where they are
-    hot = documents.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep"), F.min("own").alias("keep_own")).where(F.col("n") >= min_docs)
+    # few hashes, two a partition at most and one for each open_rows rows, but a line may be in a third of all documents
+    sums = (F.count("*").alias("n"), F.max("doc_id").alias("keep"), F.min("own").alias("keep_own"))
+    hot = written(documents.groupBy("h1", "h2").agg(*sums).where(F.col("n") >= min_docs), "line-open")
     keeps = F.when(F.col("keep").isNotNull(), F.col("doc_id").eqNullSafe(F.col("keep"))).otherwise(F.col("tag") == F.col("keep_own"))
-    settled = rest.join(F.broadcast(hot), ["h1", "h2"]).where(~keeps)
+    settled = spread_join(rest, hot, ["h1", "h2"], "n", rest.count()).where(~keeps)
     return found.where("NOT open").select("doc_id", "tag", "pos").unionByName(settled.select("doc_id", "tag", "pos"))
 
 
@@ -154,9 +154,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept of every row of docs; null and empty texts are one empty line.
+    """doc_id, n_lines, n_dropped, kept of every row of docs; null and empty texts are one empty line, long ones read whole.
 
     Rows that repeat a doc_id are one document: a line counts once for them, and if that is the largest id that
-    holds the line, all of them keep it. Other columns are ignored.
+    holds the line, all of them keep it. An empty table gives no rows; other columns are ignored.
     """
     return apply_bitmaps(docs, written(keep_bitmaps(docs, min_chars, min_docs), "line-bitmaps"))
