@@ -74,12 +74,16 @@ counts AS (
   SELECT doc_id, count(*) AS n, sum(1 - quality) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 hosts AS (
   SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad,
-         string_split(regexp_replace(host, ':\d*$', ''), '.') AS names
+         regexp_replace(host, ':\d*$', '') AS bare, string_split(regexp_replace(host, ':\d*$', ''), '.') AS names
   FROM parts LEFT JOIN counts ON doc_id = page_id GROUP BY host),
+kinds AS (
+  SELECT *, array_to_string(names[-2:], '.') AS two, len(names) < 2 OR regexp_matches(bare, '^(\d{1,3}(\.\d{1,3}){3}|\[.*\])$') AS single,
+         array_to_string(names[-2:], '.') IN (TWO_NAMES) AS long FROM hosts),
 named AS (
   SELECT host, n, bad,
-         CASE WHEN len(names) < 2 THEN host ELSE array_to_string(names[-2:], '.') END AS domain, names[-1] AS suffix
-  FROM hosts),
+         CASE WHEN single THEN bare WHEN long AND len(names) > 2 THEN array_to_string(names[-3:], '.') ELSE two END AS domain,
+         CASE WHEN single THEN bare WHEN long THEN two ELSE names[-1] END AS suffix
+  FROM kinds),
 base AS (SELECT sum(n) AS p_n, sum(bad) AS p_bad, 0.5::DOUBLE AS p_mean, 1::DOUBLE AS p_size FROM named),
 s0 AS (
   SELECT suffix, n, bad, p_size + p_n - n AS support, (p_size * p_mean + p_bad - bad) / (p_size + p_n - n) AS mean FROM (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM named GROUP BY suffix) , base),
@@ -113,7 +117,7 @@ best AS (
 SELECT p.page_id, p.host, p.path, b.rule,
        coalesce(b.verdict, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts p JOIN bounds USING (host) LEFT JOIN best b ON p.page_id = b.page_id AND p.host = b.host AND p.path = b.path
-"""
+""".replace("TWO_NAMES", ", ".join(f"'{x}'" for x in url_reputation.TWO_NAME_SUFFIXES))
 
 OP2_SQL = """
 WITH good AS (

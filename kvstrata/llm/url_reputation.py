@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, written
+from .common import LOWER, UPPER, ascii_lower, spread_join, written
 
 #: Suffixes of two names, under which domains are registered (fixed values; pass more where needed).
 TWO_NAME_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
@@ -26,6 +26,8 @@ Z, LIMIT = 1.645, 0.5
 #: Bounds of a prior's strength.
 WEAKEST, STRONGEST = 1.0, 1000.0
 SALTS = 16
+#: An IPv4 address, or an IPv6 one in brackets.
+ADDRESS = r"^(\d{1,3}(\.\d{1,3}){3}|\[.*\])$"
 
 
 class Rule(NamedTuple):
@@ -63,12 +65,14 @@ def longest_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def domain_and_suffix(host: Column, suffixes: tuple[str, ...] = TWO_NAME_SUFFIXES) -> tuple[Column, Column]:
-    """Registered domain and public suffix of a host; a host of one name is its own."""
-    names = F.split(F.regexp_replace(host, r":\d*$", ""), r"\.")
+    """Registered domain and public suffix of a host, without its port; an address or a host of one name is both itself."""
+    bare = F.regexp_replace(host, r":\d*$", "")
+    names = F.split(bare, r"\.")
     two = F.concat_ws(".", F.slice(names, -2, 2))
     long_suffix = two.isin(*suffixes)
-    domain = F.when(F.size(names) < 2, host).when(long_suffix & (F.size(names) > 2), F.concat_ws(".", F.slice(names, -3, 3))).otherwise(two)
-    suffix = F.when(long_suffix, two).otherwise(F.element_at(names, -1))
+    single = (F.size(names) < 2) | bare.rlike(ADDRESS)
+    domain = F.when(single, bare).when(long_suffix & (F.size(names) > 2), F.concat_ws(".", F.slice(names, -3, 3))).otherwise(two)
+    suffix = F.when(single, bare).when(long_suffix, two).otherwise(F.element_at(names, -1))
     return domain, suffix
 
 
@@ -91,6 +95,12 @@ def _level(groups: DataFrame) -> DataFrame:
     return groups.withColumn("size", 1 / (1 / strength.scalar() + 1 / F.col("support"))).drop("support", "p_n", "p_bad", "p_mean", "p_size")
 
 
+def _under(rows: DataFrame, parents: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the columns of their parent group; a suffix or domain may hold most of them."""
+    parents = parents.select(key, "hosts", F.col("n").alias("p_n"), F.col("bad").alias("p_bad"), F.col("mean").alias("p_mean"), F.col("size").alias("p_size"))
+    return spread_join(rows, written(parents, key), [key], "hosts", total).drop("hosts")
+
+
 def reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
     """host, n, bad, post_mean, post_bound from one row a host with its outcomes (host, n, bad).
 
@@ -98,13 +108,13 @@ def reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
     """
     domain, suffix = domain_and_suffix(F.col("host"))
     hosts = hosts.select("host", F.col("n").cast("double").alias("n"), F.col("bad").cast("double").alias("bad"), domain.alias("domain"), suffix.alias("suffix"))
-    sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    count, sums = hosts.count(), (F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("hosts"))
     total = hosts.agg(F.struct(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad")).alias("all")).scalar()
-    as_parent = lambda level, key: level.select(key, F.col("n").alias("p_n"), F.col("bad").alias("p_bad"), F.col("mean").alias("p_mean"), F.col("size").alias("p_size"))
     suffixes = hosts.groupBy("suffix").agg(*sums).withColumn("p", total)
-    suffixes = _level(suffixes.select("suffix", "n", "bad", F.col("p.n").alias("p_n"), F.col("p.bad").alias("p_bad"), F.lit(0.5).alias("p_mean"), F.lit(1.0).alias("p_size")))
-    domains = _level(hosts.groupBy("suffix", "domain").agg(*sums).join(as_parent(suffixes, "suffix"), "suffix"))
-    found = _level(hosts.join(as_parent(domains, "domain"), "domain"))
+    suffixes = _level(suffixes.select("suffix", "n", "bad", "hosts", F.col("p.n").alias("p_n"), F.col("p.bad").alias("p_bad"), F.lit(0.5).alias("p_mean"), F.lit(1.0).alias("p_size")))
+    domains = hosts.groupBy("suffix", "domain").agg(*sums).withColumnRenamed("hosts", "own")
+    domains = _level(_under(domains, suffixes, "suffix", count)).withColumnRenamed("own", "hosts")
+    found = _level(_under(hosts, domains, "domain", count))
     mean = (F.col("size") * F.col("mean") + F.col("bad")) / (F.col("size") + F.col("n"))
     found = found.withColumn("post_mean", mean)
     spread = F.sqrt(F.greatest(F.col("post_mean") * (1 - F.col("post_mean")), F.lit(0.0)) / (F.col("size") + F.col("n") + 1))
@@ -115,8 +125,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES
     """page_id, host, path, rule, verdict, post_bound of every row of pages (page_id, url).
 
     outcomes: (page_id, bad 0/1); repeated rows count as further outcomes, nulls in either column as none. A null
-    url or one without :// has an empty host, which is a host like any other. Rows that repeat are judged alike and
-    all returned; columns of other names are ignored.
+    url or one without :// has an empty host, which is a host like any other; a long one is read whole. Rules of equal
+    length that fit are the same rule, so there are no ties. Rows that repeat are judged alike and all returned; an
+    empty table gives no rows. Columns of other names are ignored.
     """
     host, path = host_and_path(F.col("url"))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))

@@ -1,5 +1,7 @@
+import numpy as np
 import pytest
 from helpers import check_query
+from pyspark.sql import functions as F
 
 from kvstrata.llm import catalog
 from kvstrata.llm import url_reputation as U
@@ -53,5 +55,41 @@ def test_domains(spark):
     assert [tuple(r) for r in rows.select(d, s).collect()] == [("b.co.uk", "co.uk"), ("b.com", "com"), ("com", "com"), ("b.com", "com"), ("", ""), ("co.uk", "co.uk")]
 
 
+def test_addresses_and_ports(spark):
+    rows = spark.createDataFrame([("10.1.3.4",), ("10.1.3.4:8080",), ("localhost:80",), ("localhost",), ("[::1]:80",), ("1.2.3.4.com",)], "h string")
+    d, s = U.domain_and_suffix(rows.h)
+    assert [tuple(r) for r in rows.select(d, s).collect()] == [("10.1.3.4",) * 2, ("10.1.3.4",) * 2, ("localhost",) * 2, ("localhost",) * 2, ("[::1]",) * 2, ("4.com", "com")]
+
+
+@pytest.mark.parametrize("strength", [4.0, 40.0])
+def test_moments_find_the_strength_that_made_the_rates(spark, strength):
+    """Hosts whose bad rates are drawn from a beta distribution give its strength back, and bounds hold the rates."""
+    r = np.random.default_rng(int(strength))
+    rates = r.beta(0.3 * strength, 0.7 * strength, 4000)
+    bad = r.binomial(40, rates)
+    hosts = [(f"h{i}.site.com", 40, int(b)) for i, b in enumerate(bad)]
+    frame = spark.createDataFrame(hosts, "host string, n long, bad long")
+    level = frame.select("n", "bad", F.lit(float(bad.sum()) / (40 * 4000)).alias("mean"))
+    assert level.agg(U._strength()).first()[0] == pytest.approx(strength, rel=0.15)
+    got = {x.host: x for x in U.reputation(frame).collect()}
+    expected = (0.3 * strength + bad) / (strength + 40)  # the posterior under the true prior
+    assert np.allclose([got[h].post_mean for h, _, _ in hosts], expected, atol=0.03)
+    under = np.mean(rates > [got[h].post_bound for h, _, _ in hosts])
+    assert 0.92 < under < 0.98  # a one-sided bound of 95 %
+
+
+def test_very_long_urls_and_a_hot_suffix(spark, monkeypatch):
+    from kvstrata.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 5)
+    monkeypatch.setattr(common, "HOT", 20)
+    pages = [(i, f"http://s{i}.blog.com/{'x' * (100_000 if i == 3 else 5)}") for i in range(60)] + [(100, "http://a.net/")]
+    pages = spark.createDataFrame(pages, "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, i % 2) for i in range(60)], "page_id long, bad int")
+    hot = sorted(map(tuple, U.judge(pages, outcomes).collect()), key=str)
+    monkeypatch.setattr(common, "LEAST_HOT", 10**6)
+    assert hot == sorted(map(tuple, U.judge(pages, outcomes).collect()), key=str) and len(hot) == 61
+
+
 def test_empty(spark):
     assert U.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int")).collect() == []
