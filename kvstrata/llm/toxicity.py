@@ -29,8 +29,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 SAMPLE, FOLDS, BITS, KEPT = 8000, 3, 20, 6000
 #: Texts that are Python objects at once, and words whose scores a task remembers.
 TEXTS, WORDS = 1024, 300_000
-#: The probability above which a text is toxic; classes weigh alike in training, so the likelier one is over 0.5.
-LIMIT = 0.55
+#: The limit over which a text is toxic is set by out-of-fold predictions (see limit_of), inside these bounds: classes
+#: weigh alike in training, so it lies near 0.5, and few labels should not carry it far away.
+LOWEST, HIGHEST = 0.45, 0.6
 #: Lengths of the word beginnings that are features.
 STEMS = (4, 5, 6)
 RIDGE, STEPS = 1e-4, 300
@@ -132,8 +133,30 @@ class _Rows:
         return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
+def limit_of(held_out: np.ndarray, y: np.ndarray) -> float:
+    """The limit that tells out-of-fold probabilities of the classes (y: 0/1, negative: unknown) apart best.
+
+    It maximises the share of toxic texts over it less that of others; of equally good limits, the middle of the first
+    widest range. 0.5 where there are no texts of both classes.
+    """
+    hot, cold = np.sort(held_out[y > 0]), np.sort(held_out[y == 0])
+    if not len(hot) or not len(cold):
+        return 0.5
+    inside = np.unique(held_out[(y >= 0) & (held_out > LOWEST) & (held_out < HIGHEST)])
+    edges = np.r_[LOWEST, inside, HIGHEST]
+    middles = (edges[1:] + edges[:-1]) / 2
+    good = (len(hot) - np.searchsorted(hot, middles, "right")) / len(hot) - (len(cold) - np.searchsorted(cold, middles, "right")) / len(cold)
+    best = np.flatnonzero(good >= good.max() - 1e-12)
+    return float(middles[best[np.argmax(np.diff(edges)[best])]])
+
+
 def fit_chain(rows: Sequence[tuple[np.ndarray, int]], labels: np.ndarray, folds: int = FOLDS) -> list[Model]:
     """A model for each column of labels (0/1, negative: unknown) in order; rows: features and number of words."""
+    return fit_with_limit(rows, labels, folds)[0]
+
+
+def fit_with_limit(rows: Sequence[tuple[np.ndarray, int]], labels: np.ndarray, folds: int = FOLDS) -> tuple[list[Model], float]:
+    """The chain, and the limit of its last category."""
     data, n = _Rows(rows), len(rows)
     fold = np.arange(n) % folds
     out, earlier = [], np.zeros((n, 0))
@@ -145,11 +168,14 @@ def fit_chain(rows: Sequence[tuple[np.ndarray, int]], labels: np.ndarray, folds:
             held_out[fold == f] = data.predict(model, earlier)[fold == f]
         out.append(data.fit(y, known, earlier))
         earlier = np.column_stack([earlier, _logit(held_out)])
-    return out
+    return out, limit_of(held_out, labels[:, -1])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE) -> tuple[list, np.ndarray]:
-    """Features and labels of the sample, ordered by hash. labels: doc_id and a 0/1 column for each category."""
+    """Features and labels of the sample, ordered by hash. labels: doc_id and a 0/1 column for each category.
+
+    Of documents that repeat a doc_id one is taken, so no more rows than the sample's reach the driver.
+    """
     values = [F.max(F.col(c).cast("int")).alias(c) for c in categories]
     some = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*values).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -161,7 +187,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: Sequence[str],
             yield rest.append_column("features", pa.array([f.tobytes() for f, _ in found], pa.binary())).append_column("words", pa.array([n for _, n in found], pa.int32()))
 
     # the sample's size is bounded, so it may be broadcast
-    joined = texts.join(F.broadcast(some), "doc_id").select("doc_id", *categories, "text")
+    joined = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", *categories).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     schema = "doc_id long, " + ", ".join(f"`{c}` int" for c in categories) + ", features binary, words int"
     got = sorted(joined.mapInArrow(run, schema).toLocalIterator(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.words))
     rows = [(np.frombuffer(bytes(r.features), np.int32), r.words) for r in got]
@@ -218,14 +244,15 @@ def categories_of(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").cast("long").alias("doc_id"), (1 - F.col("quality")).cast("int").alias("low_quality"), F.col("toxic").cast("int").alias("toxic"))
 
 
-def judge(docs: DataFrame, labelled: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: float = LIMIT) -> DataFrame:
+def judge(docs: DataFrame, labelled: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: float | None = None) -> DataFrame:
     """docs with p_low_quality, p_toxic and is_toxic (p_toxic over the limit); the chain is fitted on labelled.
 
-    Null and empty texts have no words and get the bias alone. Where all labels are of one class, no text is found toxic.
-    Null labels and labels without a document are unknown; of several labels of a document the largest counts.
-    Repeated rows are judged alike and all returned.
+    The limit is set by out-of-fold predictions where none is given. Null and empty texts have no words and get the bias
+    alone; long ones are judged whole. Where all labels are of one class, no text is found toxic. Null labels and labels
+    without a document are unknown; of several labels of a document the largest counts. Repeated rows are judged alike
+    and all returned; an empty table gives no rows.
     """
     rows, values = training_rows(labelled, categories_of(labels), CATEGORIES, sample)
-    chain = fit_chain(rows, values) if rows else [Model({}, (0.0,) * k, -9.0) for k in range(len(CATEGORIES))]
+    chain, found = fit_with_limit(rows, values) if rows else ([Model({}, (0.0,) * k, -9.0) for k in range(len(CATEGORIES))], 0.5)
     text = docs.withColumn("text", F.col("text").cast("string"))
-    return score(text.drop("is_toxic"), chain, CATEGORIES).withColumn("is_toxic", F.col("p_toxic") > limit)
+    return score(text.drop("is_toxic"), chain, CATEGORIES).withColumn("is_toxic", F.col("p_toxic") > (found if limit is None else limit))

@@ -1,4 +1,7 @@
+import math
 import random
+import re
+import zlib
 
 import numpy as np
 
@@ -62,6 +65,72 @@ def test_column_and_driver_scores_agree(spark):
     assert np.allclose(p, [got[i].p_low_quality for i in range(300)], atol=1e-9) or np.mean(np.abs(p - [got[i].p_low_quality for i in range(300)])) < 0.02
 
 
+def plain_probabilities(text, chain):
+    """The chain's probabilities for one text, in plain loops."""
+    found = set(re.findall(r"\w+", (text or "").lower()))
+    earlier, out = [], []
+    for weights, of_earlier, bias in chain:
+        z = 0.0
+        for w in found:
+            names = ["=" + w] + ["^" + w[:n] for n in (4, 5, 6) if len(w) >= n]
+            z += sum(weights.get(zlib.crc32(n.encode()) % 2**20, 0.0) for n in names)
+        z = z / math.sqrt(len(found) or 1) + sum(a * b for a, b in zip(of_earlier, earlier, strict=True)) + bias
+        out.append(1 / (1 + math.exp(-z)))
+        p = min(max(out[-1], 1e-4), 1 - 1e-4)
+        earlier.append(math.log(p / (1 - p)))
+    return out
+
+
+def test_scores_by_brute_force(spark, edge):
+    rows = corpus(250, 5)
+    texts = [(i, t) for i, t, _, _ in rows] + [(1000 + n, t) for n, (_, t, _) in enumerate(edge[1]) if t is None or len(t) < 10_000]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1 - q, t) for i, _, q, t in rows], "doc_id long, quality int, toxic int")
+    chain, limit = toxicity.fit_with_limit(*toxicity.training_rows(docs, toxicity.categories_of(labels), toxicity.CATEGORIES))
+    text_of = dict(texts)
+    got = toxicity.judge(docs, docs, labels).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        expected = plain_probabilities(text_of[r.doc_id], chain)
+        assert np.allclose([r.p_low_quality, r.p_toxic], expected, atol=1e-12) and r.is_toxic == (expected[1] > limit)
+
+
+def test_fit_is_the_minimum_of_the_loss():
+    """No small step from a model makes its loss, computed in plain loops, smaller."""
+    rows = corpus(120, 9)
+    found = [toxicity.text_features(t) for _, t, _, _ in rows]
+    y = np.array([r[3] for r in rows])
+    data = toxicity._Rows(found)
+    earlier = np.array([[0.5 * (r[2] - 0.5)] for r in rows])
+    model = data.fit(y, np.ones(len(rows), bool), earlier)
+
+    def loss(weights, of_earlier, bias):
+        total = 0.0
+        for (f, n), t, e in zip(found, y, earlier[:, 0], strict=True):
+            z = sum(weights.get(int(x), 0.0) for x in f) / math.sqrt(n) + of_earlier[0] * e + bias
+            total += (math.log1p(math.exp(-z)) if t else math.log1p(math.exp(z))) * 0.5 / (y.sum() if t else len(y) - y.sum())
+        return total + toxicity.RIDGE / 2 * (sum(w * w for w in weights.values()) + of_earlier[0] ** 2)
+
+    least, r = loss(*model), random.Random(1)
+    for _ in range(30):
+        step = {k: v + r.gauss(0, 0.3) for k, v in model.weights.items()}
+        assert loss(step, (model.earlier[0] + r.gauss(0, 0.3),), model.bias + r.gauss(0, 0.3)) > least
+
+
+def test_limit_tells_classes_apart():
+    y = np.array([0, 0, 0, 1, 1, -1])
+    assert 0.48 < toxicity.limit_of(np.array([0.1, 0.2, 0.48, 0.56, 0.9, 0.5]), y) < 0.56
+    assert toxicity.limit_of(np.array([0.1, 0.2]), np.array([0, 0])) == 0.5
+    assert toxicity.limit_of(np.zeros(0), np.zeros(0, int)) == 0.5
+
+
+def test_repeated_ids_reach_the_driver_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(500)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    rows, values = toxicity.training_rows(docs, toxicity.categories_of(labels), toxicity.CATEGORIES)
+    assert len(rows) == len(values) == 2
+
+
 def test_edges(spark, edge, nothing):
     docs, rows = edge
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
