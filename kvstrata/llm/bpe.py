@@ -17,6 +17,7 @@ thing broadcast; its size doesn't depend on the corpus.
 from __future__ import annotations
 
 import json
+import math
 import os
 import zlib
 from collections.abc import Iterator
@@ -30,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-#: Bytes of input for each bucket of words.
-BUCKET_BYTES = 8 << 20
-#: Words encoded in one call, texts of a chunk, and ids of texts that are decoded at once.
-CALL, TEXTS, IDS = 4096, 8000, 1 << 19
+from .common import text_bytes
+
+#: Bytes of input for each bucket of words (see buckets_for) and for each task that joins ids.
+BUCKET_BYTES, TASK_BYTES = 8 << 20, 64 << 20
+#: Words encoded in one call, texts and bytes of a chunk, and ids of texts that are decoded at once.
+CALL, TEXTS, CHUNK_BYTES, IDS = 4096, 8000, 16 << 20, 1 << 19
 
 
 def tokenizer(spec: bytes):
@@ -76,14 +79,24 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, ROWS, strict=True)], schema=ROWS)
 
 
+def _chunks(whole: pa.RecordBatch, texts: int) -> Iterator[pa.RecordBatch]:
+    """Slices of so many texts at most, and of CHUNK_BYTES where they have more than one text."""
+    size = pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False)
+    reach, at = np.cumsum(size, dtype=np.int64), 0
+    while at < whole.num_rows:
+        before = reach[at - 1] if at else 0
+        end = max(at + 1, min(at + texts, int(np.searchsorted(reach, before + CHUNK_BYTES, "right"))))
+        yield whole.slice(at, end - at)
+        at = end
+
+
 def _split(buckets: int, texts: int):
     """doc_id and text to rows of texts and of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for at in range(0, whole.num_rows, texts):
-                batch = whole.slice(at, texts)
+            for batch in _chunks(whole, texts):
                 lists = pc.ascii_split_whitespace(pc.fill_null(batch.column(1), "").cast(pa.large_string()))
                 coded = lists.flatten().dictionary_encode()
                 numbers = coded.indices.to_numpy().astype(np.uint32)
@@ -196,16 +209,20 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), ids], ["doc_id", "ids"])
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the bytes that a frame reads."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def buckets_for(size: int) -> int:
+    """Buckets of words for so many bytes of input.
+
+    Distinct words grow more slowly than texts, and each chunk sends each bucket a row. So beyond 64 GiB buckets grow with
+    the root of the input; a bucket is streamed, and holds distinct words only.
+    """
+    return max(16, min(size // BUCKET_BYTES, math.isqrt(size >> 10)))
 
 
 def encode(docs: DataFrame, path: str, chunk_texts: int = TEXTS, buckets: int | None = None) -> DataFrame:
     """doc_id, ids of every row of docs (doc_id, text), equal to the library's encoding without special tokens.
 
-    Null and empty texts have no ids; repeated rows, and rows with equal or null doc_id, are each encoded and
-    returned. Other columns are ignored.
+    Null and empty texts have no ids, long ones are encoded whole; repeated rows, and rows with equal or null doc_id, are
+    each encoded and returned. An empty table gives no rows. Other columns are ignored.
     """
     return _placed(docs, path, chunk_texts, buckets).mapInArrow(_join, "doc_id long, ids array<int>")
 
@@ -214,10 +231,11 @@ def _placed(docs: DataFrame, path: str, chunk_texts: int = TEXTS, buckets: int |
     """Rows for _join(): each chunk's words with their ids, then its texts."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    buckets = buckets or int(min(8192, max(16, input_bytes(docs) // BUCKET_BYTES)))
+    size = text_bytes(rows)
+    buckets = buckets or buckets_for(size)
     spec = spark.sparkContext.broadcast(read_spec(path))
     # a stated number keeps the two exchanges' partitions alike, so that the texts need not move again
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
     dealt = rows.mapInArrow(_split(buckets, chunk_texts), ROWS_DDL).repartition(n, "place")
     coded = dealt.sortWithinPartitions("place").mapInArrow(_encode(spec), ROWS_DDL).repartition(n, "place")
     return dealt.unionByName(coded).repartition(n, "place").sortWithinPartitions("place", F.col("words").isNull())

@@ -69,3 +69,15 @@ def test_decode_leaves_unknown_ids_out(spark):
 
 def test_empty(nothing):
     assert bpe.digests(nothing, PATH).collect() == []
+
+
+def test_chunks_end_by_bytes_too(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 100)
+    texts = ["x" * n for n in (10, 30, 500, 0, 60, 50, 40, 9)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], ["doc_id", "text"])
+    parts = list(bpe._chunks(batch, 4))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+    assert all(p.num_rows == 1 or (p.num_rows <= 4 and sum(len(t or "") for t in p.column(1).to_pylist()) <= 100) for p in parts)
+    assert [bpe.buckets_for(n) for n in (0, 2**36, 2**48)] == [16, 8192, 2**19]
