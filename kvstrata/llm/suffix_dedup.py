@@ -17,12 +17,12 @@ maximal run of neighbours with one smallest hash (its key) is a unit, and equal
    smallest document that has it.
 4. Spans are gathered by document and cut out.
 
-Keys are 64-bit hashes and only decide which strings are compared; inside a buffer equal contents are told by two
-64-bit hashes, elsewhere by their bytes.
+Keys are 64-bit hashes and only decide which strings are compared: contents are equal where their bytes are.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -33,8 +33,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import input_bytes
 from .common import batches_of, cleaning, release, written
+from .common import text_bytes as input_bytes
 
 LENGTH, GRAM = 50, 28
 #: Strings of a unit at most, units of a buffer, bytes hashed at once, bytes of input for each bucket.
@@ -405,6 +405,11 @@ def _send_units(shared, buckets: int, limit: int, places: int):
             at = np.flatnonzero(np.r_[True, ~_same(key, content)])
             least = np.repeat(ids[at], np.diff(np.r_[at, len(key)]))
             goes = ids > least
+            first = np.repeat(at, np.diff(np.r_[at, len(key)]))
+            for i in np.flatnonzero(goes).tolist():  # two hashes are equal; are the bytes?
+                f, n = int(first[i]), int(count[i]) + LENGTH - 1
+                if count[f] != count[i] or buffer.texts[text[i]][start[i] : start[i] + n] != buffer.texts[text[f]][start[f] : start[f] + n]:
+                    goes[i] = False
             tags = np.array([r[1] for r in buffer.rows], np.int64)[text]
             settled.add(ids[goes], tags[goes], start[goes], (start + count)[goes] + LENGTH - 1)
             out = settled.rows(SPANS)
@@ -591,12 +596,21 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
+def buckets_for(size: int) -> int:
+    """Buckets of keys for so many bytes of input: in proportion up to 128 GiB, with their root beyond.
+
+    Each buffer sends each bucket a row, so the number can't grow on in proportion.
+    """
+    return max(16, min(size // BUCKET_BYTES, math.isqrt(size >> 5)))
+
+
 def repeated_spans(docs: DataFrame, buffer: int = BUFFER, buckets: int | None = None, hot: int = HOT, text_bytes: int = TEXT) -> DataFrame:
     """doc_id, tag, blob: spans [start, stop) of bytes that go, as pairs of 64-bit numbers; one row a document."""
     spark, texts = docs.sparkSession, _texts(docs)
-    buckets = buckets or int(min(65536, max(16, input_bytes(docs) // BUCKET_BYTES)))
+    size = input_bytes(docs)
+    buckets, hot = buckets or buckets_for(size), max(hot, size >> 24)
     keys = texts.mapInArrow(_collect_keys(buckets, buffer), BLOB).repartition("bucket").sortWithinPartitions("bucket")
-    # at most MOST_BITS in all, a few bytes for each hot key of more than hot units
+    # MOST_BITS in all, and 8 bytes for each hot key: a unit has about 12 bytes of input, so they are 1.4 million at most
     with batches_of(spark, ROWS), cleaning(spark):
         rows = keys.mapInArrow(_share_keys(max(64, 1 << (MOST_BITS // buckets).bit_length() - 1), hot), "bucket int, filter binary, hot binary").collect()
     filters = {r.bucket: bytes(r.filter) for r in rows}
@@ -629,7 +643,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicate(docs: DataFrame, **settings: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes left) of every row of docs.
 
-    Texts are UTF-8 bytes, null as empty. Rows that repeat a doc_id are one document and don't empty each other. A
+    Texts are UTF-8 bytes, null as empty, long ones read whole; an empty table gives no rows. Rows that repeat a doc_id are
+    one document and don't empty each other. A
     null doc_id is larger than any other: such rows lose what identified documents hold, and nothing is lost to
     them. Strings are judged on the input. Other columns are ignored.
     """
