@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_tag, written
+from .common import SPACE, spread_join, text_tag, written
 
 #: Weights of the sources in code-point order, repeating (fixed values of the contract).
 WEIGHTS = (5, 2, 1)
@@ -111,10 +111,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     equal in both are interchangeable. An empty table gives no rows. Other columns are ignored.
     """
     sized = written(sizes(docs), "sizes")
-    goal = targets(sized, weights, share, most).withColumn("name", _name(F.col("source"))).drop("source")
+    goal = written(targets(sized, weights, share, most).withColumn("name", _name(F.col("source"))).drop("source"), "goal")
+    total = goal.agg(F.coalesce(F.sum("documents"), F.lit(0))).first()[0]
     buckets = F.greatest(F.lit(1), F.ceil(F.col("documents") / BUCKET_ROWS))
     place = F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / 2.0**48
-    rows = _ahead(sized.join(goal, "name").withColumn("bucket", F.floor(place * buckets)))
+    rows = _ahead(spread_join(sized, goal, ["name"], "documents", total).withColumn("bucket", F.floor(place * buckets)))
     words = F.floor(F.col("target") + 0.5)
 
     def position(turn: int) -> Column:
