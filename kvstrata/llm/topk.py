@@ -146,7 +146,8 @@ def _reaching(q: np.ndarray, q_tails: list, c: np.ndarray, c_tails: list, cuts:
                 return i[a], j[b]
             else:
                 a, b = near.any(axis=1), near.any(axis=0)
-                i, j, sums = i[a], j[b], sums[a][:, b]
+                if a.sum() * b.sum() < 0.5 * near.size:  # else the copy costs more than it saves
+                    i, j, sums = i[a], j[b], sums[np.ix_(a, b)]
         else:
             sums = sums + np.einsum("ij,ij->i", q[i, lo:cut], c[j, lo:cut])
             near = sums + q_tails[n][i] * c_tails[n][j] >= need[i]
