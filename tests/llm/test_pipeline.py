@@ -34,6 +34,21 @@ def test_near_stage_keeps_one_of_each_group(spark, sf_dir):
     assert min(r.doc_id for r in kept) == 1 and None not in {r.doc_id for r in kept}
 
 
+def alike(texts, n=5, least=0.8):
+    """The group of each text: all pairs compared by their shingles."""
+    sets, group = [], list(range(len(texts)))
+    for t in texts:
+        w = lower(t).encode().split()
+        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both >= least * (len(a) + len(sets[j]) - both) and group[i] != group[j]:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    return group
+
+
 def test_whole_pipeline(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     stages = [docs]
@@ -51,8 +66,8 @@ def test_whole_pipeline(spark, sf_dir):
     for r in tox:
         last[lower(r[1])] = max(last.get(lower(r[1]), r), r)
     assert sorted(exact) == sorted(last.values())
-    # near-duplicates: the smallest id of each group
-    part, first = groups([plain_fingerprint(r[1]) for r in exact], 4), {}
+    # near-duplicates: the smallest id of each group of texts linked by five-word shingles of Jaccard 0.8
+    part, first = alike([r[1] for r in exact]), {}
     for r, p in zip(exact, part, strict=True):
         first[p] = min(first.get(p, r), r)
     assert sorted(near) == sorted(first.values())
@@ -66,3 +81,33 @@ def test_whole_pipeline(spark, sf_dir):
         expected.append((r[0], len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(text.encode()).hexdigest()))
     assert sorted(bpe) == sorted(expected)
     assert sorted(map(tuple, P.run(spark, sf_dir).collect())) == sorted(expected)
+
+
+def expected_tokens(texts):
+    out = []
+    for i, t in texts:
+        ids, text = library(t)
+        out.append((i, len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(text.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_whole_run_on_edges_and_nothing(spark, edge, nothing, tmp_path, empty):
+    """Null and repeated rows, clashing columns, very long texts and an empty table through all stages."""
+    docs, rows = (nothing, []) if empty else edge
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, None, None), (10, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = P.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    kept = P.mixed(spark, written(P.unlike(spark, written(P.distinct(spark, docs, str(tmp_path)), "t-exact"), str(tmp_path)), "t-near"), str(tmp_path)).collect()
+    assert sorted(map(tuple, got.collect()), key=str) == expected_tokens([(r.doc_id, r.text) for r in kept])
+    assert bool(kept) != empty
+    texts = {lower(r.text) for r in kept}
+    assert len({(r.doc_id, lower(r.text)) for r in kept}) == len(texts)  # one document of each text
+
+
+def test_bpe_stage_on_edges(spark, sf_dir, edge, nothing):
+    docs, rows = edge
+    got = P.encoded(spark, docs, sf_dir).collect()
+    assert sorted(map(tuple, got), key=str) == expected_tokens([(i, t) for i, t, _ in rows])
+    assert P.encoded(spark, nothing, sf_dir).collect() == []
