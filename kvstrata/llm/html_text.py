@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .url_reputation import host_and_path
 
-#: Pages of a block where there are few, and bytes of one where there are many.
-ROWS, BLOCK_BYTES = 500, 128 << 20
+#: Bytes of pages of a block; see blocks_for().
+BLOCK_BYTES = 2 << 20
 #: Two pages that share this much of their text outside articles, and so many characters, are near copies; where less
 #: is shared, pages with a frame and nothing else are likelier.
 NEAR, NEAR_CHARS = 0.9, 100
@@ -424,8 +424,16 @@ def _block_edges(keys: DataFrame, blocks: int) -> list:
     return sorted_keys.mapInArrow(_edges, "host string, path string, page_id long, tag long, part int").collect()
 
 
-def extract(pages: DataFrame, rows: int = ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """page_id, url, text of every row of pages (page_id, url, html).
+def blocks_for(size: int) -> int:
+    """Blocks for so many bytes of pages: in proportion up to 32 GiB, with their root beyond.
+
+    The driver holds two narrow keys a block, so their number can't grow on in proportion; blocks are streamed.
+    """
+    return max(1, min(size // BLOCK_BYTES, math.isqrt(size >> 7)))
+
+
+def extract(pages: DataFrame, rows: int | None = None) -> DataFrame:
+    """page_id, url, text of every row of pages (page_id, url, html). rows: pages of a block, if blocks_for() is not to say.
 
     Null html is empty; a page without text has an empty text, and a long one is read whole. Pages without a url are
     neighbours of one another. Repeated rows are all returned; of neighbours with equal common prefixes the one before
@@ -438,7 +446,7 @@ def extract(pages: DataFrame, rows: int = ROWS, block_bytes: int = BLOCK_BYTES)
     keys = narrow.select("host", "path", "page_id", "tag")
     size = pages.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("bytes")).first()
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, min(4 * partitions, size.n // rows), size.bytes // block_bytes)
+    blocks = max(1, size.n // rows) if rows else blocks_for(size.bytes)
     setting = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
     was = spark.conf.get(setting)
     spark.conf.set(setting, str(SAMPLED))
