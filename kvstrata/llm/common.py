@@ -10,6 +10,7 @@ from contextlib import contextmanager, suppress
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import bloom
 from ..sources.files import shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -100,6 +101,18 @@ def discard(spark: SparkSession, *frames_or_paths: DataFrame | str) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def maybe_among(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose column may be among the keys (a written table): all that are, and one in a hundred of the others.
+
+    A Bloom filter of bounded size decides where the rows lie, before anything is shuffled; beyond some 10^7 keys it lets
+    more rows through, which changes the time and not the result of a join with the keys.
+    """
+    bits, hashes = bloom.size_for(keys.count())
+    bits = min(bits, bloom.MOST_BITS)
+    words = written(bloom.build(keys, key, bits, hashes), "filter").scalar()
+    return rows.where(bloom.might_contain(words, F.col(column), bits, hashes))
+
+
 @contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """Session settings (dots as double underscores) for the actions inside."""

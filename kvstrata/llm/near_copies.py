@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import batches_of, spread_join, text_tag, written
+from .common import batches_of, discard, maybe_among, spread_join, text_tag, written
 
 #: Words of a shingle and the similarity of near copies.
 WORDS, LEAST = 5, 0.8
@@ -106,8 +106,11 @@ def _checked(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
             keep = [similar(shingles(x, words), shingles(y, words), least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-    second = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    # only texts of some pair are moved
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct(), "nodes")
+    some = maybe_among(texts, "node", nodes, "of")
+    first = some.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    second = some.select(F.col("node").alias("b"), F.col("text").alias("y"))
     return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -132,7 +135,10 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFra
         near = simhash.links(first, RADIUS)
         near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("p")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("q")), "b").select("p", "q")
         # lists of texts with a shingle of their prefix in common
-        lists = written(postings(texts, words, least), "postings")
+        every = written(postings(texts, words, least), "postings")
+        often = written(every.groupBy("shingle").count().where("count > 1").select("shingle"), "often")
+        lists = written(maybe_among(every, "shingle", often, "shingle"), "often-postings")  # few are in more than one text
+        discard(spark, every)
         heads = lists.groupBy("shingle").agg(F.count("*").alias("texts"), F.min(F.struct(F.xxhash64("shingle", "node").alias("by"), "node", "size")).alias("head")).where("texts > 1")
         lists = written(spread_join(lists, written(heads, "heads"), ["shingle"], "texts", lists.count()), "lists")
         fits = F.least("size", "head.size") >= least * F.greatest("size", "head.size") - 1e-6
