@@ -189,10 +189,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: Sequence[str],
     # the sample's size is bounded, so it may be broadcast
     joined = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", *categories).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     schema = "doc_id long, " + ", ".join(f"`{c}` int" for c in categories) + ", features binary, words int"
-    got = sorted(joined.mapInArrow(run, schema).toLocalIterator(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.words))
-    rows = [(np.frombuffer(bytes(r.features), np.int32), r.words) for r in got]
-    values = np.array([[-1 if r[c] is None else r[c] for c in categories] for r in got], int).reshape(len(got), len(categories))
-    return rows, values
+    found = ((r.doc_id, r.words, np.frombuffer(bytes(r.features), np.int32), [-1 if r[c] is None else r[c] for c in categories]) for r in joined.mapInArrow(run, schema).toLocalIterator())
+    got = sorted(found, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
+    return [(f, n) for _, n, f, _ in got], np.array([y for *_, y in got], int).reshape(len(got), len(categories))
 
 
 def score(docs: DataFrame, chain: Sequence[Model], categories: Sequence[str]) -> DataFrame:
