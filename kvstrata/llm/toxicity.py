@@ -8,12 +8,14 @@ Features of a text are its distinct words and their first letters (stems of infl
 keeps the features whose counts in its own training rows tell the classes apart best and weighs them; a text's score
 is the sum over its distinct words, divided by the root of their number. Whole texts are scored.
 
-The fit uses at most SAMPLE labelled rows, those with the smallest hashes of doc_id, whatever the size of the corpus.
+The fit uses at most SAMPLE labelled rows, those with the smallest hashes of doc_id, whatever the size of the corpus; it
+runs in one task.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from collections.abc import Iterator, Sequence
@@ -88,7 +90,7 @@ class _Rows:
             # labels of one class tell nothing: none is found, or all stay undecided
             return Model({}, (0.0,) * earlier.shape[1], 0.0 if positive else -4.0)
         here = use[self.row]
-        hot = y[self.row].astype(bool)
+        hot = y.astype(bool)[self.row]
         size = 1 << BITS
         a = np.bincount(self.feature[here & hot], minlength=size).astype(float)
         b = np.bincount(self.feature[here & ~hot], minlength=size).astype(float)
@@ -171,10 +173,10 @@ def fit_with_limit(rows: Sequence[tuple[np.ndarray, int]], labels: np.ndarray, f
     return out, limit_of(held_out, labels[:, -1])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE) -> tuple[list, np.ndarray]:
-    """Features and labels of the sample, ordered by hash. labels: doc_id and a 0/1 column for each category.
+def _sampled(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int) -> DataFrame:
+    """doc_id, the categories, features and words of the sample. labels: doc_id and a 0/1 column for each category.
 
-    Of documents that repeat a doc_id one is taken, so no more rows than the sample's reach the driver.
+    Of documents that repeat a doc_id one is taken, so there are no more rows than the sample's.
     """
     values = [F.max(F.col(c).cast("int")).alias(c) for c in categories]
     some = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*values).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -188,10 +190,35 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: Sequence[str],
 
     # the sample's size is bounded, so it may be broadcast
     joined = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", *categories).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    schema = "doc_id long, " + ", ".join(f"`{c}` int" for c in categories) + ", features binary, words int"
-    found = ((r.doc_id, r.words, np.frombuffer(bytes(r.features), np.int32), [-1 if r[c] is None else r[c] for c in categories]) for r in joined.mapInArrow(run, schema).toLocalIterator())
+    return joined.mapInArrow(run, "doc_id long, " + ", ".join(f"`{c}` int" for c in categories) + ", features binary, words int")
+
+
+def _in_order(rows: Iterator[tuple]) -> tuple[list, np.ndarray]:
+    """Features and labels of rows (doc_id, labels, features, words), ordered by a hash of doc_id; an unknown label is -1."""
+    found = ((i, n, np.frombuffer(bytes(f), np.int32), [-1 if y is None else y for y in labels]) for i, *labels, f, n in rows)
     got = sorted(found, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
-    return [(f, n) for _, n, f, _ in got], np.array([y for *_, y in got], int).reshape(len(got), len(categories))
+    return [(f, n) for _, n, f, _ in got], np.array([y for *_, y in got], int)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE) -> tuple[list, np.ndarray]:
+    """Features and labels of the sample on the driver, in the order of the fit."""
+    return _in_order(_sampled(docs, labels, categories, sample).toLocalIterator())
+
+
+def fitted(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: int = SAMPLE) -> tuple[list[Model], float]:
+    """The chain and its limit, fitted in one task over the sample, whose size is bounded; the driver gets the models only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, values = _in_order(r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        if rows:
+            chain, limit = fit_with_limit(rows, values)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(([tuple(m) for m in chain], limit))], pa.binary())], ["chain"])
+
+    got = _sampled(docs, labels, categories, sample).repartition(1).mapInArrow(run, "chain binary").collect()
+    if not got:
+        return [Model({}, (0.0,) * k, -9.0) for k in range(len(categories))], 0.5
+    chain, limit = pickle.loads(bytes(got[0].chain))
+    return [Model(*m) for m in chain], limit
 
 
 def score(docs: DataFrame, chain: Sequence[Model], categories: Sequence[str]) -> DataFrame:
@@ -251,7 +278,6 @@ def judge(docs: DataFrame, labelled: DataFrame, labels: DataFrame, sample: int =
     without a document are unknown; of several labels of a document the largest counts. Repeated rows are judged alike
     and all returned; an empty table gives no rows.
     """
-    rows, values = training_rows(labelled, categories_of(labels), CATEGORIES, sample)
-    chain, found = fit_with_limit(rows, values) if rows else ([Model({}, (0.0,) * k, -9.0) for k in range(len(CATEGORIES))], 0.5)
+    chain, found = fitted(labelled, categories_of(labels), CATEGORIES, sample)
     text = docs.withColumn("text", F.col("text").cast("string"))
     return score(text.drop("is_toxic"), chain, CATEGORIES).withColumn("is_toxic", F.col("p_toxic") > (found if limit is None else limit))
