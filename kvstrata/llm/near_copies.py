@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import batches_of, discard, maybe_among, spread_join, text_tag, written
+from .common import batches_of, discard, maybe_among, release, spread_join, text_tag, written
 
 #: Words of a shingle and the similarity of near copies.
 WORDS, LEAST = 5, 0.8
@@ -62,6 +62,7 @@ def _common(texts: DataFrame, words: int) -> np.ndarray:
         for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             found = [_hashes(t, words) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["shingle"])
+        release()
 
     rows = texts.where(F.pmod("node", F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "shingle long")
     rows = rows.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(COMMON)
@@ -94,6 +95,7 @@ def postings(texts: DataFrame, words: int, least: float) -> DataFrame:
                 sizes.append(np.full(len(hashes), n, np.int64))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, nodes, sizes)], ["shingle", "node", "size"])
+        release()
 
     return texts.select("node", "text").mapInArrow(run, "shingle long, node long, size long")
 
@@ -105,6 +107,7 @@ def _checked(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
         for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             keep = [similar(shingles(x, words), shingles(y, words), least) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     # only texts of some pair are moved
     nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct(), "nodes")

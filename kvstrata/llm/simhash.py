@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, spread_join, text_tag, written
+from .common import discard, release, spread_join, text_tag, written
 
 SEED = 42
 #: Shingles whose bits are counted at once, and texts that are Python objects at once.
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
         for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             fps = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "tag", "fp"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), text_tag(docs), F.col("text").cast("string")).mapInArrow(run, "doc_id long, tag long, fp long")
 

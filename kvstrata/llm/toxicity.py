@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import release
+
 #: Labelled rows that a chain is fitted on, folds, hashed features and those that a model keeps.
 SAMPLE, FOLDS, BITS, KEPT = 8000, 3, 20, 6000
 #: Texts that are Python objects at once, and words whose scores a task remembers.
@@ -187,6 +189,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, categories: Sequence[str], samp
             found = [text_features(t) for t in batch.column("text").to_pylist()]
             rest = batch.select([i for i, c in enumerate(batch.schema.names) if c != "text"])
             yield rest.append_column("features", pa.array([f.tobytes() for f, _ in found], pa.binary())).append_column("words", pa.array([n for _, n in found], pa.int32()))
+        release()
 
     # the sample's size is bounded, so it may be broadcast
     joined = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", *categories).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
@@ -213,6 +216,8 @@ def fitted(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample
         if rows:
             chain, limit = fit_with_limit(rows, values)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(([tuple(m) for m in chain], limit))], pa.binary())], ["chain"])
+        del rows, values
+        release()
 
     got = _sampled(docs, labels, categories, sample).repartition(1).mapInArrow(run, "chain binary").collect()
     if not got:
@@ -257,6 +262,8 @@ def score(docs: DataFrame, chain: Sequence[Model], categories: Sequence[str]) ->
             for k, name in enumerate(new):
                 batch = batch.append_column(name, pa.array([p[k] for p in out], pa.float64()))
             yield batch
+        known.clear()
+        release()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *[StructField(name, DoubleType()) for name in new]]))
 
