@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import text_bytes
+from .common import release, text_bytes
 
 #: Bytes of input for each bucket of words (see buckets_for) and for each task that joins ids.
 BUCKET_BYTES, TASK_BYTES = 8 << 20, 64 << 20
@@ -101,14 +101,19 @@ def _split(buckets: int, texts: int):
                 coded = lists.flatten().dictionary_encode()
                 numbers = coded.indices.to_numpy().astype(np.uint32)
                 cuts = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())].tolist()
+                known = coded.dictionary
+                del lists, coded  # several times the chunk's bytes, which the rest doesn't need
                 yield _rows([(chunk, chunk, d, None, _plain(numbers[a:b])) for d, a, b in zip(batch.column(0).to_pylist(), cuts, cuts[1:], strict=False)])
-                order = pc.sort_indices(coded.dictionary).to_numpy().astype(np.int64)
-                words = coded.dictionary.cast(pa.large_binary()).take(pa.array(order)).to_pylist()
+                del numbers
+                order = pc.sort_indices(known).to_numpy().astype(np.int64)
+                words = known.cast(pa.large_binary()).take(pa.array(order)).to_pylist()
                 bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[by], np.arange(buckets + 1)).tolist()
                 out = [(-1 - b, chunk, None, zlib.compress(b"\n".join([words[i] for i in by[x:y]]), 1), _plain(order[by[x:y]])) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
                 yield _rows(out)
+                del known, order, words, bucket, by, out
+                release()
                 chunk += 1
 
     return run
@@ -172,6 +177,7 @@ def _encode(spec):
                 own = np.array(at, np.int64)
                 found = np.r_[counts[own], _gather(starts[own], counts[own], flat)]
                 yield _rows([(chunk, chunk, None, _plain(found), numbers)])
+        release()
 
     return run
 
@@ -310,5 +316,6 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             ids = batch.column("ids")
             hashes = [pa.array([sha256(x).hexdigest() for x in joined(ids, table).cast(pa.binary()).to_pylist()], pa.string()) for table in (digits, pieces)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.list_value_length(ids).cast(pa.int64()), *hashes], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        release()
 
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
