@@ -6,7 +6,8 @@ prefixes: of two texts of that similarity, each has one of the first n - ceil(le
 that holds for all texts, in common with the other's. Nothing is lost by that. The order puts last what a sample finds
 common, so lists of texts with a shingle stay short; which shingles those are changes the time, not the result.
 
-All candidates are checked on the shingles themselves. Lists of dense groups would be pairs in the square of their
+All candidates are checked on the shingles themselves; those whose sketches (shingles counted in BINS bins) show that
+too few can be shared are dropped before, which loses none either and spares moving their texts. Lists of dense groups would be pairs in the square of their
 size, so there are two rounds: links of SimHash and those of each text to the first of its lists, at most FEW a text;
 and then all pairs of a list that these left in different groups.
 """
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ RADIUS, FEW = 4, 4
 SAMPLED, COMMON = 32, 200_000
 #: Texts that are Python objects at once.
 TEXTS = 512
+#: Bins of a sketch: with 256 of them pairs of some thousand shingles are told apart, in 256 bytes a text.
+BINS = 256
 
 
 def shingles(text: str | None, words: int = WORDS) -> set[bytes]:
@@ -69,8 +73,17 @@ def _common(texts: DataFrame, words: int) -> np.ndarray:
     return np.array([r.shingle for r in rows.collect()], np.int64)
 
 
+def _sketch(hashes: np.ndarray) -> bytes | None:
+    """The shingles in each bin, a byte a bin; none where a count doesn't fit."""
+    counts = np.bincount(hashes.view(np.uint64) % np.uint64(BINS), minlength=BINS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
 def postings(texts: DataFrame, words: int, least: float) -> DataFrame:
-    """shingle, node, size for the prefix of every text (node, text)."""
+    """shingle, node, size for the prefix of every text (node, text), and a row without shingle for its sketch.
+
+    Texts without words have no rows.
+    """
     common = _common(texts, words)
     by_hash = np.argsort(common)
     sent = texts.sparkSession.sparkContext.broadcast((common[by_hash], -by_hash))
@@ -78,12 +91,13 @@ def postings(texts: DataFrame, words: int, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = sent.value
         for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
-            found, nodes, sizes = [], [], []
+            found, nodes, sizes, sketches = [], [], [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes = _hashes(text, words)
                 n = len(hashes)
                 if not n:
                     continue
+                sketches.append((node, n, _sketch(hashes)))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
                     # rare ones by hash, then the common ones from the least to the most common
@@ -94,14 +108,44 @@ def postings(texts: DataFrame, words: int, least: float) -> DataFrame:
                 nodes.append(np.full(len(hashes), node, np.int64))
                 sizes.append(np.full(len(hashes), n, np.int64))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, nodes, sizes)], ["shingle", "node", "size"])
+                columns = [pa.array(np.concatenate(x)) for x in (found, nodes, sizes)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary())], POSTINGS)
+                of, n, bins = zip(*sketches, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(of), pa.int64()), pa.array(of, pa.int64()), pa.array(n, pa.int64()), pa.array(bins, pa.binary())], POSTINGS)
         release()
 
-    return texts.select("node", "text").mapInArrow(run, "shingle long, node long, size long")
+    return texts.select("node", "text").mapInArrow(run, "shingle long, node long, size long, bins binary")
+
 
+POSTINGS = ["shingle", "node", "size", "bins"]
 
-def _checked(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+
+def _possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that may be similar enough: texts share at most the lesser count of each bin.
+
+    A similarity of least needs least / (1 + least) of the sum of both sizes. Pairs with a text without sketch stay.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = pc.and_(pc.is_valid(batch.column("x")), pc.is_valid(batch.column("y")))
+            yield batch.filter(pc.invert(known)).select(["a", "b"])
+            both = batch.filter(known)
+            if both.num_rows:
+                x, y = (np.frombuffer(b"".join(both.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("x", "y"))
+                shared = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+                sizes = both.column("size").to_numpy()
+                yield both.filter(pa.array(shared * (1 + least) >= least * sizes - 1e-6)).select(["a", "b"])
+
+    first = sketches.select(F.col("node").alias("a"), F.col("bins").alias("x"), F.col("size").alias("m"))
+    second = sketches.select(F.col("node").alias("b"), F.col("bins").alias("y"), F.col("size").alias("n"))
+    rows = pairs.select("a", "b").join(first, "a", "left").join(second, "b", "left")
+    return rows.select("a", "b", "x", "y", (F.col("m") + F.col("n")).alias("size")).mapInArrow(run, "a long, b long")
+
+
+def _checked(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (a, b) that are similar enough, by their shingles."""
+    pairs = written(_possible(pairs, sketches, least), "possible")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
@@ -139,6 +183,8 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFra
         near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("p")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("q")), "b").select("p", "q")
         # lists of texts with a shingle of their prefix in common
         every = written(postings(texts, words, least), "postings")
+        sketches = written(every.where("shingle is null").select("node", "size", "bins"), "sketches")
+        every = every.where("shingle is not null").drop("bins")
         often = written(every.groupBy("shingle").count().where("count > 1").select("shingle"), "often")
         lists = written(maybe_among(every, "shingle", often, "shingle"), "often-postings")  # few are in more than one text
         discard(spark, every)
@@ -148,7 +194,7 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFra
         heads = lists.where(fits & (F.col("node") != F.col("head.node"))).select(F.col("node").alias("p"), F.col("head.node").alias("q")).distinct()
         heads = heads.groupBy("p").agg(F.slice(F.array_sort(F.collect_set("q")), 1, FEW).alias("qs")).select("p", F.explode("qs").alias("q"))
         pairs = written(near.union(equal).union(heads).where("p <> q").select(*_ordered("p", "q")).distinct(), "pairs")
-        links = written(_checked(pairs, texts, words, least), "links")
+        links = written(_checked(pairs, sketches, texts, words, least), "links")
         roots = simhash.components(links)
         # all pairs of a list that are in different groups so far
         rooted = lists.join(roots, "node", "left").select("shingle", "node", "size", F.coalesce("component", "node").alias("root"))
@@ -160,6 +206,6 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFra
         rest = parts.join(other, "shingle").where(may).select(F.explode("texts").alias("x"), "other_texts").select("x", F.explode("other_texts").alias("y"))
         rest = rest.where(F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size") - 1e-6)
         rest = written(rest.select(*_ordered("x.node", "y.node")).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-        links = written(_checked(rest, texts, words, least).union(links), "links")
+        links = written(_checked(rest, sketches, texts, words, least).union(links), "links")
         roots = simhash.components(links)
     return named.select("doc_id", "tag").join(roots, F.col("tag") == F.col("node"), "left").select("doc_id", "tag", F.coalesce("component", "tag").alias("root"))

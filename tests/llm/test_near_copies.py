@@ -68,3 +68,17 @@ def test_near_stage_on_documents(spark, sf_dir):
 def test_prefix_is_long_enough(n):
     # fewer than that of n may be missing from a copy
     assert n - N._prefix_length(n, 0.8) + 1 <= 0.8 * n + 1 and N._prefix_length(n, 0.8) >= n - -(-4 * n // 5) + 1
+
+
+def test_sketches_drop_no_similar_pair(spark):
+    r = random.Random(5)
+    # the last text has too many shingles for the counts of a sketch, and one has no words
+    texts = ["", *[" ".join(edited(r, [f"w{i}" for i in range(n)], e)) for n in (8, 60, 300) for e in (0, 0, 1, 2, 3, 5)], " ".join(map(str, range(90_000)))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    sketches = N.postings(rows, 5, 0.8).where("shingle is null").select("node", "size", "bins")
+    of = {x.node: x.bins for x in sketches.collect()}
+    assert 0 not in of and of[len(texts) - 1] is None and len(of) == len(texts) - 1
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b)]
+    got = {tuple(x) for x in N._possible(spark.createDataFrame(pairs, "a long, b long"), sketches, 0.8).collect()}
+    sets = [N.shingles(t) for t in texts]
+    assert {(a, b) for a, b in pairs if N.similar(sets[a], sets[b], 0.8)} < got < set(pairs)
