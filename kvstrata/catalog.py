@@ -170,8 +170,16 @@ def kv_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.merge(log.where("gen % 3 = 0"), log.where("gen % 3 = 1"), log.where("gen % 3 = 2")).select("key", "value", "seq")
 
 
+def _at_nine_tenths(log: DataFrame) -> Column:
+    """A seq that moves with the length of the log."""
+    last = log.agg(F.max("seq")).scalar()
+    return last - F.floor(last / 10)
+
+
 def kv_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot.as_of(event_log(spark, sf_dir), 499).select("key", "value", "seq")
+    """The box as it was when the log had nine tenths of its length."""
+    log = event_log(spark, sf_dir)
+    return snapshot.as_of(log, _at_nine_tenths(log)).select("key", "value", "seq")
 
 
 def kv_update_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,11 +193,6 @@ def kv_update_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kv_batch_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One generation as one batch: of equal keys in it the last wins."""
-    return snapshot.latest(event_log(spark, sf_dir).where("gen = 0")).select("key", "op", "value", "seq")
-
-
-def kv_batch_lww_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every generation as one batch: of equal keys in each the last wins."""
     log = event_log(spark, sf_dir)
     newest = log.groupBy("gen", "key").agg(F.max_by(F.struct("op", "value", "seq"), "seq").alias("last"))
@@ -209,8 +212,9 @@ def kv_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kv_wal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prefix of the log before its first bad record."""
-    return logs.replay(event_log(spark, sf_dir), F.col("seq") % 4999 == 4998).select("key", "op", "value", "seq")
+    """The prefix of the log before its first bad record, which is nine tenths in."""
+    log = event_log(spark, sf_dir)
+    return logs.replay(log, F.col("seq") == _at_nine_tenths(log)).select("key", "op", "value", "seq")
 
 
 def kv_sparse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,7 +437,7 @@ def store_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     kv_live, kv_get, kv_exists, kv_get_all, kv_get_or_default, kv_scan, kv_scan_prefix, kv_scan_range, kv_scan_prefix_range, kv_page_reverse, kv_page_prefix_range, kv_keys, kv_search,
     kv_json_field, kv_json_where, kv_json_variant, kv_update_json, kv_count_approx, kv_count_exact, kv_gen_stats, kv_box_stats, kv_bytes, kv_compact, kv_merge, kv_as_of, kv_update_counter,
-    kv_update_fold, kv_batch_lww, kv_batch_lww_all, kv_batch_delete, kv_remove, kv_wal_replay, kv_sparse_index, kv_watch_collection, kv_watch_global, kv_watch_prefix_bounded, kv_watch_fanout, kv_poll,
+    kv_update_fold, kv_batch_lww, kv_batch_delete, kv_remove, kv_wal_replay, kv_sparse_index, kv_watch_collection, kv_watch_global, kv_watch_prefix_bounded, kv_watch_fanout, kv_poll,
     kv_bloom_semi, kv_key_join, kv_conversation_scan, kv_lineitem_scan, kv_label_get_all, blob_files, blob_chunks, blob_assemble, blob_read_range, blob_dedup, blob_crc, codec_roundtrip,
     compress_roundtrip, bloom_fp, store_live, store_compact, store_scan, store_delete, store_get_all, store_update, store_clear, store_events, store_stream, store_blobs,
 )
@@ -488,14 +492,13 @@ UNION ALL SELECT 'customers', count(DISTINCT key), 1, count(DISTINCT key), count
     "kv_bytes": "SELECT CAST(sum(strlen(key) + coalesce(strlen(value), 0)) AS BIGINT) AS bytes FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1",
     "kv_compact": "SELECT key, value, seq FROM live",
     "kv_merge": "SELECT key, value, seq FROM live",
-    "kv_as_of": "SELECT key, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE seq <= 499) WHERE rn = 1 AND op = 'put'",
+    "kv_as_of": "SELECT key, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE seq <= (SELECT max(seq) - max(seq) // 10 FROM log)) WHERE rn = 1 AND op = 'put'",
     "kv_update_counter": "SELECT key, count(*) AS puts FROM log WHERE op = 'put' GROUP BY key",
     "kv_update_fold": "SELECT key, list_reduce(list(CAST(coalesce(json_extract_string(value, '$.k'), '0') AS INT) ORDER BY seq), lambda s, k: greatest(s, k) + 1, 0) AS value FROM log WHERE op = 'put' GROUP BY key",
-    "kv_batch_lww_all": "SELECT gen, key, op, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY gen, key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1",
-    "kv_batch_lww": "SELECT key, op, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE gen = 0) WHERE rn = 1",
+    "kv_batch_lww": "SELECT gen, key, op, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY gen, key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1",
     "kv_batch_delete": "SELECT key, value, seq FROM live WHERE key NOT IN (SELECT key FROM wanted)",
     "kv_remove": "SELECT key, value, seq FROM live WHERE key NOT IN (SELECT key FROM wanted)",
-    "kv_wal_replay": "SELECT key, op, value, seq FROM log WHERE seq < (SELECT coalesce(min(seq) FILTER (WHERE seq % 4999 = 4998), 9223372036854775807) FROM log)",
+    "kv_wal_replay": "SELECT key, op, value, seq FROM log WHERE seq < (SELECT max(seq) - max(seq) // 10 FROM log)",
     "kv_sparse_index": """SELECT key, max(gen) AS gen, arg_max(place, gen) AS place FROM (
        SELECT gen, key, CAST(row_number() OVER (PARTITION BY gen ORDER BY key) - 1 AS BIGINT) AS place FROM (SELECT DISTINCT gen, key FROM log)) WHERE place % 64 = 0 GROUP BY key""",
     "kv_watch_collection": "SELECT collection, key, change_type, seq FROM feed",

@@ -7,7 +7,7 @@ key may stand above or below; filters on op or value must stand above.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import PUT
@@ -28,7 +28,7 @@ def live(log: DataFrame, unique: bool = False) -> DataFrame:
     return (log if unique else latest(log)).where(F.col("op") == PUT)
 
 
-def as_of(log: DataFrame, seq: int) -> DataFrame:
+def as_of(log: DataFrame, seq: int | Column) -> DataFrame:
     """The live entries as they were after the mutation seq."""
     return live(log.where(F.col("seq") <= seq))
 
