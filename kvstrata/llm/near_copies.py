@@ -7,14 +7,18 @@ that holds for all texts, in common with the other's. Nothing is lost by that. T
 common, so lists of texts with a shingle stay short; which shingles those are changes the time, not the result.
 
 All candidates are checked on the shingles themselves; those whose sketches (shingles counted in BINS bins) show that
-too few can be shared are dropped before, which loses none either and spares moving their texts. Lists of dense groups would be pairs in the square of their
-size, so there are two rounds: links of SimHash and those of each text to the first of its lists, at most FEW a text;
-and then all pairs of a list that these left in different groups.
+too few can be shared are dropped before, which loses none either and spares moving their texts. Nor is any lost by their
+places in a list: with the first shingle that two texts share, they share no more than either has from there on.
+
+Lists of dense groups would be pairs in the square of their size. So rounds come first: links of SimHash, and those of
+each text to heads of its lists in other groups, at most FEW a text and other heads in each round, for as long as a
+tenth of them are near copies. Then all pairs of a list follow that these left in different groups.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,7 @@ from .common import batches_of, discard, maybe_among, release, spread_join, text
 
 #: Words of a shingle and the similarity of near copies.
 WORDS, LEAST = 5, 0.8
-#: Bits of SimHash's links, candidates of a text in the first round.
+#: Bits of SimHash's links, candidates of a text in a round.
 RADIUS, FEW = 4, 4
 #: One text of so many is sampled for common shingles, of which so many are broadcast at most.
 SAMPLED, COMMON = 32, 200_000
@@ -80,9 +84,9 @@ def _sketch(hashes: np.ndarray) -> bytes | None:
 
 
 def postings(texts: DataFrame, words: int, least: float) -> DataFrame:
-    """shingle, node, size for the prefix of every text (node, text), and a row without shingle for its sketch.
+    """shingle, node, size, reach for the prefix of every text (node, text), and a row without shingle for its sketch.
 
-    Texts without words have no rows.
+    reach: the shingles of the text from this one on. Texts without words have no rows.
     """
     common = _common(texts, words)
     by_hash = np.argsort(common)
@@ -91,7 +95,7 @@ def postings(texts: DataFrame, words: int, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = sent.value
         for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
-            found, nodes, sizes, sketches = [], [], [], []
+            found, nodes, sizes, reaches, sketches = [], [], [], [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes = _hashes(text, words)
                 n = len(hashes)
@@ -107,17 +111,18 @@ def postings(texts: DataFrame, words: int, least: float) -> DataFrame:
                 found.append(hashes)
                 nodes.append(np.full(len(hashes), node, np.int64))
                 sizes.append(np.full(len(hashes), n, np.int64))
+                reaches.append(n - np.arange(len(hashes)))
             if found:
-                columns = [pa.array(np.concatenate(x)) for x in (found, nodes, sizes)]
+                columns = [pa.array(np.concatenate(x)) for x in (found, nodes, sizes, reaches)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary())], POSTINGS)
                 of, n, bins = zip(*sketches, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(of), pa.int64()), pa.array(of, pa.int64()), pa.array(n, pa.int64()), pa.array(bins, pa.binary())], POSTINGS)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(of), pa.int64()), pa.array(of, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(of), pa.int64()), pa.array(bins, pa.binary())], POSTINGS)
         release()
 
-    return texts.select("node", "text").mapInArrow(run, "shingle long, node long, size long, bins binary")
+    return texts.select("node", "text").mapInArrow(run, "shingle long, node long, size long, reach long, bins binary")
 
 
-POSTINGS = ["shingle", "node", "size", "bins"]
+POSTINGS = ["shingle", "node", "size", "reach", "bins"]
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
@@ -165,6 +170,31 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _fits(x: str, y: str, least: float):
+    """Whether texts with these sizes and reaches at a shingle can be similar, if it is the first one that they share.
+
+    A similarity of least needs least / (1 + least) of the sum of both sizes; the lesser size is least of the other at least.
+    """
+    m, n = F.col(f"{x}size"), F.col(f"{y}size")
+    enough = F.least(f"{x}reach", f"{y}reach") * (1 + least) >= least * (m + n) - 1e-6
+    return enough & (F.least(m, n) >= least * F.greatest(m, n) - 1e-6)
+
+
+def _asked(lists: DataFrame, turn: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (p, q) of texts with heads of their lists in other groups, at most FEW a text, and the lists of several groups.
+
+    lists: shingle, node, size, reach, root. Heads have few shingles before their list's, as texts amid a dense group do;
+    of equal ones each turn has others.
+    """
+    head = F.struct((1 - F.col("reach") / F.col("size")).alias("ahead"), F.xxhash64("shingle", "node", F.lit(turn)).alias("by"), "node", "size", "reach", "root")
+    several = lists.groupBy("shingle").agg(F.count("*").alias("texts"), F.min(head).alias("head"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    several = written(several.select("shingle", "texts", "head"), "heads")
+    rows = written(spread_join(lists, several, ["shingle"], "texts", lists.count()), "lists")
+    pairs = rows.where((F.col("root") != F.col("head.root")) & _fits("", "head.", least)).select(F.col("node").alias("p"), F.col("head.node").alias("q"))
+    few = pairs.groupBy("p").agg(F.slice(F.array_sort(F.collect_set("q")), 1, FEW).alias("qs"))
+    return few.select("p", F.explode("qs").alias("q")), rows.drop("texts", "head")
+
+
 def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """doc_id, tag, root of every row: rows of equal root are near copies, or linked by near copies.
 
@@ -188,24 +218,28 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFra
         often = written(every.groupBy("shingle").count().where("count > 1").select("shingle"), "often")
         lists = written(maybe_among(every, "shingle", often, "shingle"), "often-postings")  # few are in more than one text
         discard(spark, every)
-        heads = lists.groupBy("shingle").agg(F.count("*").alias("texts"), F.min(F.struct(F.xxhash64("shingle", "node").alias("by"), "node", "size")).alias("head")).where("texts > 1")
-        lists = written(spread_join(lists, written(heads, "heads"), ["shingle"], "texts", lists.count()), "lists")
-        fits = F.least("size", "head.size") >= least * F.greatest("size", "head.size") - 1e-6
-        heads = lists.where(fits & (F.col("node") != F.col("head.node"))).select(F.col("node").alias("p"), F.col("head.node").alias("q")).distinct()
-        heads = heads.groupBy("p").agg(F.slice(F.array_sort(F.collect_set("q")), 1, FEW).alias("qs")).select("p", F.explode("qs").alias("q"))
-        pairs = written(near.union(equal).union(heads).where("p <> q").select(*_ordered("p", "q")).distinct(), "pairs")
-        links = written(_checked(pairs, sketches, texts, words, least), "links")
-        roots = simhash.components(links)
+        lists = lists.withColumn("root", F.col("node"))
+        more, asked, links, turn = near.union(equal), [], [], 0
+        while True:
+            new, lists = _asked(lists, turn, least)
+            asked.append(written(more.union(new).where("p <> q").select(*_ordered("p", "q")).distinct(), "pairs"))
+            links.append(written(_checked(asked[-1], sketches, texts, words, least), "links"))
+            # groups so far are stars, which new links join
+            stars = [] if not turn else [roots.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+            roots = simhash.components(reduce(DataFrame.union, [*stars, links[-1]]))
+            lists = lists.drop("root").join(roots, "node", "left").select("shingle", "node", "size", "reach", F.coalesce("component", "node").alias("root"))
+            lists = written(lists, "rooted")
+            more, turn = more.limit(0), turn + 1
+            if links[-1].count() * 10 <= asked[-1].count():
+                break
         # all pairs of a list that are in different groups so far
-        rooted = lists.join(roots, "node", "left").select("shingle", "node", "size", F.coalesce("component", "node").alias("root"))
-        rooted = written(rooted, "rooted")
-        open_ = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-        parts = written(rooted.join(open_, "shingle").groupBy("shingle", "root").agg(F.collect_list(F.struct("node", "size")).alias("texts"), F.min("size").alias("low"), F.max("size").alias("high")), "parts")
-        other = parts.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("root", "texts", "low", "high")])
-        may = (F.col("root") < F.col("other_root")) & (F.col("high") >= least * F.col("other_low") - 1e-6) & (F.col("other_high") >= least * F.col("low") - 1e-6)
-        rest = parts.join(other, "shingle").where(may).select(F.explode("texts").alias("x"), "other_texts").select("x", F.explode("other_texts").alias("y"))
-        rest = rest.where(F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size") - 1e-6)
-        rest = written(rest.select(*_ordered("x.node", "y.node")).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-        links = written(_checked(rest, sketches, texts, words, least).union(links), "links")
-        roots = simhash.components(links)
+        open_ = lists.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+        # texts alike in all that _fits() reads, so that only pairs which fit are made
+        parts = written(lists.join(open_, "shingle").groupBy("shingle", "root", "size", "reach").agg(F.collect_list("node").alias("nodes")), "parts")
+        other = parts.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("root", "nodes", "size", "reach")])
+        rest = parts.join(other, "shingle").where((F.col("root") < F.col("other_root")) & _fits("", "other_", least))
+        rest = rest.select(F.explode("nodes").alias("x"), "other_nodes").select("x", F.explode("other_nodes").alias("y")).select(*_ordered("x", "y")).distinct()
+        rest = written(rest.join(reduce(DataFrame.union, asked), ["a", "b"], "left_anti"), "rest")
+        last = written(_checked(rest, sketches, texts, words, least), "links")
+        roots = simhash.components(last.union(roots.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     return named.select("doc_id", "tag").join(roots, F.col("tag") == F.col("node"), "left").select("doc_id", "tag", F.coalesce("component", "tag").alias("root"))

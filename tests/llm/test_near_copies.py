@@ -82,3 +82,36 @@ def test_sketches_drop_no_similar_pair(spark):
     got = {tuple(x) for x in N._possible(spark.createDataFrame(pairs, "a long, b long"), sketches, 0.8).collect()}
     sets = [N.shingles(t) for t in texts]
     assert {(a, b) for a, b in pairs if N.similar(sets[a], sets[b], 0.8)} < got < set(pairs)
+
+
+@pytest.mark.parametrize("edits", [2, 4])
+def test_dense_group_around_the_limit(spark, sf_dir, monkeypatch, edits):
+    """Variants of one text: with 1 and 2 edits they are linked in rounds; with up to 4 many pairs lie just under the limit."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(edited(r, base, 1 + i % edits)) for i in range(160)]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    made, written = {}, N.written
+
+    def counted(df, name):
+        out = written(df, name)
+        made[name] = made.get(name, 0) + (out.count() if name in ("pairs", "rest") else 0)
+        return out
+
+    monkeypatch.setattr(N, "written", counted)
+    got = sorted(x.doc_id for x in P.unlike(spark, frame(spark, rows), sf_dir).collect())
+    assert got == kept(rows) and len(got) < 120
+    asked = made["pairs"] + made["rest"]
+    print("pairs asked", edits, made["pairs"], made["rest"])
+    assert asked < (len(rows) * 12 if edits == 2 else len(rows) * (len(rows) - 1) / 2)
+
+
+def test_pairs_that_do_not_fit_are_not_similar(spark):
+    """Of texts in the order of their shingles: what they share from their first common shingle on is no more than either reach."""
+    r = random.Random(3)
+    texts = [" ".join(edited(r, [f"w{i}" for i in range(n)], e)) for n in (20, 24, 60) for e in (0, 1, 1, 2, 3)]
+    rows = N.postings(spark.createDataFrame(list(enumerate(texts)), "node long, text string"), 5, 0.8).where("shingle is not null")
+    x, y = (rows.select("shingle", *[rows[c].alias(f"{p}_{c}") for c in ("node", "size", "reach")]) for p in "xy")
+    fit = {tuple(p) for p in x.join(y, "shingle").where("x_node < y_node").where(N._fits("x_", "y_", 0.8)).select("x_node", "y_node").collect()}
+    sets = [N.shingles(t) for t in texts]
+    assert {(a, b) for b in range(len(texts)) for a in range(b) if N.similar(sets[a], sets[b], 0.8)} <= fit
