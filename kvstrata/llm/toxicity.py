@@ -18,7 +18,7 @@ import math
 import pickle
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -33,6 +33,8 @@ from .common import release
 SAMPLE, FOLDS, BITS, KEPT = 8000, 3, 20, 6000
 #: Texts that are Python objects at once, and words whose scores a task remembers.
 TEXTS, WORDS = 1024, 300_000
+#: Features of training rows that a step of the fit takes at once.
+PART = 1 << 16
 #: The limit over which a text is toxic is set by out-of-fold predictions (see limit_of), inside these bounds: classes
 #: weigh alike in training, so it lies near 0.5, and few labels should not carry it far away.
 LOWEST, HIGHEST = 0.45, 0.6
@@ -74,15 +76,35 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def _summed(size: int, places: np.ndarray, weights: Callable[[slice], np.ndarray]) -> np.ndarray:
+    """np.bincount(places, weights, size), part by part: each adds to the sums so far, so the order of additions is the same."""
+    # the sums so far lie before the part's values
+    bins, values = np.arange(size + PART), np.zeros(size + PART)
+    for at in range(0, len(places), PART):
+        part = slice(at, at + PART)
+        end = size + len(places[part])
+        bins[size:end], values[size:end] = places[part], weights(part)
+        values[:size] = np.bincount(bins[:end], values[:end], size)
+    return values[:size].copy()
+
+
+def _counts(features: np.ndarray) -> np.ndarray:
+    """How often each feature is there; np.bincount would copy all of them to a wider type."""
+    out = np.zeros(1 << BITS, np.int32)
+    for at in range(0, len(features), 16 * PART):
+        out += np.bincount(features[at : at + 16 * PART], minlength=1 << BITS).astype(np.int32)
+    return out
+
+
 class _Rows:
     """Training rows: features in one flat array, their rows, and the scale of each row."""
 
     def __init__(self, rows: Sequence[tuple[np.ndarray, int]]):
         self.n = len(rows)
         self.feature = np.concatenate([np.zeros(0, np.int32), *[f for f, _ in rows]])
-        often = np.bincount(self.feature, minlength=1 << BITS) >= 3  # no model keeps rarer ones
-        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(f) for f, _ in rows])[often[self.feature]]
-        self.feature = self.feature[often[self.feature]]
+        often = (_counts(self.feature) >= 3)[self.feature]  # no model keeps rarer ones
+        self.feature = self.feature[often]
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(f) for f, _ in rows])[often]
         self.scale = 1 / np.sqrt(np.maximum(1, np.array([n for _, n in rows], float)))
 
     def fit(self, y: np.ndarray, use: np.ndarray, earlier: np.ndarray) -> Model:
@@ -91,28 +113,21 @@ class _Rows:
         if not positive or positive == use.sum():
             # labels of one class tell nothing: none is found, or all stay undecided
             return Model({}, (0.0,) * earlier.shape[1], 0.0 if positive else -4.0)
-        here = use[self.row]
-        hot = y.astype(bool)[self.row]
-        size = 1 << BITS
-        a = np.bincount(self.feature[here & hot], minlength=size).astype(float)
-        b = np.bincount(self.feature[here & ~hot], minlength=size).astype(float)
         na, nb = positive, use.sum() - positive
-        pa_, pb = (a + 0.5) / (na + 1), (b + 0.5) / (nb + 1)
-        z = np.abs(np.log(pa_ / (1 - pa_ + 1e-9)) - np.log(pb / (1 - pb + 1e-9))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        z[(a + b < 3) | (z < LEAST)] = 0
-        chosen = np.sort(np.argsort(-z, kind="stable")[: min(KEPT, int((z > 0).sum()))])
-        column = np.full(size, -1)
+        chosen = self._chosen(y, use, na, nb)
+        column = np.full(1 << BITS, -1, np.int32)
         column[chosen] = np.arange(len(chosen))
-        keep = here & (column[self.feature] >= 0)
-        order = np.cumsum(use) - 1
+        keep = use[self.row] & (column[self.feature] >= 0)
+        order = (np.cumsum(use) - 1).astype(np.int32)
         rows, columns = order[self.row[keep]], column[self.feature[keep]]
-        value = self.scale[use][rows]
+        del column, keep
+        value = self.scale[use]  # of each row
         dense, target, n = earlier[use], y[use].astype(float), int(use.sum())
         # classes weigh alike; the columns of x are the kept features, the earlier logits and a one
         weight = np.where(target > 0, 0.5 / na, 0.5 / nb)
         cut = len(chosen), len(chosen) + earlier.shape[1]
-        dot = lambda w: np.bincount(rows, value * w[columns], n) + dense @ w[cut[0] : cut[1]] + w[-1]
-        back = lambda g: np.concatenate([np.bincount(columns, value * g[rows], len(chosen)), dense.T @ g, [g.sum()]])
+        dot = lambda w: _summed(n, rows, lambda x: value.take(rows[x]) * w.take(columns[x])) + dense @ w[cut[0] : cut[1]] + w[-1]
+        back = lambda g: np.concatenate([_summed(len(chosen), columns, lambda x, scaled=value * g: scaled.take(rows[x])), dense.T @ g, [g.sum()]])
         ridge = np.full(cut[1] + 1, RIDGE)
         ridge[-1] = 0
         x = np.ones(cut[1] + 1)
@@ -129,11 +144,19 @@ class _Rows:
         pw, pv, pc = old[: cut[0]], old[cut[0] : cut[1]], old[-1]
         return Model(dict(zip(chosen.tolist(), pw.tolist(), strict=True)), tuple(pv.tolist()), float(pc))
 
+    def _chosen(self, y: np.ndarray, use: np.ndarray, na: int, nb: int) -> np.ndarray:
+        """The features that a model of y on the rows in use keeps, in order; na, nb: its rows of either class."""
+        a, b = (_counts(self.feature[(use & side)[self.row]]).astype(float) for side in (y.astype(bool), ~y.astype(bool)))
+        pa_, pb = (a + 0.5) / (na + 1), (b + 0.5) / (nb + 1)
+        z = np.abs(np.log(pa_ / (1 - pa_ + 1e-9)) - np.log(pb / (1 - pb + 1e-9))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        z[(a + b < 3) | (z < LEAST)] = 0
+        return np.sort(np.argsort(-z, kind="stable")[: min(KEPT, int((z > 0).sum()))])
+
     def predict(self, model: Model, earlier: np.ndarray) -> np.ndarray:
         table = np.zeros(1 << BITS)
         if model.weights:
             table[list(model.weights)] = list(model.weights.values())
-        s = np.bincount(self.row, table[self.feature], self.n) * self.scale + earlier @ np.array(model.earlier) + model.bias
+        s = _summed(self.n, self.row, lambda x: table[self.feature[x]]) * self.scale + earlier @ np.array(model.earlier) + model.bias
         return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
@@ -161,7 +184,11 @@ def fit_chain(rows: Sequence[tuple[np.ndarray, int]], labels: np.ndarray, folds:
 
 def fit_with_limit(rows: Sequence[tuple[np.ndarray, int]], labels: np.ndarray, folds: int = FOLDS) -> tuple[list[Model], float]:
     """The chain, and the limit of its last category."""
-    data, n = _Rows(rows), len(rows)
+    return _fit(_Rows(rows), labels, folds)
+
+
+def _fit(data: _Rows, labels: np.ndarray, folds: int = FOLDS) -> tuple[list[Model], float]:
+    n = data.n
     fold = np.arange(n) % folds
     out, earlier = [], np.zeros((n, 0))
     for k in range(labels.shape[1]):
@@ -213,10 +240,12 @@ def fitted(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, values = _in_order(r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
-        if rows:
-            chain, limit = fit_with_limit(rows, values)
+        if len(values):
+            data = _Rows(rows)
+            del rows  # a copy of what data has
+            chain, limit = _fit(data, values)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(([tuple(m) for m in chain], limit))], pa.binary())], ["chain"])
-        del rows, values
+            del data
         release()
 
     got = _sampled(docs, labels, categories, sample).repartition(1).mapInArrow(run, "chain binary").collect()
