@@ -37,6 +37,8 @@ from .common import release, text_bytes
 BUCKET_BYTES, TASK_BYTES = 8 << 20, 64 << 20
 #: Words encoded in one call, texts and bytes of a chunk, and ids of texts that are decoded at once.
 CALL, TEXTS, CHUNK_BYTES, IDS = 4096, 8000, 16 << 20, 1 << 19
+#: Bytes of a chunk that are split at once: all words of a chunk would take several times its bytes.
+PART_BYTES = 1 << 20
 
 
 def tokenizer(spec: bytes):
@@ -79,13 +81,13 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, ROWS, strict=True)], schema=ROWS)
 
 
-def _chunks(whole: pa.RecordBatch, texts: int) -> Iterator[pa.RecordBatch]:
-    """Slices of so many texts at most, and of CHUNK_BYTES where they have more than one text."""
+def _chunks(whole: pa.RecordBatch, texts: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of so many texts at most, and of so many bytes (CHUNK_BYTES) where they have more than one text."""
     size = pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False)
     reach, at = np.cumsum(size, dtype=np.int64), 0
     while at < whole.num_rows:
         before = reach[at - 1] if at else 0
-        end = max(at + 1, min(at + texts, int(np.searchsorted(reach, before + CHUNK_BYTES, "right"))))
+        end = max(at + 1, min(at + texts, int(np.searchsorted(reach, before + (most or CHUNK_BYTES), "right"))))
         yield whole.slice(at, end - at)
         at = end
 
@@ -96,15 +98,20 @@ def _split(buckets: int, texts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for batch in _chunks(whole, texts):
-                lists = pc.ascii_split_whitespace(pc.fill_null(batch.column(1), "").cast(pa.large_string()))
-                coded = lists.flatten().dictionary_encode()
-                numbers = coded.indices.to_numpy().astype(np.uint32)
-                cuts = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())].tolist()
-                known = coded.dictionary
-                del lists, coded  # several times the chunk's bytes, which the rest doesn't need
-                yield _rows([(chunk, chunk, d, None, _plain(numbers[a:b])) for d, a, b in zip(batch.column(0).to_pylist(), cuts, cuts[1:], strict=False)])
-                del numbers
+            for batch in _chunks(whole, texts, CHUNK_BYTES):
+                parts, tables = [], []
+                for part in _chunks(batch, texts, PART_BYTES):
+                    lists = pc.ascii_split_whitespace(pc.fill_null(part.column(1), "").cast(pa.large_string()))
+                    coded = lists.flatten().dictionary_encode()
+                    parts.append((part.column(0).to_pylist(), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())].tolist(), coded.indices.to_numpy()))
+                    tables.append(coded.dictionary)
+                    del lists, coded  # several times the part's bytes, which the rest doesn't need
+                known = pa.chunked_array(tables).dictionary_encode()  # words are numbered in the order in which they come first
+                for i, (doc_ids, cuts, own) in enumerate(parts):
+                    numbers = known.chunk(i).indices.to_numpy().astype(np.uint32)[own]
+                    yield _rows([(chunk, chunk, d, None, _plain(numbers[a:b])) for d, a, b in zip(doc_ids, cuts, cuts[1:], strict=False)])
+                known = known.chunk(0).dictionary
+                del parts, tables, own, numbers
                 order = pc.sort_indices(known).to_numpy().astype(np.int64)
                 words = known.cast(pa.large_binary()).take(pa.array(order)).to_pylist()
                 bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets

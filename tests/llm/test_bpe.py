@@ -81,3 +81,31 @@ def test_chunks_end_by_bytes_too(monkeypatch):
     assert [t for p in parts for t in p.column(1).to_pylist()] == texts
     assert all(p.num_rows == 1 or (p.num_rows <= 4 and sum(len(t or "") for t in p.column(1).to_pylist()) <= 100) for p in parts)
     assert [bpe.buckets_for(n) for n in (0, 2**36, 2**48)] == [16, 8192, 2**19]
+
+
+def test_splitting_holds_little_beside_a_chunk(monkeypatch):
+    """A chunk's words are split in parts, and the rows are those of one part."""
+    import random
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    r = random.Random(2)
+    texts = [" ".join(f"w{int(r.paretovariate(0.7)) % 20000}" for _ in range(1000)) for _ in range(1500)] + [None, "", " \t "]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts}, pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+
+    def split():
+        was = pa.default_memory_pool()
+        pool = pa.proxy_memory_pool(was)
+        pa.set_memory_pool(pool)
+        try:
+            rows = [tuple(x) for part in bpe._split(4, 8000)(iter([batch])) for x in zip(*[c.to_pylist() for c in part.columns], strict=True)]
+        finally:
+            pa.set_memory_pool(was)
+        return rows, pool.max_memory()
+
+    rows, peak = split()
+    assert peak < 2.5 * batch.nbytes, peak / batch.nbytes
+    monkeypatch.setattr(bpe, "PART_BYTES", 1 << 30, raising=False)
+    assert split()[0] == rows and len(rows) == len(texts) + 4
