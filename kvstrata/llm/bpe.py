@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import release, text_bytes
+from .common import batches_of, release, text_bytes, written
 
 #: Bytes of input for each bucket of words (see buckets_for) and for each task that joins ids.
 BUCKET_BYTES, TASK_BYTES = 8 << 20, 64 << 20
@@ -39,6 +39,8 @@ BUCKET_BYTES, TASK_BYTES = 8 << 20, 64 << 20
 CALL, TEXTS, CHUNK_BYTES, IDS = 4096, 8000, 16 << 20, 1 << 19
 #: Bytes of a chunk that are split at once: all words of a chunk would take several times its bytes.
 PART_BYTES = 1 << 20
+#: Rows that Python gets at once.
+SENT = 1000
 
 
 def tokenizer(spec: bytes):
@@ -95,33 +97,38 @@ def _chunks(whole: pa.RecordBatch, texts: int, most: int | None = None) -> Itera
 def _split(buckets: int, texts: int):
     """doc_id and text to rows of texts and of words."""
 
+    def deal(chunk: int, parts: list[tuple], tables: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        known = pa.chunked_array(tables).dictionary_encode()  # words are numbered in the order in which they come first
+        for i, (doc_ids, cuts, own) in enumerate(parts):
+            numbers = known.chunk(i).indices.to_numpy().astype(np.uint32)[own]
+            yield _rows([(chunk, chunk, d, None, _plain(numbers[a:b])) for d, a, b in zip(doc_ids, cuts, cuts[1:], strict=False)])
+        known = known.chunk(0).dictionary
+        parts.clear()
+        tables.clear()
+        order = pc.sort_indices(known).to_numpy().astype(np.int64)
+        words = known.cast(pa.large_binary()).take(pa.array(order)).to_pylist()
+        bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
+        by = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[by], np.arange(buckets + 1)).tolist()
+        yield _rows([(-1 - b, chunk, None, zlib.compress(b"\n".join([words[i] for i in by[x:y]]), 1), _plain(order[by[x:y]])) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
-        for whole in batches:
-            for batch in _chunks(whole, texts, CHUNK_BYTES):
-                parts, tables = [], []
-                for part in _chunks(batch, texts, PART_BYTES):
-                    lists = pc.ascii_split_whitespace(pc.fill_null(part.column(1), "").cast(pa.large_string()))
-                    coded = lists.flatten().dictionary_encode()
-                    parts.append((part.column(0).to_pylist(), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())].tolist(), coded.indices.to_numpy()))
-                    tables.append(coded.dictionary)
-                    del lists, coded  # several times the part's bytes, which the rest doesn't need
-                known = pa.chunked_array(tables).dictionary_encode()  # words are numbered in the order in which they come first
-                for i, (doc_ids, cuts, own) in enumerate(parts):
-                    numbers = known.chunk(i).indices.to_numpy().astype(np.uint32)[own]
-                    yield _rows([(chunk, chunk, d, None, _plain(numbers[a:b])) for d, a, b in zip(doc_ids, cuts, cuts[1:], strict=False)])
-                known = known.chunk(0).dictionary
-                del parts, tables, own, numbers
-                order = pc.sort_indices(known).to_numpy().astype(np.int64)
-                words = known.cast(pa.large_binary()).take(pa.array(order)).to_pylist()
-                bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
-                by = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[by], np.arange(buckets + 1)).tolist()
-                out = [(-1 - b, chunk, None, zlib.compress(b"\n".join([words[i] for i in by[x:y]]), 1), _plain(order[by[x:y]])) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
-                yield _rows(out)
-                del known, order, words, bucket, by, out
+        chunk, parts, tables, rows, size = TaskContext.get().partitionId() << 32, [], [], 0, 0
+        for part in (p for b in batches for p in _chunks(b, texts, min(PART_BYTES, CHUNK_BYTES))):
+            more = pc.sum(pc.binary_length(part.column(1))).as_py() or 0
+            if rows and (rows + part.num_rows > texts or size + more > CHUNK_BYTES):
+                yield from deal(chunk, parts, tables)
                 release()
-                chunk += 1
+                chunk, rows, size = chunk + 1, 0, 0
+            rows, size = rows + part.num_rows, size + more
+            lists = pc.ascii_split_whitespace(pc.fill_null(part.column(1), "").cast(pa.large_string()))
+            coded = lists.flatten().dictionary_encode()
+            parts.append((part.column(0).to_pylist(), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())].tolist(), coded.indices.to_numpy()))
+            tables.append(coded.dictionary)
+            del lists, coded  # several times the part's bytes, which the rest doesn't need
+        if rows:
+            yield from deal(chunk, parts, tables)
+        release()
 
     return run
 
@@ -309,7 +316,8 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs, encoded and then decoded.
 
-    Both, and the digests, are made in the task that has the ids, as ids and texts needn't leave it.
+    Both, and the digests, are made in the task that has the ids, as ids and texts needn't leave it. The digests are
+    written, as only then it is sure that Python gets few texts at once.
     """
     rows = _placed(docs, path)
     spec = rows.sparkSession.sparkContext.broadcast(read_spec(path))
@@ -325,4 +333,5 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.list_value_length(ids).cast(pa.int64()), *hashes], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         release()
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    with batches_of(rows.sparkSession, SENT):
+        return written(rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"), "digests")

@@ -109,3 +109,16 @@ def test_splitting_holds_little_beside_a_chunk(monkeypatch):
     assert peak < 2.5 * batch.nbytes, peak / batch.nbytes
     monkeypatch.setattr(bpe, "PART_BYTES", 1 << 30, raising=False)
     assert split()[0] == rows and len(rows) == len(texts) + 4
+
+
+def test_chunks_reach_across_batches(monkeypatch):
+    """Few texts at once make the same rows as all of them: a batch was a chunk of its own."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    whole = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": [None, ""] + [f"a{i % 7} b{i} c" for i in range(58)]})
+    split = lambda batches: sorted((tuple(x) for part in bpe._split(3, 25)(iter(batches)) for x in zip(*[c.to_pylist() for c in part.columns], strict=True)), key=str)
+    rows = split([whole])
+    assert len({r[1] for r in rows}) == 3 and split([whole.slice(i, 5) for i in range(0, 60, 5)]) == rows
