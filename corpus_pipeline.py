@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvstrata.llm import bpe, curriculum, exact_dedup, near_copies, toxicity
-from kvstrata.llm.common import made, scratch, spread_join, sweep, table, without, written
+from kvstrata.llm.common import made, scratch, settled, spread_join, sweep, table, without, written
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +33,15 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id; those without an id come last.
 
-    Null and empty texts are one group; rows that are equal in doc_id and text all stay, or all go.
+    Null and empty texts are one group; rows that are equal in doc_id and text all stay, or all go. Of the tables made on
+    the way the names of the rows that go are left, as the texts of near_copies would lie there beside what later stages move.
     """
-    rows = written(near_copies.groups(docs), "near")
+    before = made()
+    rows = settled(near_copies.groups(docs), "near", before)
     name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag")
     stays = written(rows.groupBy("root").agg(F.min(name).alias("stays"), F.count("*").alias("rows")).where("rows > 1"), "stays")
     gone = spread_join(rows, stays, ["root"], "rows", rows.count()).where(~name.eqNullSafe(F.col("stays"))).select("doc_id", "tag")
-    return without(docs, gone)
+    return without(docs, settled(gone, "gone", before))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,6 +91,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """The rows of df as written() gives them; all other scratch tables made since then are deleted, so only df may need them."""
+    out = written(df, name)
+    sweep(df.sparkSession, since, _made[-1])
+    return out
+
+
 def discard(spark: SparkSession, *frames_or_paths: DataFrame | str) -> None:
     """Delete written tables that nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

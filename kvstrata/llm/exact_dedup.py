@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bloom
-from .common import ascii_lower, discard, scratch, spread_join, written
+from .common import ascii_lower, discard, made, scratch, settled, spread_join, written
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -118,8 +118,8 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their columns; of rows that repeat a doc_id and text one stays."""
-    doc_id, sha = F.col("doc_id").cast("long"), sha256(normalised(docs))
-    verdicts = written(deduplicate(docs), "dedup-verdicts")
+    doc_id, sha, before = F.col("doc_id").cast("long"), sha256(normalised(docs)), made()
+    verdicts = settled(deduplicate(docs), "dedup-verdicts", before)
     gone = verdicts.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__gone"))
     rows = docs.withColumn("__sha", sha)
     rows = rows.join(gone, doc_id.eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__gone")), "left_anti")

@@ -8,7 +8,7 @@ from cases import frame, lower
 from test_bpe import library
 from test_simhash import groups, plain_fingerprint
 
-from kvstrata.llm import curriculum
+from kvstrata.llm import common, curriculum
 from kvstrata.llm.common import table, written
 
 
@@ -106,6 +106,18 @@ def test_whole_run_on_edges_and_nothing(spark, edge, nothing, tmp_path, empty):
     assert len({(r.doc_id, lower(r.text)) for r in kept}) == len(texts)  # one document of each text
 
 
+@pytest.mark.parametrize("stage", [P.distinct, P.unlike])
+def test_stages_leave_only_the_names_of_what_goes(spark, sf_dir, edge, stage):
+    """What a stage made on the way, texts among it, isn't there any more when the next one runs."""
+    docs, rows = edge
+    since = common.made()
+    out = stage(spark, docs, sf_dir)
+    assert len(common._made[since:]) <= 2
+    left = [spark.read.parquet(p) for p in common._made[since:]]
+    assert all("text" not in f.columns and f.count() <= len(rows) for f in left)
+    assert 0 < out.count() < len(rows)
+
+
 def test_bpe_stage_on_edges(spark, sf_dir, edge, nothing):
     docs, rows = edge
     got = P.encoded(spark, docs, sf_dir).collect()
