@@ -53,8 +53,16 @@ def semi(probe: DataFrame, entries: DataFrame) -> DataFrame:
     return probe.join(entries.select("key"), "key", "left_semi")
 
 
-def bloom_semi(probe: DataFrame, entries: DataFrame, expected: int, p: float = 0.01) -> DataFrame:
-    """Rows of probe whose key may have an entry: all that have one, and others at a rate of about p."""
-    bits, hashes = bloom.size_for(expected, p)
+def bloom_semi(probe: DataFrame, entries: DataFrame, expected: int | None = None, p: float = 0.01) -> DataFrame:
+    """Rows of probe whose key may have an entry: all that have one, and others at a rate of about p.
+
+    expected: the entries that the filter is made for; None counts them, so that the rate holds at any size up to some
+    10^7 keys (filters have 16 MiB at most). With more entries than expected, or than that, more rows pass.
+    """
+    if expected is None:
+        bits, hashes = bloom.size_for(entries.where("key IS NOT NULL").count(), p)
+        bits = min(bits, bloom.MOST_BITS)
+    else:
+        bits, hashes = bloom.size_for(expected, p)
     words = bloom.build(entries, "key", bits, hashes).scalar()
     return probe.where(bloom.might_contain(words, F.col("key"), bits, hashes))

@@ -1,7 +1,10 @@
 """Every query of the engine against its SQL."""
 
+import os
+
 import pytest
 from helpers import check_query
+from pyspark.sql import functions as F
 
 from kvstrata import catalog
 
@@ -33,3 +36,19 @@ def test_entry_module(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 5
+
+
+def _with_events(sf_dir, tmp_path, events):
+    """A folder of the driver tables with other events."""
+    for name in os.listdir(sf_dir):
+        if name != "events.parquet":
+            os.symlink(f"{sf_dir}/{name}", tmp_path / name)
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["bloom_fp", "kv_bloom_semi"])
+def test_bloom_filters_follow_the_keys(spark, sf_dir, tmp_path, name):
+    user = F.when(F.col("id") > 0, F.col("id")).alias("user_id")  # one is null
+    events = spark.range(60_000).select(F.col("id").alias("event_id"), user, F.lit("view").alias("event_type"), F.lit('{"k": 1}').alias("props"))
+    check_query(spark, _with_events(sf_dir, tmp_path, events), catalog.queries()[name], catalog.oracle_sql()[name])
