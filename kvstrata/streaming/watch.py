@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..schemas import CHANGE_TYPES, EVENT_DDL
 
 CAPACITY, LEAST_POLL, MOST_POLL = 1024, 1, 1000
+#: Subscriptions up to which all are broadcast, and copies of each where they are more.
+MOST_BROADCAST, SALTS = 100_000, 32
 
 
 def change_type(op: Column) -> Column:
@@ -49,18 +51,27 @@ def bounded(feed: DataFrame, by: list[str] | None = None, capacity: int = CAPACI
     return feed.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= capacity)
 
 
-def fan_out(feed: DataFrame, subscriptions: DataFrame) -> DataFrame:
+def fan_out(feed: DataFrame, subscriptions: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """sub_id with each event that a subscription (sub_id, sub_collection, sub_prefix; null for all) matches.
 
     Events meet subscriptions by equality: each key's beginnings, of the lengths that prefixes have, join on prefix (and
-    collection, where a subscription has one). Spark broadcasts the subscriptions if they are small enough.
+    collection, where a subscription has one). A short prefix is the beginning of most keys, so events are never gathered
+    by it: the subscriptions, counted here, are broadcast up to most_broadcast of them. More are hashed in tasks, each in SALTS
+    copies over which the events are spread.
     """
     subscriptions = subscriptions.withColumn("__prefix", F.coalesce("sub_prefix", F.lit("")))
     lengths = subscriptions.agg(F.coalesce(F.collect_set(F.length("__prefix")), F.array().cast("array<int>"))).scalar()
     starts = feed.withColumn("__length", F.explode(lengths)).where(F.col("__length") <= F.length("key"))
     starts = starts.withColumn("__start", F.substring(F.col("key"), F.lit(1), F.col("__length")))
-    own = starts.join(subscriptions.where("sub_collection IS NOT NULL"), (F.col("__start") == F.col("__prefix")) & (F.col("collection") == F.col("sub_collection")))
-    every = starts.join(subscriptions.where("sub_collection IS NULL"), F.col("__start") == F.col("__prefix"))
+    if subscriptions.count() <= most_broadcast:
+        spread, met = F.lit(True), F.broadcast
+    else:
+        starts = starts.withColumn("__salt", F.pmod(F.xxhash64("key", "seq"), F.lit(SALTS)))
+        subscriptions = subscriptions.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        spread, met = F.col("__salt") == F.col("__copy"), lambda x: x.hint("shuffle_hash")
+    same = (F.col("__start") == F.col("__prefix")) & spread
+    own = starts.join(met(subscriptions.where("sub_collection IS NOT NULL")), same & (F.col("collection") == F.col("sub_collection")))
+    every = starts.join(met(subscriptions.where("sub_collection IS NULL")), same)
     return own.unionByName(every).select("sub_id", "collection", "key", "change_type", "seq")
 
 

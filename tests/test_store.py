@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,6 +186,23 @@ def test_events(spark):
     assert watch.matching(feed, "other").count() == 0 and watch.matching(feed, "box", "a").count() == 2
 
 
+@pytest.mark.parametrize("options", [{}, {"most_broadcast": 0}])
+def test_fan_out_gathers_no_events(spark, options):
+    subs = [(1, "a", "k:1"), (2, None, None), (3, "b", None), (4, None, "k:29"), (5, "b", "x"), (6, "c", "")]
+    subscriptions = spark.createDataFrame(subs, "sub_id int, sub_collection string, sub_prefix string")
+    feed = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("collection"), F.concat(F.lit("k:"), "id").alias("key"), F.lit(0).alias("change_type"), F.col("id").alias("seq"))
+    wanted = {(s, r.seq) for r in feed.collect() for s, c, p in subs if c in (None, r.collection) and r.key.startswith(p or "")}
+    fanned = watch.fan_out(feed, subscriptions, **options)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would join small partitions
+    try:
+        got = fanned.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {(r.sub_id, r.seq) for r in got} == wanted and len(got) == len(wanted)
+    assert max(Counter(r.task for r in got if r.sub_id == 2).values()) < 2000
+    assert "BuildLeft" not in fanned._jdf.queryExecution().toString()  # no events are held
+
+
 def test_ingest_a_stream_once(spark, store, tmp_path):
     log = spark.createDataFrame([("a", "put", "1", 0), ("b", "put", "2", 1), ("a", "delete", None, 2), ("c", "put", "3", 3)], "key string, op string, value string, seq long")
     for i in range(3):
