@@ -3,20 +3,23 @@
 Entry: u16 key length, key, u32 value length, value, u32 CRC32 of all before it; little-endian (fixed format). It is
 written and read by built-in functions. Compressed block: flag byte 0 and the bytes, or flag byte 1, u32 length, then
 the u32 length again and an LZ4 block; used from 256 bytes on and only where that is shorter (fixed format). Blocks are for interchange only, as
-Parquet compresses what is stored; a pandas UDF makes them value by value, since Spark has no function for them.
+Parquet compresses what is stored; an Arrow UDF makes them value by value, since Spark has no function for them. It
+returns them in parts of about 1 MiB, so that Python holds what it was sent and little else.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Blocks under so many bytes are stored as they are.
 LEAST_COMPRESSED = 256
 MOST_KEY = 65535
+#: Bytes of values after which Python returns them.
+PART_BYTES = 1 << 20
 
 
 def little_endian(n: Column, size: int) -> Column:
@@ -52,8 +55,6 @@ def decode_entry(data: Column) -> Column:
 
 
 def _compress(data: bytes) -> bytes:
-    import pyarrow as pa
-
     if len(data) >= LEAST_COMPRESSED:
         size = len(data).to_bytes(4, "little")
         block = b"\x01" + size + size + pa.compress(data, "lz4_raw", asbytes=True)
@@ -63,8 +64,6 @@ def _compress(data: bytes) -> bytes:
 
 
 def _decompress(block: bytes) -> bytes:
-    import pyarrow as pa
-
     if not block:
         return b""
     if block[0] == 0:
@@ -74,23 +73,32 @@ def _decompress(block: bytes) -> bytes:
     return pa.decompress(block[9:], int.from_bytes(block[5:9], "little"), "lz4_raw", asbytes=True)
 
 
-def _on_bytes(function, name: str):
-    """A pandas UDF on binary columns; its function is pickled by value, as executors need no copy of this package."""
+def _on_bytes(function: Callable[[bytes], bytes]):
+    """An Arrow UDF on binary columns; its function is pickled by value, as executors need no copy of this package."""
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(lambda x: None if x is None else function(bytes(x)))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            done, size = [], 0
+            for x in batch:
+                done.append(function(x.as_py()) if x.is_valid else None)
+                size += len(done[-1] or b"")
+                if size >= PART_BYTES:
+                    yield pa.array(done, batch.type)
+                    done, size = [], 0
+            if done:
+                yield pa.array(done, batch.type)
+            pa.default_memory_pool().release_unused()
 
-    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "binary")
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "binary")
 
 
 def compress(data: Column) -> Column:
-    return _on_bytes(_compress, "compress")(data)
+    return _on_bytes(_compress)(data)
 
 
 def decompress(block: Column) -> Column:
-    return _on_bytes(_decompress, "decompress")(block)
+    return _on_bytes(_decompress)(block)
 
 
 def is_compressed(block: Column) -> Column:

@@ -2,7 +2,9 @@
 
 import random
 import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,19 @@ def test_compressed_blocks(spark):
         assert r.c == (len(r.d) in (1024, 2048)) and (not r.c or len(r.b) < len(r.d))
 
 
+def test_python_holds_small_parts_of_blocks(spark):
+    def seen(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([batch.nbytes] * len(batch), pa.int64())
+
+    text = F.when(F.col("id") % 10 > 0, F.encode(F.repeat(F.sha2(F.col("id").cast("string"), 256), 1600), "utf-8"))  # 100 KiB, some null
+    frame = spark.range(200).coalesce(1).select(text.alias("d"))
+    back = wire.decompress(wire.compress(F.col("d")))
+    assert frame.where(~F.col("d").eqNullSafe(back)).count() == 0
+    held = [r.held for r in frame.select(F.arrow_udf(seen, "long")(back).alias("held")).collect()]  # the three run in one worker
+    assert len(held) == 200 and max(held) < 2 << 20
+
+
 def test_bloom(spark):
     assert bloom.size_for(1000, 0.01) == (16384, 11) and bloom.size_for(1, 0.9)[0] == 64
     keys = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("key"))
