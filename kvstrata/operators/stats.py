@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import bloom
 from ..plans.snapshot import latest, live
 
+#: Keys that a Bloom filter is made for at least where they are counted.
+LEAST_EXPECTED = 10_000
+
 
 def approximate_count(log: DataFrame) -> DataFrame:
     """approximate_count: distinct keys of each generation, summed, so overwritten and deleted entries count too."""
@@ -56,11 +59,12 @@ def semi(probe: DataFrame, entries: DataFrame) -> DataFrame:
 def bloom_semi(probe: DataFrame, entries: DataFrame, expected: int | None = None, p: float = 0.01) -> DataFrame:
     """Rows of probe whose key may have an entry: all that have one, and others at a rate of about p.
 
-    expected: the entries that the filter is made for; None counts them, so that the rate holds at any size up to some
-    10^7 keys (filters have 16 MiB at most). With more entries than expected, or than that, more rows pass.
+    expected: the entries that the filter is made for; None counts them (LEAST_EXPECTED at least, as the rate of very
+    small filters varies), so that the rate holds at any size up to some 10^7 keys, for filters have 16 MiB at most. With
+    more entries than expected, or than that, more rows pass.
     """
     if expected is None:
-        bits, hashes = bloom.size_for(entries.where("key IS NOT NULL").count(), p)
+        bits, hashes = bloom.size_for(max(LEAST_EXPECTED, entries.where("key IS NOT NULL").count()), p)
         bits = min(bits, bloom.MOST_BITS)
     else:
         bits, hashes = bloom.size_for(expected, p)
